@@ -410,3 +410,550 @@ def top_k_with_others(spark, sf):
     rev, _ = _orders(spark, sf)
     counts = rev.groupBy("msg", "author").agg(F.count(F.lit(1)).alias("commits"))
     return top_k(counts, "author", "commits", 5, ["msg"])
+
+
+# Text
+
+
+@query
+def word_frequency(spark, sf):
+    from revtide.operators import text as X
+
+    return X.word_frequency(D.document_revisions(spark, sf))
+
+
+@query
+def word_frequency_exact(spark, sf):
+    from revtide.operators import text as X
+
+    return X.word_frequency(D.document_revisions(spark, sf), 10, "exact")
+
+
+@query
+def tag_cloud(spark, sf):
+    from revtide.operators import text as X
+
+    return X.tag_cloud(D.document_revisions(spark, sf))
+
+
+@query
+def cloud_style(spark, sf):
+    from revtide.functions.cloud import cloud_style as style
+
+    rev, _ = _events(spark, sf)
+    return style(H.author_cloud(rev), "commits", "activity")
+
+
+# Log preparation
+
+
+@query
+def normalize_paths(spark, sf):
+    from revtide.functions.paths import normalize_path
+
+    return D.page_changes(spark, sf).select("revno", normalize_path("changedpath").alias("path"))
+
+
+@query
+def path_functions(spark, sf):
+    from revtide.functions import paths as P
+
+    p = "changedpath"
+    return D.part_paths(spark, sf).select(
+        p,
+        P.file_type(p).alias("file_type"),
+        P.dir_prefix(p, "/", 1).alias("dir1"),
+        P.dir_prefix(p, "/", 3).alias("dir3"),
+        P.parent_dir(p).alias("parent"),
+        P.base_name(p).alias("base"),
+        P.relative_path(p, "/PROMO").alias("relative"),
+        P.is_binary(p, extensions=("js",)).alias("is_binary"),
+    )
+
+
+@query
+def sql_functions(spark, sf):
+    from revtide.functions.sql import register_sql_functions
+
+    register_sql_functions(spark)
+    rev, ch = _orders(spark, sf)
+    rev.createOrReplaceTempView("log_revisions")
+    ch.createOrReplaceTempView("log_changes")
+    return spark.sql(
+        """SELECT file_type(changedpath) AS ext, dir_prefix('/', changedpath, 1) AS dir,
+                  sum(cool(10D, commitdate, timestamp '2001-09-01', 0.0025D)) AS heat
+           FROM log_revisions JOIN log_changes USING (revno) GROUP BY 1, 2"""
+    )
+
+
+@query
+def inherit_copyfrom(spark, sf):
+    from revtide.operators.logprep import inherit_copyfrom as inherit
+
+    return (
+        inherit(D.copied_dir_changes(spark, sf))
+        .filter(F.col("pathtype") == "F")
+        .groupBy("revno", "changedpath", "changetype", "copyfrompath", "copyfromrev")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
+@query
+def copied_and_deleted_dirs(spark, sf):
+    ch = D.release_changes(spark, sf)
+    copied = C.copied_dirs(ch).select("revno", "changedpath", F.lit("copy").alias("what"))
+    deleted = C.deleted_dirs(ch).select("revno", "changedpath", F.lit("delete").alias("what"))
+    return copied.unionByName(deleted)
+
+
+@query
+def revision_file_counts(spark, sf):
+    from revtide.operators.logprep import revision_file_counts as counts
+
+    _, ch = _orders(spark, sf)
+    return counts(ch)
+
+
+@query
+def diff_line_counts(spark, sf):
+    from revtide.operators.logprep import diff_line_counts as counts
+
+    keys = ("revno", "of", "changetype", "plus", "minus")
+    per_diff = counts(D.line_diffs(spark, sf), keys)
+    return per_diff.groupBy("changedpath").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("linesadded").alias("added"),
+        F.sum("linesdeleted").alias("deleted"),
+    )
+
+
+@query
+def text_line_counts(spark, sf):
+    from revtide.operators.logprep import text_line_counts as counts
+
+    return counts(D.table(spark, sf, "documents"), "text").select("doc_id", "lines")
+
+
+@query
+def resolve_line_counts(spark, sf):
+    from revtide.operators.logprep import resolve_line_counts as resolve
+
+    _, ch = _orders(spark, sf)
+    kept = F.col("changetype").isin("A", "R")
+    contents = (
+        ch.filter(kept | (F.col("changetype") == "D"))
+        .select(
+            F.when(kept, F.col("revno")).otherwise(F.col("revno") - 1).alias("revno"),
+            "changedpath",
+            (F.col("linesadded") + F.when(kept, 1).otherwise(2)).alias("lines"),
+        )
+        .groupBy("revno", "changedpath")
+        .agg(F.max("lines").alias("lines"))
+    )
+    diffs = (
+        ch.filter((F.col("changetype") == "M") | ((F.col("changetype") == "R") & (F.col("linesdeleted") > 4)))
+        .groupBy("revno", "changedpath")
+        .agg(F.max("linesadded").alias("linesadded"), F.max("linesdeleted").alias("linesdeleted"))
+    )
+    blank = ch.withColumns({"linesadded": F.lit(0), "linesdeleted": F.lit(0), "lc_updated": F.lit("N")})
+    return (
+        resolve(blank, contents, diffs)
+        .groupBy("changedpath", "changetype", "lc_updated")
+        .agg(F.sum("linesadded").alias("added"), F.sum("linesdeleted").alias("deleted"))
+    )
+
+
+def _dictionary(spark, sf):
+    """The paths ever added, by id."""
+    from revtide.operators.base import dense_ids, hash_bucket
+
+    _, ch = _orders(spark, sf)
+    added = ch.filter(F.col("changetype") == "A").select(F.col("changedpath").alias("path")).distinct()
+    return dense_ids(added, hash_bucket("path"), ["path"], "path_id", 1)
+
+
+@query
+def encode_paths(spark, sf):
+    from revtide.operators.logprep import encode_paths as encode
+
+    _, ch = _orders(spark, sf)
+    return encode(_dictionary(spark, sf), ch.select(F.col("changedpath").alias("path")))
+
+
+def _encoded(spark, sf, dictionary):
+    _, ch = _orders(spark, sf)
+    ids = dictionary.select(F.col("path_id").alias("changedpathid"), F.col("path").alias("changedpath"))
+    return ch.join(ids, "changedpath").select(
+        "revno", "changedpathid", (F.col("changedpathid") - 1).alias("copyfrompathid"), "linesadded"
+    )
+
+
+@query
+def change_view(spark, sf):
+    from revtide.operators.logprep import change_view as view
+
+    words = _dictionary(spark, sf)
+    return (
+        view(_encoded(spark, sf, words), words)
+        .groupBy("changedpath", "copyfrompath")
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("linesadded").alias("lines"))
+    )
+
+
+@query
+def repair_path_dictionary(spark, sf):
+    from revtide.operators.logprep import change_view as view
+    from revtide.operators.logprep import repair_path_dictionary as repair
+
+    words = _dictionary(spark, sf)
+    # Misspell the dictionary: every path once more with a doubled slash, higher ids.
+    doubled = words.select(
+        (F.col("path_id") + 1000000000).alias("path_id"), F.concat(F.lit("/"), "path").alias("path")
+    )
+    changes = _encoded(spark, sf, words)
+    odd = F.col("linesadded") > 25
+    broken = changes.withColumn(
+        "changedpathid", F.when(odd, F.col("changedpathid") + 1000000000).otherwise(F.col("changedpathid"))
+    )
+    clean, fixed = repair(words.select("path_id", "path").unionByName(doubled), broken)
+    return (
+        view(fixed, clean)
+        .groupBy("changedpathid", "changedpath")
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("linesadded").alias("lines"))
+    )
+
+
+@query
+def live_files(spark, sf):
+    from revtide.operators.dirstate import live_files as live
+
+    _, ch = _orders(spark, sf)
+    return live(ch, "/STANDARD/", 9000)
+
+
+@query
+def expand_dir_copies(spark, sf):
+    from revtide.operators.dirstate import expand_dir_copies as expand
+
+    return expand(D.release_changes(spark, sf)).drop("lc_updated", "entrytype", "pathtype")
+
+
+@query
+def expand_dir_deletes(spark, sf):
+    from revtide.operators.dirstate import expand_dir_deletes as expand
+
+    return expand(D.release_changes(spark, sf)).select("revno", "changedpath", "linesadded", "linesdeleted")
+
+
+@query
+def update_file_counters(spark, sf):
+    from revtide.operators import logprep as L
+
+    rev, ch = _orders(spark, sf)
+    extra = ch.filter(F.col("linesadded") > 30).withColumn(
+        "changetype", F.when(F.col("changetype") == "A", "D").otherwise("A")
+    )
+    return L.update_file_counters(L.with_file_counts(rev, ch), extra).select(
+        "revno", "added_files", "changed_files", "deleted_files"
+    )
+
+
+@query
+def overlay_line_counts(spark, sf):
+    from revtide.operators import logprep as L
+
+    _, ch = _orders(spark, sf)
+    waiting = ch.withColumn(
+        "lc_updated", F.when(F.col("changetype") == "R", "N").otherwise("Y")
+    )
+    updates = (
+        C.pending_line_counts(waiting)
+        .groupBy("revno", "changedpath")
+        .agg(F.max(F.col("linesadded") * 2).alias("linesadded"), F.lit(1).cast("long").alias("linesdeleted"))
+    )
+    return (
+        L.overlay_line_counts(waiting, updates)
+        .groupBy("changedpath", "lc_updated")
+        .agg(F.sum("linesadded").alias("added"), F.sum("linesdeleted").alias("deleted"))
+    )
+
+
+@query
+def append_new(spark, sf):
+    from revtide.sources.readers import append_new as fresh
+
+    rev, _ = _events(spark, sf)
+    stored = rev.filter(F.col("commitdate") < F.lit("2024-01-16").cast("timestamp"))
+    return fresh(stored, rev).select("revno", "author")
+
+
+@query
+def stream_new(spark, sf):
+    import uuid
+
+    from revtide.session import ensure_checkpoint_dir
+    from revtide.streaming import incremental as I
+
+    ensure_checkpoint_dir(spark)
+    base = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4()}"
+    layout = D.table(spark, sf, "events").schema
+    raw = spark.readStream.schema(layout).option("pathGlobFilter", "events.parquet").parquet(sf)
+    log = raw.select(
+        F.col("event_id").alias("revno"),
+        D.utc("ts").alias("commitdate"),
+        F.col("user_id").cast("string").alias("author"),
+    )
+    I.write_available(I.stream_new(log), f"{base}/log", f"{base}/state").awaitTermination()
+    return A.daily_commit_count(spark.read.parquet(f"{base}/log"))
+
+
+@query
+def merge_scores(spark, sf):
+    rev, _ = _events(spark, sf)
+    cut = F.lit("2024-01-16").cast("timestamp")
+    old_log = rev.filter(F.col("commitdate") < cut)
+    new_log = rev.filter(F.col("commitdate") >= cut)
+    elapsed = 24.0 * (
+        rev.agg(F.datediff(F.date_add(F.to_date(F.max("commitdate")), 1), F.lit("2024-01-16").cast("date"))).first()[0]
+    )
+    return H.merge_scores(H.author_scores(old_log), H.author_scores(new_log), ["author"], elapsed)
+
+
+# Edges and graphs
+
+
+def _nations(spark, sf):
+    return D.nation_revisions(spark, sf), D.order_changes(spark, sf)
+
+
+@query
+def author_file_edges(spark, sf):
+    from revtide.operators import edges as E
+
+    return E.author_file_edges(*_orders(spark, sf))
+
+
+@query
+def rev_file_edges(spark, sf):
+    from revtide.operators import edges as E
+
+    _, ch = _orders(spark, sf)
+    return E.rev_file_edges(ch)
+
+
+@query
+def cochange_edges(spark, sf):
+    from revtide.operators import edges as E
+
+    _, ch = _orders(spark, sf)
+    return E.cochange_edges(ch)
+
+
+@query
+def cochange_edges_blocks(spark, sf):
+    """The same pairs with every revision of more than 3 paths cut into blocks."""
+    from revtide.operators import edges as E
+
+    _, ch = _orders(spark, sf)
+    return E.cochange_edges(ch, block=3)
+
+
+@query
+def cochange_edges_decayed(spark, sf):
+    from revtide.operators import edges as E
+
+    return E.cochange_edges_decayed(*_orders(spark, sf))
+
+
+@query
+def author_network(spark, sf):
+    from revtide.plans.networks import author_network as network
+
+    return network(*_orders(spark, sf))
+
+
+@query
+def file_network(spark, sf):
+    from revtide.plans.networks import file_network as network
+
+    return network(*_orders(spark, sf))
+
+
+@query
+def drop_node(spark, sf):
+    from revtide.operators import edges as E
+
+    return E.filter_edges(E.drop_node(E.author_file_edges(*_nations(spark, sf)), "NATION_3"), 2.0)
+
+
+@query
+def coauthor_edges(spark, sf):
+    from revtide.operators import edges as E
+
+    return E.coauthor_edges(*_nations(spark, sf))
+
+
+@query
+def coauthor_matrix(spark, sf):
+    from revtide.operators import edges as E
+
+    return E.coauthor_matrix(*_nations(spark, sf), dense=True, direct_rows=28)
+
+
+@query
+def degree_centrality(spark, sf):
+    from revtide.operators import edges as E
+    from revtide.operators.graph import degree_centrality as degree
+
+    return degree(E.author_file_edges(*_orders(spark, sf)))
+
+
+def _directory_graph(spark, sf):
+    """Brand directories changed together more often than the average pair."""
+    from revtide.functions.paths import dir_prefix
+    from revtide.operators import edges as E
+
+    _, ch = _orders(spark, sf)
+    links = E.cochange_edges(ch.withColumn("changedpath", dir_prefix("changedpath")))
+    typical = links.agg(F.avg("weight") + 2 * F.stddev_pop("weight")).scalar()
+    return links.filter(F.col("weight") > typical)
+
+
+def _often_together(spark, sf):
+    from revtide.operators import edges as E
+
+    _, ch = _orders(spark, sf)
+    return E.filter_edges(E.cochange_edges(ch), 2.0)
+
+
+@query
+def k_core(spark, sf):
+    from revtide.operators.graph import k_core as core
+
+    return core(_often_together(spark, sf), 3)
+
+
+@query
+def connected_components(spark, sf):
+    from revtide.operators.graph import connected_components as components
+
+    return components(_often_together(spark, sf))
+
+
+@query
+def largest_component(spark, sf):
+    from revtide.operators.graph import largest_component as largest
+
+    return largest(_often_together(spark, sf))
+
+
+@query
+def components_min_size(spark, sf):
+    from revtide.operators.graph import components_min_size as parts
+
+    return parts(_often_together(spark, sf), 3)
+
+
+@query
+def closeness_centrality(spark, sf):
+    from revtide.operators.graph import closeness_centrality as closeness
+
+    return closeness(_directory_graph(spark, sf))
+
+
+@query
+def closeness_file_network(spark, sf):
+    from revtide.operators.graph import closeness_centrality as closeness
+    from revtide.plans.networks import file_network as network
+
+    return closeness(network(*_orders(spark, sf)))
+
+
+@query
+def weighted_closeness(spark, sf):
+    from revtide.operators.edges import inverse_log_weights
+    from revtide.operators.graph import closeness_centrality as closeness
+
+    return closeness(inverse_log_weights(_directory_graph(spark, sf)), "weight")
+
+
+@query
+def graph_stats(spark, sf):
+    from revtide.operators.graph import graph_stats as stats
+
+    return stats(_directory_graph(spark, sf))
+
+
+@query
+def graph_center(spark, sf):
+    from revtide.operators.graph import graph_center as center
+
+    return center(_directory_graph(spark, sf))
+
+
+@query
+def betweenness(spark, sf):
+    from revtide.operators.graph import betweenness as between
+
+    return between(_directory_graph(spark, sf))
+
+
+@query
+def edge_betweenness(spark, sf):
+    from revtide.operators.graph import edge_betweenness as between
+
+    return between(_directory_graph(spark, sf))
+
+
+@query
+def trim_by_edge_betweenness(spark, sf):
+    from revtide.operators.graph import trim_by_edge_betweenness as trim
+
+    return trim(_directory_graph(spark, sf))
+
+
+@query
+def minimum_spanning_tree(spark, sf):
+    from revtide.operators.edges import inverse_log_weights
+    from revtide.operators.graph import minimum_spanning_tree as mst
+
+    return mst(inverse_log_weights(_directory_graph(spark, sf)))
+
+
+@query
+def degree_over_time(spark, sf):
+    from revtide.operators.timeline import degree_over_time as timeline
+
+    return timeline(*_nations(spark, sf))
+
+
+@query
+def closeness_over_time(spark, sf):
+    from revtide.operators.timeline import closeness_over_time as timeline
+
+    return timeline(*_nations(spark, sf), ["1995-01-10", "1996-12-31"])
+
+
+@query
+def path_treemap(spark, sf):
+    from revtide.operators.treemap import path_treemap as treemap
+
+    _, ch = _orders(spark, sf)
+    return treemap(_often_together(spark, sf), A.path_change_counts(ch), "/", 10)
+
+
+@query
+def author_nodes(spark, sf):
+    from revtide.sources.sinks import author_nodes as nodes
+
+    rev, _ = _orders(spark, sf)
+    return nodes(rev)
+
+
+@query
+def numbered_edges(spark, sf):
+    from revtide.operators import edges as E
+    from revtide.sources import sinks
+
+    rev, ch = _nations(spark, sf)
+    return sinks.numbered_edges(sinks.author_nodes(rev), E.coauthor_edges(rev, ch))

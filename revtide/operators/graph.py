@@ -71,6 +71,7 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> Da
     smaller neighbours to the smallest one. Rows never outnumber the edges, and the
     number of rounds grows with the logarithm of the size.
     """
+    edges = cut_lineage(edges.select("src", "dst"))
     e = cut_lineage(
         edges.filter(F.col("src") != F.col("dst"))
         .select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
@@ -117,6 +118,7 @@ def component_sizes(components: DataFrame) -> DataFrame:
 
 def largest_component(edges: DataFrame) -> DataFrame:
     """Edges of the largest component (the smallest name breaks a tie)."""
+    edges = cut_lineage(edges)
     comp = cut_lineage(connected_components(edges))
     best = component_sizes(comp).orderBy(F.col("size").desc(), "component").limit(1)
     inside = comp.join(best, "component", "left_semi").select(F.col("node").alias("src"))
@@ -138,6 +140,7 @@ def hop_profile(edges: DataFrame, max_hops: int | None = None) -> DataFrame:
     and hop 0 always is.
     """
     links = cut_lineage(both_ways(edges))
+    edges = links.select(F.col("u").alias("src"), F.col("v").alias("dst"))
     ids = dense_ids(nodes_of(edges), hash_bucket("node"), ["node"], "_id", 1)
     state = cut_lineage(
         ids.groupBy("node", F.bitmap_bucket_number("_id").alias("piece")).agg(
@@ -199,6 +202,7 @@ def closeness_centrality(edges: DataFrame, weight: str | None = None) -> DataFra
     """
     if weight is None:
         return _closeness_from(hop_profile(edges))
+    edges = cut_lineage(edges)
     dist = shortest_paths(edges, weight)
     sums = dist.groupBy(F.col("source").alias("node")).agg(
         F.count(F.lit(1)).alias("_r"), F.sum("distance").alias("_d")
@@ -218,7 +222,7 @@ def shortest_paths(edges: DataFrame, weight: str, sources: DataFrame | None = No
     links = cut_lineage(
         both_ways(edges, weight).select("u", "v", F.col(weight).cast("double").alias("_len"))
     )
-    starts = (sources if sources is not None else nodes_of(edges)).select("node")
+    starts = (sources if sources is not None else links.select(F.col("u").alias("node")).distinct()).select("node")
     best = cut_lineage(
         starts.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("distance"))
     )
@@ -250,6 +254,7 @@ def eccentricity(edges: DataFrame) -> DataFrame:
 
 def graph_stats(edges: DataFrame) -> DataFrame:
     """One row: nodes, links, radius, diameter."""
+    edges = cut_lineage(edges)
     ecc = eccentricity(edges)
     links = both_ways(edges).agg((F.count(F.lit(1)) / 2).cast("long")).scalar()
     return ecc.agg(
@@ -275,6 +280,7 @@ def _dependencies(edges: DataFrame, sources: DataFrame | None) -> tuple[DataFram
 
     Returns (node totals, edge totals, nodes), both summed over all sources.
     """
+    edges = cut_lineage(edges)
     links = cut_lineage(both_ways(edges))
     nodes = cut_lineage(nodes_of(edges))
     starts = nodes if sources is None else sources.select("node")
@@ -356,6 +362,7 @@ def trim_by_edge_betweenness(edges: DataFrame) -> DataFrame:
 
     Counts are compared inside each component, where scaling does not matter.
     """
+    edges = cut_lineage(edges)
     scores = cut_lineage(edge_betweenness(edges, normalized=False))
     comp = connected_components(edges)
     placed = scores.join(comp.withColumnRenamed("node", "src"), "src")

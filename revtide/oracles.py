@@ -328,3 +328,317 @@ ORACLES: dict[str, str] = {
         """r AS (SELECT msg, author, count(*) AS commits,
              row_number() OVER (PARTITION BY msg ORDER BY count(*) DESC, author) AS rn FROM revisions GROUP BY 1, 2)"""),
 }
+
+STOP = (
+    "\\d+|an|the|me|my|we|you|he|she|it|are|is|am|will|shall|should|would|had|have|has|was|were|be|been|"
+    "this|that|there|who|when|how|where|which|already|after|by|on|or|so|also|got|get|do|don''t|from|all|but|"
+    "yet|to|in|out|of|for|if|yes|no|not|may|can|could|at|as|with|without"
+)
+
+
+def _words(min_freq: int, tail: str) -> str:
+    return f"""
+raw AS (SELECT unnest(regexp_split_to_array(text, '\\s+')) AS w FROM documents),
+counts AS (SELECT lower(w) AS word, count(*) AS freq FROM raw
+           WHERE length(w) >= 2 AND NOT regexp_matches(w, '(?i)^(?:{STOP}){tail}') GROUP BY 1 HAVING count(*) >= {min_freq}),
+stems AS (SELECT word, p, CASE WHEN ends_with(word, x) THEN left(word, length(word) - length(x)) END AS stem
+          FROM counts, (VALUES (0, 'ed'), (1, 'ing'), (2, 's'), (3, 'es')) v(p, x)),
+parents AS (SELECT s.word, arg_min(s.stem, s.p) AS parent FROM stems s JOIN counts c ON c.word = s.stem GROUP BY 1),
+chain(word, root) AS (SELECT word, word FROM counts
+                      UNION ALL SELECT c.word, p.parent FROM chain c JOIN parents p ON p.word = c.root),
+merged AS (SELECT root AS word, CAST(sum(freq) AS BIGINT) AS freq
+           FROM chain JOIN counts USING (word) WHERE root NOT IN (SELECT word FROM parents) GROUP BY 1)"""
+
+
+def _level(points: list[tuple[float, float]]) -> str:
+    arms = "".join(
+        f" WHEN h <= {x1} THEN {y0} + (h - {x0}) / ({x1} - {x0}) * ({y1} - {y0})"
+        for (x0, y0), (x1, y1) in zip(points[:-1], points[1:])
+    )
+    return f"CAST(floor(255 * (CASE{arms} END) + 0.5) AS INTEGER)"
+
+
+RELEASES = """
+files AS (SELECT revno * 10 AS revno, changedpath, changetype, linesadded, linesdeleted FROM changes),
+sup AS (SELECT CAST(s_suppkey AS VARCHAR) AS k, s_acctbal AS bal, s_suppkey * 1500 + 605 AS at_rev,
+               s_suppkey * 1500 + 600 - s_nationkey * 10 AS cr,
+               '/' || p_type || '/' || replace(p_brand, '#', '') || '/' AS brand
+        FROM supplier JOIN part ON p_partkey = s_suppkey),
+state AS (SELECT k, bal, at_rev, cr, brand, changedpath,
+                 max(revno) FILTER (changetype IN ('A', 'R')) AS a, max(revno) FILTER (changetype = 'D') AS d,
+                 sum(linesadded - linesdeleted) AS net
+          FROM sup JOIN files ON starts_with(changedpath, brand) AND revno <= cr GROUP BY ALL),
+tagged AS (SELECT k, bal, at_rev, at_rev AS revno, '/tags/' || k || '/' || substr(changedpath, length(brand) + 1) AS changedpath,
+                  changedpath AS copyfrompath, cr AS copyfromrev, CAST(greatest(net, 0) AS BIGINT) AS lines
+           FROM state WHERE a >= coalesce(d, -1)),
+again AS (SELECT at_rev + CASE WHEN bal < 0 THEN 202 ELSE 303 END AS revno,
+                 CASE WHEN bal < 0 THEN '/restored/' ELSE '/releases/' END || substr(changedpath, 7) AS changedpath,
+                 changedpath AS copyfrompath, at_rev + CASE WHEN bal < 0 THEN 50 ELSE 250 END AS copyfromrev, lines
+          FROM tagged WHERE bal < 0 OR bal > 5000)"""
+
+DICTIONARY = """
+words AS (SELECT path, row_number() OVER (ORDER BY substr(md5(path), 1, 3), path) AS path_id
+          FROM (SELECT DISTINCT changedpath AS path FROM changes WHERE changetype = 'A')),
+encoded AS (SELECT revno, path_id AS changedpathid, path_id - 1 AS copyfrompathid, linesadded
+            FROM changes JOIN words ON path = changedpath)"""
+
+
+def _pairs(path: str = "changedpath") -> str:
+    return f"""
+items AS (SELECT revno, {path} AS p, count(*) AS n FROM changes GROUP BY 1, 2),
+pairs AS (SELECT a.p AS src, b.p AS dst, a.revno, a.n * b.n AS n FROM items a JOIN items b ON a.revno = b.revno AND a.p < b.p)"""
+
+
+COCHANGE = _pairs() + """,
+links AS (SELECT src, dst, CAST(sum(n) AS DOUBLE) AS weight FROM pairs GROUP BY 1, 2)"""
+DECAYED = _pairs() + """,
+links AS (SELECT src, dst, sum(n * 10 * exp(-0.005 * (m - CAST(commitdate AS DATE)))) AS weight
+          FROM pairs JOIN revisions USING (revno), (
+            SELECT max(CAST(commitdate AS DATE)) AS m FROM revisions WHERE revno IN (SELECT revno FROM changes))
+          GROUP BY 1, 2)"""
+OFTEN = COCHANGE + ", e AS (SELECT src, dst, weight FROM links WHERE weight >= 2)"
+DIRECTORY_GRAPH = _pairs(DIR2) + """,
+links AS (SELECT src, dst, CAST(sum(n) AS DOUBLE) AS weight FROM pairs GROUP BY 1, 2),
+e AS (SELECT src, dst, weight FROM links WHERE weight > (SELECT avg(weight) + 2 * stddev_pop(weight) FROM links))"""
+
+
+def _core(k: int) -> str:
+    return f"""
+peel(it, src, dst, weight) AS (
+  SELECT 0, src, dst, weight FROM e
+  UNION ALL
+  SELECT it + 1, src, dst, weight FROM (
+    SELECT *, (SELECT count(*) FROM peel) AS total, count(*) OVER () AS kept FROM peel
+    WHERE src IN (SELECT n FROM (SELECT src AS n FROM peel UNION ALL SELECT dst FROM peel) GROUP BY n HAVING count(*) >= {k})
+      AND dst IN (SELECT n FROM (SELECT src AS n FROM peel UNION ALL SELECT dst FROM peel) GROUP BY n HAVING count(*) >= {k}))
+  WHERE kept < total),
+last AS (SELECT src, dst, weight FROM peel WHERE it = (SELECT max(it) FROM peel)),
+core AS (SELECT * FROM last
+         WHERE src IN (SELECT n FROM (SELECT src AS n FROM last UNION ALL SELECT dst FROM last) GROUP BY n HAVING count(*) >= {k})
+           AND dst IN (SELECT n FROM (SELECT src AS n FROM last UNION ALL SELECT dst FROM last) GROUP BY n HAVING count(*) >= {k}))"""
+
+
+COMPONENTS = """
+g AS (SELECT src AS u, dst AS v FROM e UNION ALL SELECT dst, src FROM e),
+closure(node, r) AS (SELECT DISTINCT u, u FROM g UNION SELECT c.node, g.v FROM closure c JOIN g ON g.u = c.r),
+comp AS (SELECT node, min(r) AS component FROM closure GROUP BY 1)"""
+DISTANCES = """
+g AS (SELECT src AS u, dst AS v FROM e UNION ALL SELECT dst, src FROM e),
+walk(s, v, d) AS (SELECT DISTINCT u, u, 0 FROM g UNION SELECT w.s, g.v, w.d + 1 FROM walk w JOIN g ON g.u = w.v WHERE w.d < 25),
+dist AS (SELECT s, v, min(d) AS d FROM walk GROUP BY 1, 2),
+close AS (SELECT s AS node, CASE WHEN sum(d) > 0 THEN (count(*) - 1) / CAST(sum(d) AS DOUBLE) * (count(*) - 1)
+            / ((SELECT count(DISTINCT u) FROM g) - 1) ELSE 0 END AS closeness, max(d) AS ecc FROM dist GROUP BY 1)"""
+PATHS = """
+sp(s, v, d) AS (SELECT DISTINCT u, u, 0 FROM g UNION ALL
+  SELECT sp.s, g.v, sp.d + 1 FROM sp JOIN g ON g.u = sp.v JOIN dist ON dist.s = sp.s AND dist.v = g.v AND dist.d = sp.d + 1),
+sigma AS (SELECT s, v, any_value(d) AS d, CAST(count(*) AS DOUBLE) AS c FROM sp GROUP BY 1, 2),
+nn AS (SELECT count(DISTINCT u) AS n FROM g),
+eb AS (SELECT least(g.u, g.v) AS src, greatest(g.u, g.v) AS dst, sum(x.c * y.c / z.c) AS total
+       FROM g JOIN sigma x ON x.v = g.u JOIN sigma y ON y.s = g.v
+       JOIN sigma z ON z.s = x.s AND z.v = y.v AND z.d = x.d + 1 + y.d GROUP BY 1, 2)"""
+NATIONS = """
+revisions AS (
+  SELECT o_orderkey AS revno, o_orderdate AS commitdate, n_name AS author, o_orderpriority AS msg
+  FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey)"""
+_CHANGES_ONLY = ORDERS[ORDERS.index("changes AS"):]
+
+
+def _n(body: str, *ctes: str) -> str:
+    return "WITH RECURSIVE " + ",".join((NATIONS, _CHANGES_ONLY, *ctes)) + body
+
+
+COAUTHOR = """
+touch AS (SELECT author, changedpath, revno, linesadded FROM changes JOIN revisions USING (revno) WHERE linesadded > 0),
+firsts AS (SELECT author, changedpath, min(revno) AS f FROM touch GROUP BY 1, 2),
+co AS (SELECT t.author AS src, x.author AS dst, CAST(sum(t.linesadded) AS DOUBLE) AS weight
+       FROM touch t JOIN firsts x ON x.changedpath = t.changedpath AND x.f < t.revno AND x.author <> t.author
+       GROUP BY 1, 2 HAVING sum(t.linesadded) > 1)"""
+NODES = """
+nodes AS (SELECT author AS label, row_number() OVER (ORDER BY min(revno)) - 1 AS id FROM revisions GROUP BY 1)"""
+FIRST_LINKS = """
+links AS (SELECT author, changedpath, min(CAST(commitdate AS DATE)) AS day FROM changes JOIN revisions USING (revno) GROUP BY 1, 2)"""
+
+
+def _closeness_on(day: str) -> str:
+    return f"""SELECT substr(s, 3) AS author, '{day}' AS day,
+        round((count(*) - 1) / CAST(sum(d) AS DOUBLE) * (count(*) - 1) / (any_value(n) - 1), 4) AS closeness
+      FROM (SELECT s, v, min(d) AS d FROM walk{day.replace('-', '')} GROUP BY 1, 2),
+           (SELECT count(DISTINCT u) AS n FROM g{day.replace('-', '')}) GROUP BY s"""
+
+
+def _walk_on(day: str) -> str:
+    tag = day.replace("-", "")
+    return f"""
+g{tag} AS (SELECT 'a:' || author AS u, 'f:' || changedpath AS v FROM links WHERE day <= '{day}'
+           UNION ALL SELECT 'f:' || changedpath, 'a:' || author FROM links WHERE day <= '{day}'),
+walk{tag}(s, v, d) AS (SELECT DISTINCT u, u, 0 FROM g{tag} WHERE u LIKE 'a:%' UNION
+  SELECT w.s, g.v, w.d + 1 FROM walk{tag} w JOIN g{tag} g ON g.u = w.v WHERE w.d < 25)"""
+
+
+ORACLES.update({
+    # Text
+    "word_frequency": "WITH RECURSIVE " + _words(3, "") + " SELECT word, freq FROM merged",
+    "word_frequency_exact": "WITH RECURSIVE " + _words(10, "$") + " SELECT word, freq FROM merged",
+    "tag_cloud": "WITH RECURSIVE " + _words(5, "") + " SELECT word, freq FROM merged ORDER BY freq DESC, word LIMIT 50",
+    "cloud_style": _e(f"""SELECT author, commits, round(temp, 4) AS activity,
+          CAST(floor(10 + (ln(commits) - base) * CASE WHEN hi = base THEN 1 ELSE 20 / (hi - base) END + 0.5) AS BIGINT) AS font_size,
+          round(h0, 4) AS score_norm,
+          printf('#%02X%02X%02X', {_level([(0.0, 0.0), (0.35, 0.0), (0.66, 1.0), (0.89, 1.0), (1.0, 0.5)])},
+            {_level([(0.0, 0.0), (0.125, 0.0), (0.375, 1.0), (0.64, 1.0), (0.91, 0.0), (1.0, 0.0)])},
+            {_level([(0.0, 0.5), (0.11, 1.0), (0.34, 1.0), (0.65, 0.0), (1.0, 0.0)])}) AS color
+        FROM (SELECT *, ln(c1) AS hi, ln(c0) - (ln(c1) - ln(c0)) / 20 AS base, least(greatest(h0, 0.0000001), 1.0) AS h FROM (
+          SELECT *, CASE WHEN temp - s0 > 1 THEN ln(temp - s0) / ln(s1 - s0) ELSE 0 END AS h0 FROM shown, (
+            SELECT min(commits) AS c0, max(commits) AS c1, min(temp) AS s0, max(temp) AS s1 FROM shown)))""",
+        AUTHOR_FOLD, "shown AS (SELECT * FROM final WHERE temp > 0 ORDER BY temp DESC, author LIMIT 50)"),
+    # Log preparation
+    "normalize_paths": """SELECT page_id AS revno, regexp_replace(regexp_replace(regexp_replace(url, '^[a-z]+:', ''),
+          '[?#].*$', ''), '/+', '/', 'g') AS path FROM pages""",
+    "path_functions": _o("""SELECT DISTINCT changedpath, regexp_extract(changedpath, '(\\.[a-z]+)$', 1) AS file_type,
+          '/' || split_part(changedpath, '/', 2) AS dir1,
+          regexp_extract(changedpath, '^(.*)/[^/]*$', 1) AS dir3,
+          regexp_extract(changedpath, '^(.*)/[^/]*$', 1) AS parent,
+          split_part(changedpath, '/', 4) AS base,
+          CASE WHEN starts_with(changedpath, '/PROMO') THEN substr(changedpath, 7) ELSE changedpath END AS relative,
+          changedpath LIKE '%.js' AS is_binary
+        FROM p""", """p AS (SELECT '/' || p_type || '/' || replace(p_brand, '#', '') || '/' || replace(p_name, ' ', '_') || '_'
+             || CAST(p_partkey AS VARCHAR)
+             || CASE p_size % 4 WHEN 0 THEN '.py' WHEN 1 THEN '.html' WHEN 2 THEN '.js' ELSE '' END AS changedpath FROM part)"""),
+    "sql_functions": _o(f"""SELECT regexp_extract(changedpath, '(\\.[a-z]+)$', 1) AS ext, {DIR1} AS dir,
+          round(sum(1.1 + 8.9 * exp(-0.0025 * (epoch_us(TIMESTAMP '2001-09-01') - epoch_us(commitdate)) / 3.6e9)), 4) AS heat
+        FROM revisions JOIN changes USING (revno) GROUP BY 1, 2"""),
+    "inherit_copyfrom": _o(f"""SELECT c.revno, changedpath, changetype,
+          CASE WHEN changetype = 'A' THEN NULL WHEN b.revno IS NOT NULL THEN '/old' || changedpath
+               WHEN t.revno IS NOT NULL THEN '/base' || changedpath END AS copyfrompath,
+          CASE WHEN changetype = 'A' THEN NULL WHEN b.revno IS NOT NULL THEN c.revno - 2
+               WHEN t.revno IS NOT NULL THEN c.revno - 1 END AS copyfromrev, count(*) AS n
+        FROM changes c
+        LEFT JOIN (SELECT DISTINCT revno, {DIR2} AS dir FROM changes WHERE changetype = 'A') b
+          ON b.revno = c.revno AND b.dir = {DIR2}
+        LEFT JOIN (SELECT DISTINCT revno, {DIR1} AS dir FROM changes WHERE changetype = 'D') t
+          ON t.revno = c.revno AND t.dir = {DIR1}
+        GROUP BY ALL"""),
+    "copied_and_deleted_dirs": """SELECT s_suppkey * 1500 + 605 AS revno, '/tags/' || CAST(s_suppkey AS VARCHAR) || '/' AS changedpath,
+          'copy' AS what FROM supplier JOIN part ON p_partkey = s_suppkey
+        UNION ALL SELECT s_suppkey * 1500 + 706, '/tags/' || CAST(s_suppkey AS VARCHAR) || '/', 'delete'
+          FROM supplier JOIN part ON p_partkey = s_suppkey WHERE s_acctbal < 0
+        UNION ALL SELECT s_suppkey * 1500 + 807, '/restored/' || CAST(s_suppkey AS VARCHAR) || '/', 'copy'
+          FROM supplier JOIN part ON p_partkey = s_suppkey WHERE s_acctbal < 0
+        UNION ALL SELECT s_suppkey * 1500 + 908, '/releases/' || CAST(s_suppkey AS VARCHAR) || '/', 'copy'
+          FROM supplier JOIN part ON p_partkey = s_suppkey WHERE s_acctbal > 5000""",
+    "revision_file_counts": _o("""SELECT revno, count(*) FILTER (changetype = 'A') AS added_files,
+          count(*) FILTER (changetype IN ('M', 'R')) AS changed_files,
+          count(*) FILTER (changetype = 'D') AS deleted_files FROM changes GROUP BY 1"""),
+    "diff_line_counts": _o("""SELECT changedpath, count(*) AS n, CAST(sum(linesadded) AS BIGINT) AS added,
+          CAST(sum(linesdeleted) AS BIGINT) AS deleted FROM d GROUP BY 1
+        UNION ALL SELECT '/props/' || changetype, count(*), 0, 0 FROM d GROUP BY 1""",
+        "d AS (SELECT DISTINCT revno, changedpath, changetype, linesadded, linesdeleted FROM changes)"),
+    "text_line_counts": """SELECT doc_id, length(text) - length(replace(text, chr(10), ''))
+          + CASE WHEN length(text) > 0 AND right(text, 1) <> chr(10) THEN 1 ELSE 0 END AS lines FROM documents""",
+    "resolve_line_counts": _o("""SELECT changedpath, changetype, 'Y' AS lc_updated,
+          CAST(sum(CASE changetype WHEN 'A' THEN lines WHEN 'R' THEN coalesce(fa, lines) WHEN 'M' THEN fa ELSE 0 END) AS BIGINT) AS added,
+          CAST(sum(CASE changetype WHEN 'D' THEN before WHEN 'A' THEN 0 ELSE coalesce(fd, 0) END) AS BIGINT) AS deleted
+        FROM changes c
+        LEFT JOIN (SELECT revno AS r1, changedpath AS p1, max(lines) AS lines FROM contents GROUP BY 1, 2)
+          ON r1 = revno AND p1 = changedpath
+        LEFT JOIN (SELECT revno AS r2, changedpath AS p2, max(lines) AS before FROM contents GROUP BY 1, 2)
+          ON r2 = revno - 1 AND p2 = changedpath
+        LEFT JOIN (SELECT revno AS r3, changedpath AS p3, max(linesadded) AS fa, max(linesdeleted) AS fd FROM changes
+                   WHERE changetype = 'M' OR (changetype = 'R' AND linesdeleted > 4) GROUP BY 1, 2)
+          ON r3 = revno AND p3 = changedpath
+        GROUP BY 1, 2""",
+        """contents AS (SELECT revno, changedpath, linesadded + 1 AS lines FROM changes WHERE changetype IN ('A', 'R')
+             UNION ALL SELECT revno - 1, changedpath, linesadded + 2 FROM changes WHERE changetype = 'D')"""),
+    "encode_paths": _o("""SELECT path_id, path FROM words UNION ALL
+        SELECT (SELECT max(path_id) FROM words) + row_number() OVER (ORDER BY substr(md5(path), 1, 3), path), path
+        FROM (SELECT DISTINCT changedpath AS path FROM changes WHERE changedpath NOT IN (SELECT path FROM words))""", DICTIONARY),
+    "change_view": _o("""SELECT a.path AS changedpath, b.path AS copyfrompath, count(*) AS n, CAST(sum(linesadded) AS BIGINT) AS lines
+        FROM encoded LEFT JOIN words a ON a.path_id = changedpathid LEFT JOIN words b ON b.path_id = copyfrompathid
+        GROUP BY 1, 2""", DICTIONARY),
+    "repair_path_dictionary": _o("""SELECT changedpathid, path AS changedpath, count(*) AS n, CAST(sum(linesadded) AS BIGINT) AS lines
+        FROM encoded JOIN words ON path_id = changedpathid GROUP BY 1, 2""", DICTIONARY),
+    "live_files": _o("""SELECT changedpath, max(revno) FILTER (changetype IN ('A', 'R')) AS addrevno FROM changes
+        WHERE revno <= 9000 AND changedpath LIKE '/STANDARD/%' GROUP BY 1
+        HAVING max(revno) FILTER (changetype IN ('A', 'R')) >= coalesce(max(revno) FILTER (changetype = 'D'), -1)"""),
+    "expand_dir_copies": _o("""SELECT revno, changedpath, 'A' AS changetype, copyfrompath, copyfromrev, lines AS linesadded,
+          0 AS linesdeleted FROM tagged
+        UNION ALL SELECT revno, changedpath, 'A', copyfrompath, copyfromrev, lines, 0 FROM again""", RELEASES),
+    "expand_dir_deletes": _o("""SELECT at_rev + 101 AS revno, changedpath, 0 AS linesadded, lines AS linesdeleted
+        FROM tagged WHERE bal < 0""", RELEASES),
+    "update_file_counters": _o("""SELECT revno,
+          count(changetype) FILTER (changetype = 'A') + count(changetype) FILTER (linesadded > 30 AND changetype <> 'A') AS added_files,
+          count(changetype) FILTER (changetype IN ('M', 'R')) AS changed_files,
+          count(changetype) FILTER (changetype = 'D') + count(changetype) FILTER (linesadded > 30 AND changetype = 'A') AS deleted_files
+        FROM revisions LEFT JOIN changes USING (revno) GROUP BY 1"""),
+    "overlay_line_counts": _o("""SELECT c.changedpath, 'Y' AS lc_updated, CAST(sum(coalesce(a, linesadded)) AS BIGINT) AS added,
+          CAST(sum(CASE WHEN a IS NULL THEN linesdeleted ELSE 1 END) AS BIGINT) AS deleted
+        FROM changes c LEFT JOIN (SELECT revno, changedpath, max(linesadded * 2) AS a FROM changes WHERE changetype = 'R'
+                                  GROUP BY 1, 2) u USING (revno, changedpath) GROUP BY 1"""),
+    "append_new": _e("""SELECT revno, author FROM revisions
+        WHERE revno > (SELECT max(revno) FROM revisions WHERE commitdate < '2024-01-16')"""),
+    "stream_new": _e(f"""SELECT {DAY.format('CAST(commitdate AS DATE)')} AS day, count(*) AS commits FROM revisions GROUP BY 1"""),
+    "merge_scores": _e("SELECT author, round(temp, 4) AS temperature FROM final", AUTHOR_FOLD),
+    # Edges and graphs
+    "author_file_edges": _o("""SELECT author AS src, changedpath AS dst, CAST(count(*) AS DOUBLE) AS weight
+        FROM changes JOIN revisions USING (revno) GROUP BY 1, 2"""),
+    "rev_file_edges": _o("SELECT DISTINCT CAST(revno AS VARCHAR) AS src, changedpath AS dst, CAST(2 AS DOUBLE) AS weight FROM changes"),
+    "cochange_edges": _o("SELECT * FROM links", COCHANGE),
+    "cochange_edges_blocks": _o("SELECT * FROM links", COCHANGE),
+    "cochange_edges_decayed": _o("SELECT src, dst, round(weight, 4) AS weight FROM links", DECAYED),
+    "author_network": _o("""SELECT src, dst, round(1 / ln(w), 4) AS weight FROM (
+          SELECT author AS src, changedpath AS dst, count(*) AS w FROM changes JOIN revisions USING (revno) GROUP BY 1, 2)
+        WHERE w >= 1.1"""),
+    "file_network": _o("SELECT src, dst, round(weight, 4) AS weight FROM core", DECAYED,
+        "e AS (SELECT src, dst, weight FROM links WHERE weight >= 1)", _core(5)),
+    "drop_node": _n("""SELECT author AS src, changedpath AS dst, CAST(count(*) AS DOUBLE) AS weight
+        FROM changes JOIN revisions USING (revno) WHERE author <> 'NATION_3' GROUP BY 1, 2 HAVING count(*) >= 2"""),
+    "coauthor_edges": _n("SELECT * FROM co", COAUTHOR),
+    "coauthor_matrix": _n("""SELECT a.author AS src, b.author AS dst, coalesce(w, 0) AS weight
+        FROM (SELECT DISTINCT author FROM revisions) a CROSS JOIN (SELECT DISTINCT author FROM revisions) b
+        LEFT JOIN (SELECT x.author AS s, y.author AS t, CAST(sum(y.linesadded) AS BIGINT) AS w FROM r x JOIN r y
+                   ON x.changedpath = y.changedpath AND y.revno <= x.revno GROUP BY 1, 2) m
+          ON m.s = a.author AND m.t = b.author""",
+        "r AS (SELECT author, changedpath, revno, linesadded FROM changes JOIN revisions USING (revno))"),
+    "degree_centrality": _o("""SELECT node, count(*) AS degree,
+          round(count(*) / CAST((SELECT count(*) FROM (SELECT DISTINCT u FROM g)) - 1 AS DOUBLE), 4) AS centrality
+        FROM (SELECT u AS node, v FROM g) GROUP BY 1""",
+        """pairs AS (SELECT DISTINCT author AS a, changedpath AS b FROM changes JOIN revisions USING (revno)),
+        g AS (SELECT a AS u, b AS v FROM pairs UNION ALL SELECT b, a FROM pairs)"""),
+    "k_core": _o("SELECT * FROM core", OFTEN, _core(3)),
+    "connected_components": _o("SELECT node, component FROM comp", OFTEN, COMPONENTS),
+    "largest_component": _o("""SELECT e.* FROM e JOIN comp ON node = src WHERE component = (
+          SELECT component FROM comp GROUP BY 1 ORDER BY count(*) DESC, component LIMIT 1)""", OFTEN, COMPONENTS),
+    "components_min_size": _o("""SELECT component, node, n AS size FROM comp JOIN (
+          SELECT component, count(*) AS n FROM comp GROUP BY 1 HAVING count(*) >= 3) USING (component)""", OFTEN, COMPONENTS),
+    "closeness_centrality": _o("SELECT node, round(closeness, 4) AS closeness FROM close", DIRECTORY_GRAPH, DISTANCES),
+    "graph_stats": _o("""SELECT count(*) AS n_nodes, min(ecc) AS radius, max(ecc) AS diameter,
+          (SELECT count(*) FROM e) AS n_edges FROM close""", DIRECTORY_GRAPH, DISTANCES),
+    "graph_center": _o("SELECT node, ecc AS eccentricity FROM close WHERE ecc = (SELECT min(ecc) FROM close)",
+        DIRECTORY_GRAPH, DISTANCES),
+    "betweenness": _o("""SELECT u AS node, round(coalesce(t, 0) / ((n - 1) * (n - 2)), 4) AS betweenness
+        FROM (SELECT DISTINCT u FROM g) CROSS JOIN nn LEFT JOIN (
+          SELECT x.v AS node, sum(x.c * y.c / z.c) AS t FROM sigma x JOIN sigma y ON y.s = x.v
+          JOIN sigma z ON z.s = x.s AND z.v = y.v AND z.d = x.d + y.d
+          WHERE x.s <> x.v AND y.v <> x.v AND x.s <> y.v GROUP BY 1) ON node = u""", DIRECTORY_GRAPH, DISTANCES, PATHS),
+    "edge_betweenness": _o("SELECT src, dst, round(total / (n * (n - 1)), 4) AS betweenness FROM eb, nn",
+        DIRECTORY_GRAPH, DISTANCES, PATHS),
+    "trim_by_edge_betweenness": _o("""SELECT e.src, e.dst, e.weight FROM e JOIN eb ON eb.src = e.src AND eb.dst = e.dst
+        JOIN place ON place.node = e.src
+        JOIN (SELECT component, count(*) AS n, avg(total) + stddev_pop(total) AS lim FROM eb JOIN place ON node = src GROUP BY 1) l
+          ON l.component = place.component
+        WHERE n <= 3 OR total <= lim""", DIRECTORY_GRAPH, DISTANCES, PATHS,
+        "place AS (SELECT s AS node, min(v) AS component FROM dist GROUP BY 1)"),
+    "degree_over_time": _n("""SELECT author, strftime(day, '%Y-%m-%d') AS day, CAST(deg AS BIGINT) AS degree,
+          round(deg / CAST(nodes - 1 AS DOUBLE), 4) AS centrality
+        FROM (SELECT author, d.day, (SELECT count(*) FROM links l WHERE l.author = a.author AND l.day <= d.day) AS deg, nodes
+              FROM (SELECT author, min(day) AS born FROM links GROUP BY 1) a JOIN nodes_on d ON d.day >= a.born)""",
+        FIRST_LINKS,
+        """nodes_on AS (SELECT day, (SELECT count(*) FROM born b WHERE b.day <= x.day) AS nodes FROM (
+             SELECT DISTINCT CAST(commitdate AS DATE) AS day FROM revisions WHERE revno IN (SELECT revno FROM changes)) x),
+        born AS (SELECT min(day) AS day FROM links GROUP BY author UNION ALL SELECT min(day) FROM links GROUP BY changedpath)"""),
+    "closeness_over_time": _n(_closeness_on("1995-01-10") + " UNION ALL " + _closeness_on("1996-12-31"), FIRST_LINKS,
+        _walk_on("1995-01-10"), _walk_on("1996-12-31")),
+    "author_nodes": _o("SELECT id, label FROM nodes", NODES),
+    "numbered_edges": _n("""SELECT row_number() OVER (ORDER BY substr(md5(src || chr(0) || dst), 1, 3), src, dst) - 1 AS id,
+          a.id AS source, b.id AS target, weight
+        FROM co JOIN nodes a ON a.label = src JOIN nodes b ON b.label = dst""", COAUTHOR, NODES),
+})
