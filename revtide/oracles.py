@@ -428,6 +428,18 @@ walk(s, v, d) AS (SELECT DISTINCT u, u, 0 FROM g UNION SELECT w.s, g.v, w.d + 1
 dist AS (SELECT s, v, min(d) AS d FROM walk GROUP BY 1, 2),
 close AS (SELECT s AS node, CASE WHEN sum(d) > 0 THEN (count(*) - 1) / CAST(sum(d) AS DOUBLE) * (count(*) - 1)
             / ((SELECT count(DISTINCT u) FROM g) - 1) ELSE 0 END AS closeness, max(d) AS ecc FROM dist GROUP BY 1)"""
+# The same for larger graphs: each pair is kept once, at its first (smallest) distance.
+FAR_DISTANCES = """
+g AS (SELECT src AS u, dst AS v FROM e UNION ALL SELECT dst, src FROM e),
+far(s, v, d) USING KEY (s, v) AS (
+  SELECT DISTINCT u, u, 0 FROM g UNION
+  SELECT w.s, g.v, min(w.d + 1) FROM far w JOIN g ON g.u = w.v LEFT JOIN recurring.far x ON x.s = w.s AND x.v = g.v
+  WHERE x.s IS NULL GROUP BY 1, 2),
+close AS (SELECT s AS node, CASE WHEN sum(d) > 0 THEN (count(*) - 1) / CAST(sum(d) AS DOUBLE) * (count(*) - 1)
+            / ((SELECT count(DISTINCT u) FROM g) - 1) ELSE 0 END AS closeness, min(v) AS component, count(*) AS size,
+            (count(*) - 1) / CAST(sum(d) AS DOUBLE) AS inner_closeness FROM far GROUP BY 1)"""
+LENGTHS = """
+lg AS (SELECT src AS u, dst AS v, 1 / ln(weight) AS len FROM e UNION ALL SELECT dst, src, 1 / ln(weight) FROM e)"""
 PATHS = """
 sp(s, v, d) AS (SELECT DISTINCT u, u, 0 FROM g UNION ALL
   SELECT sp.s, g.v, sp.d + 1 FROM sp JOIN g ON g.u = sp.v JOIN dist ON dist.s = sp.s AND dist.v = g.v AND dist.d = sp.d + 1),
@@ -632,11 +644,35 @@ ORACLES.update({
         FROM (SELECT author, d.day, (SELECT count(*) FROM links l WHERE l.author = a.author AND l.day <= d.day) AS deg, nodes
               FROM (SELECT author, min(day) AS born FROM links GROUP BY 1) a JOIN nodes_on d ON d.day >= a.born)""",
         FIRST_LINKS,
-        """nodes_on AS (SELECT day, (SELECT count(*) FROM born b WHERE b.day <= x.day) AS nodes FROM (
-             SELECT DISTINCT CAST(commitdate AS DATE) AS day FROM revisions WHERE revno IN (SELECT revno FROM changes)) x),
-        born AS (SELECT min(day) AS day FROM links GROUP BY author UNION ALL SELECT min(day) FROM links GROUP BY changedpath)"""),
+        """born AS (SELECT min(day) AS day FROM links GROUP BY author UNION ALL SELECT min(day) FROM links GROUP BY changedpath),
+        nodes_on AS (SELECT day, (SELECT count(*) FROM born b WHERE b.day <= x.day) AS nodes FROM (
+             SELECT DISTINCT CAST(commitdate AS DATE) AS day FROM revisions WHERE revno IN (SELECT revno FROM changes)) x)"""),
     "closeness_over_time": _n(_closeness_on("1995-01-10") + " UNION ALL " + _closeness_on("1996-12-31"), FIRST_LINKS,
         _walk_on("1995-01-10"), _walk_on("1996-12-31")),
+    "weighted_closeness": _o("""SELECT s AS node, round((count(*) - 1) / sum(d) * (count(*) - 1)
+          / ((SELECT count(DISTINCT u) FROM lg) - 1), 4) AS closeness
+        FROM (SELECT * FROM relax WHERE it = (SELECT max(it) FROM relax)) GROUP BY 1""", DIRECTORY_GRAPH, LENGTHS,
+        """relax(it, s, v, d) AS (
+             SELECT DISTINCT 0, u, u, CAST(0 AS DOUBLE) FROM lg
+             UNION ALL SELECT it + 1, s, v, min(d) FROM (
+               SELECT it, s, v, d FROM relax UNION ALL SELECT it, s, lg.v, d + len FROM relax JOIN lg ON lg.u = relax.v)
+             WHERE it < 40 GROUP BY it, s, v)"""),
+    "minimum_spanning_tree": _o("""SELECT src, dst, round(len, 4) AS weight FROM ranked r
+        WHERE NOT EXISTS (SELECT 1 FROM grow WHERE grow.r = r.r AND node = dst)""", DIRECTORY_GRAPH, LENGTHS,
+        """ranked AS (SELECT u AS src, v AS dst, len, row_number() OVER (ORDER BY len, u, v) AS r FROM lg WHERE u < v),
+        grow(r, node) AS (SELECT r, src FROM ranked UNION
+          SELECT g.r, CASE WHEN x.src = g.node THEN x.dst ELSE x.src END FROM grow g
+          JOIN ranked x ON (x.src = g.node OR x.dst = g.node) AND x.r < g.r)"""),
+    "path_treemap": _o("""SELECT node, CASE WHEN depth > 0 THEN regexp_extract(node, '^(.*)/[^/]*$', 1) END AS parent,
+          regexp_extract(node, '([^/]*)$', 1) AS name, depth, CAST(sum(n) AS BIGINT) AS size,
+          round(max(CASE WHEN depth = 4 THEN c ELSE 0 END), 4) AS centrality
+        FROM (SELECT depth, n, c, 'Root' || CASE WHEN depth > 0 THEN '/' || array_to_string(parts[1:depth], '/') ELSE '' END AS node
+              FROM leaves, range(5) t(depth)) GROUP BY 1, 2, 3, 4""", OFTEN, FAR_DISTANCES,
+        """big AS (SELECT component, row_number() OVER (ORDER BY any_value(size) DESC, component) AS no FROM close
+             WHERE size > 10 GROUP BY 1),
+        leaves AS (SELECT string_split('subgraph ' || CAST(no AS VARCHAR) || node, '/') AS parts, n, inner_closeness AS c
+             FROM close JOIN big USING (component)
+             JOIN (SELECT changedpath, count(*) AS n FROM changes GROUP BY 1) ON changedpath = node)"""),
     "author_nodes": _o("SELECT id, label FROM nodes", NODES),
     "numbered_edges": _n("""SELECT row_number() OVER (ORDER BY substr(md5(src || chr(0) || dst), 1, 3), src, dst) - 1 AS id,
           a.id AS source, b.id AS target, weight
