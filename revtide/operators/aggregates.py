@@ -26,9 +26,14 @@ def author_ranking(
     revisions: DataFrame, n: int | None = None, group_cols: Sequence[str] = ()
 ) -> DataFrame:
     """Commits per author, spelling ignored; shows the earliest spelling."""
+    # Exact spellings first: counts and numbers aggregate in hash tables, and the
+    # choice of a spelling then runs over one row per spelling.
+    exact = revisions.groupBy(*group_cols, "author").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("revno").alias("_first")
+    )
     counts = (
-        revisions.groupBy(*group_cols, F.lower("author").alias("_key"))
-        .agg(F.count(F.lit(1)).alias("commits"), F.min_by("author", "revno").alias("author"))
+        exact.groupBy(*group_cols, F.lower("author").alias("_key"))
+        .agg(F.sum("_n").alias("commits"), F.min_by("author", "_first").alias("author"))
         .select(*group_cols, _named(F.col("author")).alias("author"), "commits")
     )
     order = [F.col("commits").desc(), F.col("author")]
@@ -121,13 +126,21 @@ def author_activity(
     weight = F.lit(1) if per_revision else F.col("_rows")
     sums = (
         revisions.join(touched, on)
-        .groupBy(*group_cols, F.lower("author").alias("_key"))
+        .groupBy(*group_cols, "author")
         .agg(
             F.sum(F.col("added_files") * weight).alias("_a"),
             F.sum(F.col("changed_files") * weight).alias("_c"),
             F.sum(F.col("deleted_files") * weight).alias("_d"),
-            F.count(F.lit(1)).alias("commits"),
-            F.min_by("author", "revno").alias("author"),
+            F.count(F.lit(1)).alias("_n"),
+            F.min("revno").alias("_first"),
+        )
+        .groupBy(*group_cols, F.lower("author").alias("_key"))
+        .agg(
+            F.sum("_a").alias("_a"),
+            F.sum("_c").alias("_c"),
+            F.sum("_d").alias("_d"),
+            F.sum("_n").alias("commits"),
+            F.min_by("author", "_first").alias("author"),
         )
     )
     total = F.col("_a") + F.col("_c") + F.col("_d")

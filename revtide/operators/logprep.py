@@ -95,37 +95,33 @@ def diff_line_counts(diffs: DataFrame, keys: Sequence[str] = ("revno",), text: s
     blocks = diffs.select(
         *keys,
         F.posexplode(
-            F.split(text, r"(?md)^(?=Index: |Property changes on: )")
+            F.split(text, r"\n(?=Index: |Property changes on: )")
         ).alias("_pos", "_block"),
     )
-    lines = F.split("_block", "\n")
-    header = F.rtrim(F.regexp_replace(F.element_at(lines, 1), r"\s+$", ""))
-    is_file = header.startswith("Index: ")
-    is_prop = header.startswith("Property changes on: ")
-    name = F.when(is_file, F.substring(header, 8, 2147483647)).when(
-        is_prop, F.substring(header, 22, 2147483647)
-    )
+    is_file = F.col("_block").startswith("Index: ")
+    is_prop = F.col("_block").startswith("Property changes on: ")
+    header = F.rtrim(F.substring_index("_block", "\n", 1), F.lit(" \t\r\x0b\x0c"))
+    skip = F.when(is_file, len("Index: ")).otherwise(len("Property changes on: "))
+    name = F.substring(header, skip + 1, F.lit(2147483647))
 
     def count(sign: str) -> Column:
-        return F.size(F.filter(lines, lambda x: x.startswith(sign) & ~x.startswith(sign * 3)))
+        # lines opening with the sign but not with three of them; the header comes
+        # first, so every counted line follows a line break
+        one = "\\" + sign
+        return F.regexp_count("_block", F.lit(f"\n{one}(?!{one}{one})"))
 
     counted = blocks.filter(is_file | is_prop).select(
         *keys,
         "_pos",
         is_file.alias("_is_file"),
         F.concat(F.lit("/"), name).alias("changedpath"),
-        F.struct(count("+").alias("a"), count("-").alias("d")).alias("_n"),
+        count("+").alias("_a"),
+        count("-").alias("_d"),
     )
-    last = F.max_by("_n", F.when(F.col("_is_file"), F.col("_pos")))
-    return (
-        counted.groupBy(*keys, "changedpath")
-        .agg(last.alias("_n"))
-        .select(
-            *keys,
-            "changedpath",
-            F.coalesce("_n.a", F.lit(0)).cast("long").alias("linesadded"),
-            F.coalesce("_n.d", F.lit(0)).cast("long").alias("linesdeleted"),
-        )
+    at = F.when(F.col("_is_file"), F.col("_pos"))
+    return counted.groupBy(*keys, "changedpath").agg(
+        F.coalesce(F.max_by("_a", at), F.lit(0)).cast("long").alias("linesadded"),
+        F.coalesce(F.max_by("_d", at), F.lit(0)).cast("long").alias("linesdeleted"),
     )
 
 
