@@ -823,7 +823,7 @@ def _often_together(spark, sf):
     from revtide.operators import edges as E
 
     _, ch = _orders(spark, sf)
-    return E.filter_edges(E.cochange_edges(ch), 2.0)
+    return E.cochange_edges(ch, min_weight=2.0)
 
 
 @query

@@ -40,26 +40,19 @@ def rev_file_edges(changes: DataFrame, weight: float = 2.0, group_cols: Sequence
     ).distinct()
 
 
-def _pairs(items: DataFrame, on: list[str], block: int) -> DataFrame:
+def _pairs(sized: DataFrame, on: list[str]) -> DataFrame:
     """Pairs of distinct items of one revision, smaller path first.
 
-    ``items`` is unique per (``on``, path) with a count ``_n``. A revision with more
-    than ``block`` paths is cut into hashed blocks and paired block against block,
-    so that its pairs are made by many tasks, each holding two blocks.
+    ``sized`` is unique per (``on``, path) with a row count ``_n``, a weight ``_w`` and
+    the number of ``_blocks`` of its revision. A large revision is cut into hashed
+    blocks and paired block against block, so that its pairs are made by many tasks,
+    each holding two blocks.
     """
-    large = (
-        items.groupBy(*on)
-        .agg(F.count(F.lit(1)).alias("_size"))
-        .filter(F.col("_size") > block)
-        .select(*on, F.ceil(F.col("_size") / block).cast("int").alias("_blocks"))
-    )
-    sized = items.join(large, on, "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
     sized = sized.withColumn("_blk", F.pmod(F.xxhash64("changedpath"), F.col("_blocks")).cast("int"))
     blk, last = F.col("_blk"), F.col("_blocks") - 1
-    carry = [c for c in items.columns if c not in (*on, "changedpath", "_n")]
     left = sized.select(
         *on,
-        *carry,
+        "_w",
         F.col("changedpath").alias("_p1"),
         F.col("_n").alias("_n1"),
         blk.alias("_i"),
@@ -77,24 +70,64 @@ def _pairs(items: DataFrame, on: list[str], block: int) -> DataFrame:
     )
     return both.select(
         *on,
-        *carry,
+        "_w",
         F.least("_p1", "_p2").alias("src"),
         F.greatest("_p1", "_p2").alias("dst"),
         (F.col("_n1") * F.col("_n2")).alias("_pairs"),
     )
 
 
-def cochange_edges(
-    changes: DataFrame, group_cols: Sequence[str] = (), block: int = PAIR_BLOCK
+def _blocks(size: Column, block: int) -> Column:
+    return F.ceil(size / block).cast("int").alias("_blocks")
+
+
+def _weighted_pairs(
+    items: DataFrame, heat: DataFrame | None, g: list[str], min_weight: float | None, block: int
 ) -> DataFrame:
-    """Paths changed in the same revision; weight = number of co-occurring rows."""
-    on = [*group_cols, "revno"]
-    items = changes.groupBy(*on, "changedpath").agg(F.count(F.lit(1)).alias("_n"))
-    return (
-        _pairs(items, on, block)
-        .groupBy(*group_cols, "src", "dst")
-        .agg(F.sum("_pairs").cast("double").alias("weight"))
+    """Edge weights from items (revision, path, ``_n``) and weights ``_w`` per revision."""
+    on, path = [*g, "revno"], [*g, "changedpath"]
+    size = F.count(F.lit(1))
+    if heat is None and min_weight is None:
+        # Only revisions over the block size need a look-up, and those are few.
+        large = items.groupBy(*on).agg(size.alias("_size")).filter(F.col("_size") > block)
+        sized = items.join(large.select(*on, _blocks(F.col("_size"), block)), on, "left").select(
+            *items.columns, F.coalesce("_blocks", F.lit(1)).alias("_blocks"), F.lit(1.0).alias("_w")
+        )
+    else:
+        about = items.groupBy(*on).agg(_blocks(size, block), F.max("_n").alias("_most"))
+        about = about.withColumn("_w", F.lit(1.0)) if heat is None else about.join(heat, on)
+        sized = items.join(about, on)
+    if min_weight is not None:
+        # No edge of a path weighs more than the path's own rows, each taken with the
+        # most frequent path of its revision. Paths below the limit have no edge to
+        # keep: exact, and it takes one-time mass imports out before pairs are made.
+        reach = (
+            sized.groupBy(*path)
+            .agg(F.sum(F.col("_w") * F.col("_n") * F.col("_most")).alias("_bound"))
+            .filter(F.col("_bound") >= min_weight * (1 - 1e-9))
+        )
+        sized = sized.join(reach, path, "left_semi")
+    edges = (
+        _pairs(sized, on)
+        .groupBy(*g, "src", "dst")
+        .agg(F.sum(F.col("_w") * F.col("_pairs")).alias("weight"))
     )
+    return edges if min_weight is None else filter_edges(edges, min_weight)
+
+
+def cochange_edges(
+    changes: DataFrame,
+    group_cols: Sequence[str] = (),
+    block: int = PAIR_BLOCK,
+    min_weight: float | None = None,
+) -> DataFrame:
+    """Paths changed in the same revision; weight = number of co-occurring rows.
+
+    With ``min_weight`` lighter edges are left out, mostly before they are built.
+    """
+    g = list(group_cols)
+    items = changes.groupBy(*g, "revno", "changedpath").agg(F.count(F.lit(1)).alias("_n"))
+    return _weighted_pairs(items, None, g, min_weight, block)
 
 
 def cochange_edges_decayed(
@@ -103,23 +136,20 @@ def cochange_edges_decayed(
     model: CoolingModel = EDGES,
     group_cols: Sequence[str] = (),
     block: int = PAIR_BLOCK,
+    min_weight: float | None = None,
 ) -> DataFrame:
     """Co-change weight that cools by the day, as of the last commit day in scope."""
-    on = [*group_cols, "revno"]
+    g = list(group_cols)
+    on = [*g, "revno"]
     items = changes.groupBy(*on, "changedpath").agg(F.count(F.lit(1)).alias("_n"))
-    touched = revisions.join(items.select(*on).distinct(), on, "left_semi")
-    ends = per_group(touched, group_cols, F.to_date(F.max("commitdate")).alias("_max_day"))
-    dated = attach(revisions.select(*on, "commitdate"), ends, group_cols)
+    touched = revisions.join(changes.select(*on).distinct(), on, "left_semi")
+    ends = per_group(touched, g, F.to_date(F.max("commitdate")).alias("_max_day"))
+    dated = attach(revisions.select(*on, "commitdate"), ends, g)
     age = F.greatest(F.datediff(F.col("_max_day"), F.to_date("commitdate")), F.lit(0))
     heat = dated.select(
         *on, (F.lit(model.step) * F.exp(-F.lit(model.rate * 24.0) * age)).alias("_w")
     )
-    return (
-        _pairs(items, on, block)
-        .join(heat, on)
-        .groupBy(*group_cols, "src", "dst")
-        .agg(F.sum(F.col("_w") * F.col("_pairs")).alias("weight"))
-    )
+    return _weighted_pairs(items, heat, g, min_weight, block)
 
 
 def nodes_of(edges: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:

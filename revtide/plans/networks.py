@@ -30,5 +30,5 @@ def file_network(
         from revtide.operators.aggregates import deleted_paths
 
         changes = changes.join(deleted_paths(changes), "changedpath", "left_anti")
-    links = E.cochange_edges_decayed(revisions, changes)
-    return k_core(E.filter_edges(links, FILE_MIN_WEIGHT), core)
+    links = E.cochange_edges_decayed(revisions, changes, min_weight=FILE_MIN_WEIGHT)
+    return k_core(links, core)
