@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from revtide.functions.cooling import EDGES, CoolingModel
 from revtide.operators.base import attach, per_group, revno_bucket
 from revtide.schema import UNKNOWN_AUTHOR
+from revtide.session import cut_lineage
 
 # Changed paths per block when a large revision is cut up for pairing.
 PAIR_BLOCK = 512
@@ -201,6 +202,7 @@ def coauthor_edges(
     rows = added.join(
         revisions.select(*g, "revno", _named_author().alias("author")), [*g, "revno"]
     ).select(*path, "author", "revno", "_loc", F.lit(0).alias("_first"))
+    rows = cut_lineage(rows)  # read several times below
     firsts = rows.groupBy(*path, "author").agg(F.min("revno").alias("revno")).select(
         *path, "author", "revno", F.lit(0).cast("long").alias("_loc"), F.lit(1).alias("_first")
     )
@@ -214,14 +216,15 @@ def coauthor_edges(
     sizes = events.groupBy(*path, "_b").agg(F.sum("_first").alias("_n"))
     upto = F.sum("_n").over(W.partitionBy(*path).orderBy("_b").rowsBetween(W.unboundedPreceding, 0))
     offsets = sizes.select(*path, "_b", (upto - F.col("_n")).alias("_off"))
-    ranked = counted.join(offsets, [*path, "_b"]).withColumn("_k", F.col("_k") + F.col("_off"))
-
-    order = ranked.filter(F.col("_first") == 1).select(*path, F.col("author").alias("dst"), "_k")
-    cells = (
-        ranked.filter(F.col("_first") == 0)
-        .groupBy(*path, "author", "_k")
+    ranked = cut_lineage(
+        counted.join(offsets, [*path, "_b"])
+        .withColumn("_k", F.col("_k") + F.col("_off"))
+        .groupBy(*path, "author", "_k", "_first")
         .agg(F.sum("_loc").alias("_loc"))
     )
+
+    order = ranked.filter(F.col("_first") == 1).select(*path, F.col("author").alias("dst"), "_k")
+    cells = ranked.filter(F.col("_first") == 0).select(*path, "author", "_k", "_loc")
     mine = W.partitionBy(*path, "author")
     later = F.sum("_loc").over(
         mine.orderBy(F.col("_k").desc()).rowsBetween(W.unboundedPreceding, 0)
@@ -257,7 +260,7 @@ def coauthor_matrix(
     """
     g = list(group_cols)
     path = [*g, "changedpath"]
-    rows = (
+    rows = cut_lineage(  # read several times below
         changes.groupBy(*g, "revno", "changedpath")
         .agg(F.sum("linesadded").alias("_loc"), F.count(F.lit(1)).alias("_n"))
         .join(revisions.select(*g, "revno", "author"), [*g, "revno"])
