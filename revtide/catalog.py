@@ -957,3 +957,109 @@ def numbered_edges(spark, sf):
 
     rev, ch = _nations(spark, sf)
     return sinks.numbered_edges(sinks.author_nodes(rev), E.coauthor_edges(rev, ch))
+
+
+# Sources and sinks: written to the shared folder and read back
+
+
+def _shared(spark, name):
+    import uuid
+
+    from revtide.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4()}"
+
+
+@query
+def read_revisions(spark, sf):
+    from revtide.operators.logprep import with_file_counts
+    from revtide.sources.readers import read_revisions as read
+
+    path = _shared(spark, "revisions")
+    with_file_counts(*_orders(spark, sf)).write.json(path)
+    return read(spark, path, "json").select(
+        "revno", "commitdate", "author", "msg", "added_files", "changed_files", "deleted_files"
+    )
+
+
+@query
+def read_changes(spark, sf):
+    from revtide.sources.readers import read_changes as read
+
+    path = _shared(spark, "changes")
+    _, ch = _orders(spark, sf)
+    ch.write.option("header", "true").csv(path)
+    return (
+        read(spark, path, "csv")
+        .groupBy("changedpath", "changetype")
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("linesadded").alias("lines"))
+    )
+
+
+@query
+def write_stats_csv(spark, sf):
+    from revtide.sources import sinks
+
+    path = _shared(spark, "stats")
+    rev, ch = _orders(spark, sf)
+    sinks.write_stats_csv(sinks.stats_sections(rev, ch, repo_name="orders"), path)
+    out = None
+    for name in ("basic", "authors", "files", "weekday", "hour"):
+        df = spark.read.option("header", "true").csv(f"{path}/{name}")
+        if name == "basic":
+            df = df.filter(~F.col("stat").endswith("Date"))
+        a, b = df.columns[:2]
+        # scores go through text; compare them rounded
+        b = F.when(F.lit(name).isin("authors", "files"), F.format_string("%.3f", F.col(b).try_cast("double"))).otherwise(F.col(b))
+        part = df.select(F.lit(name).alias("section"), F.col(a).alias("name"), b.alias("value"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query
+def query_to_csv(spark, sf):
+    from revtide.sources import sinks
+
+    path = _shared(spark, "query")
+    rev, ch = _orders(spark, sf)
+    sql = "SELECT author, sum(linesadded) AS lines FROM log_rev JOIN log_chg USING (revno) GROUP BY author"
+    sinks.query_to_csv(spark, sql, path, {"log_rev": rev, "log_chg": ch})
+    return spark.read.option("header", "true").schema("author string, lines long").csv(path)
+
+
+@query
+def write_series_json(spark, sf):
+    from revtide.sources import sinks
+
+    path = _shared(spark, "series")
+    sinks.write_series_json(S.waste_effort(*_orders(spark, sf)), path)
+    return spark.read.schema("day date, lines_added long, lines_deleted long, waste_ratio double").json(path)
+
+
+@query
+def graph_export(spark, sf):
+    from revtide.operators import edges as E
+    from revtide.sources import sinks
+
+    path = _shared(spark, "graph")
+    rev, ch = _nations(spark, sf)
+    sinks.graph_export(sinks.author_nodes(rev), E.coauthor_edges(rev, ch), path, "xml")
+    layout = "id long, source long, target long, weight double"
+    return spark.read.format("xml").schema(layout).option("rowTag", "edge").load(f"{path}/edges")
+
+
+@query
+def treemap_export(spark, sf):
+    from revtide.operators.treemap import roll_up_paths
+    from revtide.sources import sinks
+
+    path = _shared(spark, "treemap")
+    _, ch = _orders(spark, sf)
+    leaves = A.path_change_counts(ch).select(
+        F.substring("changedpath", 2, 2147483647).alias("path"),
+        F.col("n_changes").alias("size"),
+        F.lit(0.0).alias("centrality"),
+    )
+    sinks.treemap_export(roll_up_paths(leaves), path)
+    return spark.read.schema("node string, parent string, name string, depth long, size long").json(path)

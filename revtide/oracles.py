@@ -678,3 +678,43 @@ ORACLES.update({
           a.id AS source, b.id AS target, weight
         FROM co JOIN nodes a ON a.label = src JOIN nodes b ON b.label = dst""", COAUTHOR, NODES),
 })
+
+ORACLES.update({
+    # Sources and sinks
+    "read_revisions": _o("""SELECT revno, strftime(any_value(commitdate), '%Y-%m-%d %H:%M:%S.%f') AS commitdate,
+          any_value(author) AS author, any_value(msg) AS msg,
+          count(*) FILTER (changetype = 'A') AS added_files, count(*) FILTER (changetype IN ('M', 'R')) AS changed_files,
+          count(*) FILTER (changetype = 'D') AS deleted_files
+        FROM revisions LEFT JOIN changes USING (revno) GROUP BY revno"""),
+    "read_changes": _o("""SELECT changedpath, changetype, count(*) AS n, CAST(sum(linesadded) AS BIGINT) AS lines
+        FROM changes GROUP BY 1, 2"""),
+    "write_stats_csv": _o("""
+        SELECT 'basic' AS section, name, value FROM (
+          SELECT unnest(['Repository Name', 'Search Path', 'First Revision no.', 'Latest Revision no.', 'Number of Revisions',
+                         'Number of active files', 'Number of authors', 'Total Number of Lines']) AS name,
+                 unnest(['orders', '/', CAST(lo AS VARCHAR), CAST(hi AS VARCHAR), CAST(n AS VARCHAR), CAST(f AS VARCHAR),
+                         CAST(a AS VARCHAR), CAST(l AS VARCHAR)]) AS value
+          FROM (SELECT min(revno) AS lo, max(revno) AS hi, count(*) AS n, count(DISTINCT author) AS a FROM revisions),
+               (SELECT count(*) FILTER (changetype = 'A') - count(*) FILTER (changetype = 'D') AS f,
+                       CAST(sum(linesadded - linesdeleted) AS BIGINT) AS l FROM changes))
+        UNION ALL SELECT 'authors', author, printf('%.3f', t) FROM (
+          SELECT author, 1.1 + 10 * sum(x) - 1.1 * min(x) AS t FROM (
+            SELECT author, exp(-0.0025 * (epoch_us(CAST(end_day AS TIMESTAMP)) - epoch_us(commitdate)) / 3.6e9) AS x
+            FROM revisions, (SELECT CAST(max(commitdate) AS DATE) + 1 AS end_day FROM revisions)) GROUP BY 1
+          ORDER BY 2 DESC, 1 LIMIT 10)
+        UNION ALL SELECT 'files', changedpath, printf('%.3f', temp) FROM (
+          SELECT * FROM final ORDER BY temp DESC, changedpath LIMIT 10)
+        UNION ALL SELECT 'weekday', substr('SunMonTueWedThuFriSat', CAST(3 * i + 1 AS INTEGER), 3), CAST(count(revno) AS VARCHAR)
+          FROM range(7) t(i) LEFT JOIN revisions ON dayofweek(commitdate) = i GROUP BY i
+        UNION ALL SELECT 'hour', CAST(i AS VARCHAR), CAST(count(revno) AS VARCHAR)
+          FROM range(24) t(i) LEFT JOIN revisions ON hour(commitdate) = i GROUP BY i""", FILE_FOLD, FILE_FINAL),
+    "query_to_csv": _o("""SELECT author, CAST(sum(linesadded) AS BIGINT) AS lines
+        FROM revisions JOIN changes USING (revno) GROUP BY 1"""),
+    "write_series_json": ORACLES["waste_effort"],
+    "graph_export": ORACLES["numbered_edges"],
+    "treemap_export": _o("""SELECT node, CASE WHEN depth > 0 THEN regexp_extract(node, '^(.*)/[^/]*$', 1) END AS parent,
+          regexp_extract(node, '([^/]*)$', 1) AS name, depth, count(*) AS size
+        FROM (SELECT depth, 'Root' || CASE WHEN depth > 0 THEN '/' || array_to_string(parts[1:depth], '/') ELSE '' END AS node
+              FROM (SELECT string_split(substr(changedpath, 2), '/') AS parts FROM changes), range(4) t(depth))
+        GROUP BY 1, 2, 3, 4"""),
+})
