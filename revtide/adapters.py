@@ -216,8 +216,11 @@ def release_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One unified diff per line item: a file block, then a property block."""
-    ch = order_changes(spark, sf_dir)
+    """One unified diff per line item: a file block, then a property block.
+
+    The rows are spread before the texts are written, as log files would be.
+    """
+    ch = order_changes(spark, sf_dir).repartition("revno", "changedpath")
     name = F.substring("changedpath", 2, 2147483647)
     text = F.concat(
         F.lit("Index: "), name, F.lit("\n" + "=" * 67 + "\n--- "), name, F.lit("\t(old)\n+++ "), name,

@@ -329,6 +329,7 @@ ORACLES: dict[str, str] = {
              row_number() OVER (PARTITION BY msg ORDER BY count(*) DESC, author) AS rn FROM revisions GROUP BY 1, 2)"""),
 }
 
+# The words left out of the counts, as one pattern.
 STOP = (
     "\\d+|an|the|me|my|we|you|he|she|it|are|is|am|will|shall|should|would|had|have|has|was|were|be|been|"
     "this|that|there|who|when|how|where|which|already|after|by|on|or|so|also|got|get|do|don''t|from|all|but|"

@@ -246,3 +246,9 @@ def test_treemap(spark):
     assert out["Root/subgraph 1/t/a/x"].centrality == pytest.approx(2 / 3)
     assert out["Root/subgraph 1/t/a/x"].parent == "Root/subgraph 1/t/a"
     assert not any("/o" in n for n in out)
+
+
+def test_bounded_hops(spark):
+    e = [("a", "b", 1.0), ("b", "c", 1.0), ("c", "d", 1.0)]
+    got = rows(G.hop_profile(spark.createDataFrame(e, SCHEMA), max_hops=1))
+    assert got == [("a", 0, 1), ("a", 1, 2), ("b", 0, 1), ("b", 1, 3), ("c", 0, 1), ("c", 1, 3), ("d", 0, 1), ("d", 1, 2)]

@@ -101,3 +101,19 @@ def test_basic_stats_without_changes(make_revisions, make_changes):
     rev = make_revisions([(2, "2020-01-01", "a"), (5, "2020-01-02", "b")])
     r = A.basic_stats(rev, make_changes([(1, "/x", "A")]).limit(0)).first()
     assert (r.first_rev, r.last_rev, r.num_revs, r.num_authors, r.num_files) == (2, 5, 2, 2, 0)
+
+
+def test_copies_and_times(spark, make_changes):
+    ch = make_changes([(1, "/t/", "A", 0, 0, "/s/", 0), (2, "/t/", "R", 0, 0, "/s/", 1), (3, "/x", "A"), (4, "/t/", "D")])
+    assert rows(ch.filter(C.is_branch_or_tag()), "revno") == [(1,)]
+    assert rows(C.copied_dirs(ch), "revno") == [(1,), (2,)]
+    assert rows(C.deleted_dirs(ch), "revno") == [(4,)]
+    t = spark.range(1).select(calendar.epoch_to_timestamp(F.lit(86400 * 365)).alias("t")).first()
+    assert t.t.isoformat() == "1971-01-01T00:00:00"
+
+
+def test_revision_for_date(make_revisions):
+    rev = make_revisions([(1, "2020-01-01 05:00:00", "a"), (2, "2020-01-05 05:00:00", "a"), (3, "2020-01-05 09:00:00", "a"), (4, "2020-02-01 00:00:00", "a")])
+    assert A.revision_for_date(rev).first() == (1, 4)
+    assert A.revision_for_date(rev, "2020-01-02", "2020-01-05").first() == (2, 3)
+    assert A.revision_for_date(rev, "2020-01-02", "2020-01-20").first() == (2, 4)
