@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revtide.llm import fmindex, toxicity
+from revtide.llm import fmindex, superkmers, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,7 +26,12 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fmindex.contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superkmers.repeats_report(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op4_decontamination": op4_decontamination,
+    "op10_substring_dedup": op10_substring_dedup,
 }
