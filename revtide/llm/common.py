@@ -73,3 +73,20 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def with_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, name])
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Tables of whole groups from batches sorted by an integer ``key``; many small groups share a table."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        rest = table if rest is None else pa.concat_tables([rest, table])
+        keys = rest.column(key)
+        whole = int(np.searchsorted(keys.to_numpy(), keys[-1].as_py()))
+        if whole:
+            yield rest.slice(0, whole).combine_chunks()
+            rest = rest.slice(whole)
+    if rest is not None and rest.num_rows:
+        yield rest.combine_chunks()
