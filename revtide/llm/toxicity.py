@@ -29,7 +29,9 @@ from revtide.llm.words import mix
 #: Labelled rows that the classifier is fitted on, about.
 SAMPLE_ROWS = 40_000
 #: N-grams that the classifier may use.
-FEATURES = 30_000
+FEATURES = 8_000
+#: An n-gram has to be so many times as frequent in toxic texts (as a logarithm).
+LEAST_LOG_RATIO = 1.0
 #: N-grams are told apart by this many bits of a hash.
 FEATURE_BITS = 22
 #: Lengths of n-grams in UTF-8 bytes.
@@ -321,8 +323,9 @@ def train(labelled: DataFrame, model: np.ndarray, text_col: str = "text", label_
         .groupBy("code")
         .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
         .where(F.col("toxic") >= 2)
-        .select("code", (F.col("toxic") * F.log(rate / base)).alias("gain"))
-        .where("gain > 0")
+        .select("code", F.col("toxic"), F.log(rate / base).alias("ratio"))
+        .where(F.col("ratio") >= LEAST_LOG_RATIO)
+        .select("code", (F.col("toxic") * F.col("ratio")).alias("gain"))
         .orderBy(F.desc("gain"), "code")
         .limit(FEATURES)
     )
@@ -337,10 +340,10 @@ def train(labelled: DataFrame, model: np.ndarray, text_col: str = "text", label_
                 first = np.searchsorted(docs, np.arange(b - a + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), pa.ListArray.from_arrays(pa.array(first), pa.array(places.astype(np.int32)))], names=["label", "places"])
 
-    rows = sample.mapInArrow(reduced, "label int, places array<int>").toPandas()
-    counts = rows["places"].map(len).to_numpy()
-    places = np.concatenate([np.zeros(0, np.int64), *[np.asarray(p, np.int64) for p in rows["places"]]])
-    weights, bias = _fit(rows["label"].to_numpy().astype(float), np.repeat(np.arange(len(rows)), counts), places, len(codes))
+    rows = sample.mapInArrow(reduced, "label int, places array<int>").toArrow()
+    found = rows.column("places").combine_chunks()
+    docs = np.repeat(np.arange(len(rows)), np.diff(found.offsets.to_numpy()))
+    weights, bias = _fit(rows.column("label").to_numpy().astype(float), docs, found.values.to_numpy().astype(np.int64), len(codes))
     return Classifier(codes, weights, bias)
 
 
