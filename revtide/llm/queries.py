@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revtide.llm import fmindex, setsketch, superkmers, toxicity
+from revtide.llm import fmindex, setsketch, superkmers, tokencount, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fmindex.contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_count_report(_table(spark, sf_dir, "documents"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superkmers.repeats_report(_table(spark, sf_dir, "documents"))
 
@@ -38,5 +42,6 @@ QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_near_dedup": op2_near_dedup,
     "op4_decontamination": op4_decontamination,
+    "op9_token_counts": op9_token_counts,
     "op10_substring_dedup": op10_substring_dedup,
 }
