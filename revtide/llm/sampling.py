@@ -35,7 +35,7 @@ SAMPLE = T.StructType(
     ]
 )
 #: Bytes of text that are searched together.
-SLICE = 1 << 20
+SLICE = 3 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -61,20 +61,38 @@ class PieceTable:
 
 @dataclass
 class Lattice:
-    """Edges of all distinct words: row = place in a word, column = length of the piece less 1."""
+    """Edges of the lattices of all distinct words; a node is a place in a word, its edges stand together."""
 
+    start: np.ndarray  # of each edge: place, length, piece id (-2: bytes), log probability at its node, sum up to it
+    length: np.ndarray
     ids: np.ndarray
-    chance: np.ndarray
+    log_chance: np.ndarray
+    summed: np.ndarray
+    edge: np.ndarray  # first edge of each place
+    degree: np.ndarray
     rest: np.ndarray  # characters from a place to its word's end
     first: np.ndarray  # first place of each word
     points: np.ndarray
 
+    def choose(self, place: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """An edge of each place, by its probability."""
+        edge = self.edge[place]
+        todo = np.flatnonzero(self.summed[edge] < u)
+        while len(todo):
+            edge[todo] += 1
+            todo = todo[self.summed[edge[todo]] < u[todo]]
+        return edge
 
-def build_lattice(words: list[str], table: PieceTable) -> Lattice:
-    """``chance[p, n - 1]``: probability that a segmentation that has reached place p goes on with n characters.
+    def fan(self, place: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Edges of each place side by side and their probabilities, 0 for those marked as used."""
+        column = np.arange(int(self.degree[place].max(initial=1)))
+        edge = np.minimum(self.edge[place][:, None] + column, len(self.start) - 1)
+        free = (column < self.degree[place][:, None]) & ((used[:, None] >> column) & 1 == 0)
+        return edge, np.where(free, np.exp(self.log_chance[edge]), 0.0)
 
-    U+2581 in a text is not a space: it only ever goes into bytes.
-    """
+
+def build_lattice(words: list[str], table: PieceTable) -> Lattice:
+    """Lattices of words behind a space mark; U+2581 in a word itself is no space: it only goes into bytes."""
     marked = [SPACE + w for w in words]
     points = np.frombuffer("".join(marked).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
     lengths = np.array([len(w) for w in marked], np.int64)
@@ -83,37 +101,48 @@ def build_lattice(words: list[str], table: PieceTable) -> Lattice:
     rest = np.repeat(first[1:], lengths) - np.arange(n)
     literal = points == ord(SPACE)
     literal[first[:-1]] = False
-    coded = np.where(literal, np.uint64(0x110000), points)
-    ids = np.full((n, table.longest), -1, np.int32)
-    score = np.full((n, table.longest), -np.inf)
-    value = np.zeros(n, np.uint64)
+    coded = np.where(literal, np.uint64(0x110000), points) + np.uint64(1)
+    value, at = coded, np.arange(n)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
     for length in range(1, table.longest + 1):
-        at = np.flatnonzero(rest >= length)
+        if length > 1:
+            more = rest[at] >= length
+            at = at[more]
+            value = value[more] * _BASE + coded[at + length - 1]
         if not len(at):
             break
-        value[at] = value[at] * _BASE + coded[at + length - 1] + np.uint64(1)
-        if length in table.tables:
-            keys, numbers, scores = table.tables[length]
-            found = np.minimum(np.searchsorted(keys, value[at]), len(keys) - 1)
-            hit = keys[found] == value[at]
-            ids[at[hit], length - 1] = numbers[found[hit]]
-            score[at[hit], length - 1] = scores[found[hit]]
-    lost = ids[:, 0] < 0
-    score[lost, 0] = table.unknown_score
-    ids[lost, 0] = -2  # goes into bytes
-    onward = np.zeros(n + table.longest + 1)
-    order = np.argsort(rest, kind="stable")
-    bounds = np.searchsorted(rest[order], np.arange(1, int(rest.max(initial=0)) + 2))
-    columns = np.arange(1, table.longest + 1)
-    total = np.zeros(n)
-    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        at = order[a:b]
-        if len(at):
-            far = score[at] + np.where(columns < rest[at][:, None], onward[at[:, None] + columns], 0.0)
-            top = far.max(1)
-            total[at] = onward[at] = top + np.log(np.exp(far - top[:, None]).sum(1))
-            score[at] = np.exp(far - total[at][:, None])
-    return Lattice(ids, score, rest, first, points)
+        keys, numbers, scores = table.tables.get(length, (np.zeros(1, np.uint64), np.full(1, -1, np.int32), np.zeros(1)))
+        spot = np.minimum(np.searchsorted(keys, value), len(keys) - 1)
+        hit = np.flatnonzero((keys[spot] == value) & (numbers[spot] >= 0))
+        found.append((at[hit], np.full(len(hit), length, np.int32), numbers[spot[hit]], scores[spot[hit]]))
+        if length == 1:
+            lost = np.setdiff1d(at, at[hit], assume_unique=True)
+            found.append((lost, np.full(len(lost), 1, np.int32), np.full(len(lost), -2, np.int32), np.full(len(lost), table.unknown_score)))
+    start, length, ids, score = (np.concatenate(f) for f in zip(*found, strict=True))
+    order = np.argsort(rest[start] * (n + 1) + start, kind="stable")  # level by level, from the words' ends
+    start, length, ids, score = start[order], length[order], ids[order], score[order]
+    begin = np.flatnonzero(np.concatenate([[True], start[1:] != start[:-1]]))
+    degree = np.diff(np.append(begin, len(start)))
+    place = start[begin]
+    level = np.searchsorted(rest[place], np.arange(1, int(rest.max()) + 2))
+    target = np.where(length == rest[start], n, start + length)
+    onward = np.zeros(n + 1)
+    log_chance = np.empty(len(start))
+    for a, b in zip(level[:-1].tolist(), level[1:].tolist(), strict=True):
+        if a == b:
+            continue
+        x, y = int(begin[a]), int(begin[b]) if b < len(begin) else len(start)
+        far = score[x:y] + onward[target[x:y]]
+        top = np.maximum.reduceat(far, begin[a:b] - x)
+        total = top + np.log(np.add.reduceat(np.exp(far - np.repeat(top, degree[a:b])), begin[a:b] - x))
+        onward[place[a:b]] = total
+        log_chance[x:y] = far - np.repeat(total, degree[a:b])
+    running = np.cumsum(np.exp(log_chance))
+    summed = running - np.repeat(running[begin] - np.exp(log_chance[begin]), degree)
+    summed[begin + degree - 1] = 2.0
+    edge, degrees = np.empty(n, np.int64), np.empty(n, np.int64)
+    edge[place], degrees[place] = begin, degree
+    return Lattice(start, length, ids, log_chance, summed, edge, degrees, rest, first, points)
 
 
 def _uniform(key: np.ndarray, *parts: np.ndarray) -> np.ndarray:
@@ -124,13 +153,6 @@ def _uniform(key: np.ndarray, *parts: np.ndarray) -> np.ndarray:
     return ((state >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
-def _choose(chance: np.ndarray, u: np.ndarray) -> np.ndarray:
-    """Column drawn from each row's weights."""
-    summed = np.cumsum(chance, axis=1)
-    column = (summed < (u * summed[:, -1])[:, None]).sum(1)
-    return np.minimum(column, chance.shape[1] - 1)
-
-
 def _truncated(location: np.ndarray, u: np.ndarray, bound: np.ndarray) -> np.ndarray:
     """A Gumbel value at ``location`` given that it is at most ``bound``."""
     with np.errstate(all="ignore"):
@@ -143,37 +165,38 @@ class Steps:
 
     doc: np.ndarray
     word: np.ndarray  # number of the word in its text
-    place: np.ndarray
-    column: np.ndarray
-    used: np.ndarray  # columns of the place that are taken, as bits
+    edge: np.ndarray
+    used: np.ndarray  # edges of the place that are taken, as bits
     before: np.ndarray  # log probability of what comes before the step
-    bound: np.ndarray  # largest value below the step's node
-    other: np.ndarray  # largest value of the pieces not taken
+    other: np.ndarray  # largest value of the edges not taken
 
     def pick(self, at: np.ndarray) -> Steps:
         return Steps(*(getattr(self, f)[at] for f in self.__dataclass_fields__))
 
     @staticmethod
     def join(parts: list[Steps]) -> Steps:
-        return Steps(*(np.concatenate([getattr(p, f) for p in parts]) for f in Steps.__dataclass_fields__))
+        """Steps of all parts; those of a text follow each other in the order of the parts."""
+        joined = Steps(*(np.concatenate([getattr(p, f) for p in parts]) for f in Steps.__dataclass_fields__))
+        return joined.pick(np.argsort(joined.doc, kind="stable"))
 
 
-def _descend(lattice: Lattice, doc: np.ndarray, word: np.ndarray, place: np.ndarray, key: np.ndarray, sample: int) -> tuple[np.ndarray, ...]:
-    """Walk each of the given words from ``place`` to its end: index of the word, place and column of all steps in order."""
-    index, at = np.arange(len(doc)), place
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+def _descend(lattice: Lattice, doc: np.ndarray, word: np.ndarray, place: np.ndarray, key: np.ndarray, sample: int) -> tuple[np.ndarray, np.ndarray]:
+    """Walk each of the given words from ``place`` to its end: index of the word and edge of all steps in order."""
+    index, at, edges = np.arange(len(doc)), place, np.zeros(0, np.int64)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
     seed = mix(key[doc] ^ mix(word.astype(np.uint64) + np.uint64(sample << 40)))
+    steps = np.zeros(len(doc), np.int64)
     while len(index):
-        column = _choose(lattice.chance[at], _uniform(seed[index], at - place[index] + 1))
-        found.append((index, at, column))
-        more = column + 1 < lattice.rest[at]
-        index, at = index[more], (at + column + 1)[more]
-    steps = np.bincount(np.concatenate([f[0] for f in found]), minlength=len(doc)) if found else np.zeros(0, np.int64)
+        edges = lattice.choose(at, _uniform(seed[index], at - place[index] + 1))
+        found.append((index, edges))
+        steps[index] += 1
+        more = np.flatnonzero(lattice.length[edges] < lattice.rest[at])
+        index, at = index[more], at[more] + lattice.length[edges[more]]
     begin = np.cumsum(steps) - steps
-    where, places, columns = np.empty(int(steps.sum()), np.int64), np.empty(int(steps.sum()), np.int64), np.empty(int(steps.sum()), np.int64)
-    for number, (i, p, c) in enumerate(found):
-        where[begin[i] + number], places[begin[i] + number], columns[begin[i] + number] = i, p, c
-    return where, places, columns
+    out = np.empty(int(steps.sum()), np.int64)
+    for number, (i, e) in enumerate(found):
+        out[begin[i] + number] = e
+    return np.repeat(np.arange(len(doc)), steps), out
 
 
 def sample_segmentations(texts: list[str], keys: np.ndarray, table: PieceTable, k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
@@ -184,42 +207,50 @@ def sample_segmentations(texts: list[str], keys: np.ndarray, table: PieceTable,
     """
     kinds: dict[str, int] = {}
     numbers = [[kinds.setdefault(w, len(kinds)) for w in t.split(" ")] if t else [] for t in texts]
+    size = len(texts)
     counts = np.array([len(x) for x in numbers], np.int64)
+    if not counts.sum():
+        return [[] for _ in texts]
     lattice = build_lattice(list(kinds), table)
     kind = np.array([x for own in numbers for x in own], np.int64)
-    doc = np.repeat(np.arange(len(texts)), counts)
+    doc = np.repeat(np.arange(size), counts)
     begin = np.cumsum(counts) - counts
     word = np.arange(len(doc)) - begin[doc]
     root = -np.log(-np.log(_uniform(keys, np.zeros(len(keys)))))
-    columns = np.arange(table.longest)
-
-    def finish(head: Steps, doc: np.ndarray, word: np.ndarray, place: np.ndarray, column: np.ndarray, used: np.ndarray, start: np.ndarray, bound: np.ndarray, sample: int) -> Steps:
-        """Probabilities and subtree values of new steps; start and bound are per text."""
-        step = np.log(lattice.chance[place, column])
-        total = np.cumsum(step)
-        first = np.searchsorted(doc, doc)
-        before = start[doc] + total - step - (total[first] - step[first])
-        free = np.where((used[:, None] >> columns) & 1, 0.0, lattice.chance[place]).sum(1)
+
+    def measured(doc: np.ndarray, word: np.ndarray, edge: np.ndarray, used: np.ndarray, turned: np.ndarray, start: np.ndarray, bound: np.ndarray, sample: int) -> Steps:
+        """Probabilities and subtree values of new steps; start and bound are per text. ``turned``: steps with several edges used."""
+        step = lattice.log_chance[edge]
+        place = lattice.start[edge]
+        total = np.cumsum(step) - step
+        ends = np.searchsorted(doc, np.arange(size))
+        offset = start - total[np.minimum(ends, len(total) - 1)]
+        before = offset[doc] + total
+        free = np.where(lattice.degree[place] > 1, -np.expm1(np.minimum(step, 0)), 0.0)
+        if len(turned):
+            free[turned] = lattice.fan(place[turned], used[turned])[1].sum(1)
         with np.errstate(divide="ignore"):
             location = before + np.log(free)
-        u = _uniform(keys[doc], np.full(len(doc), 7 + sample), word, place - lattice.first[kind[begin[doc] + word]])
-        return Steps.join([head, Steps(doc, word, place, column, used, before, bound[doc], _truncated(location, u, bound[doc]))])
+        seed = mix(keys[doc] + np.uint64(1_000_003 * (7 + sample)))
+        u = _uniform(seed, (word << 20) + place - lattice.first[kind[begin[doc] + word]])
+        return Steps(doc, word, edge, used, before, _truncated(location, u, bound[doc]))
 
-    nothing = Steps(*(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.int64, float, float, float)))
-    index, place, column = _descend(lattice, doc, word, lattice.first[kind], keys, 0) if len(doc) else (np.zeros(0, np.int64),) * 3
-    paths = [finish(nothing, doc[index], word[index], place, column, 1 << column, np.zeros(len(texts)), root, 0)] if len(doc) else []
+    index, edge = _descend(lattice, doc, word, lattice.first[kind], keys, 0)
+    bit = 1 << (edge - lattice.edge[lattice.start[edge]])
+    paths = [measured(doc[index], word[index], edge, bit, np.zeros(0, np.int64), np.zeros(size), root, 0)]
     value = [np.where(counts > 0, root, -np.inf)]
     for sample in range(1, k + 1):
-        if not paths:
-            break
         # the largest subtree that is left, of each text
-        best, source, where = np.full(len(texts), -np.inf), np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        best, source, where = np.full(size, -np.inf), np.zeros(size, np.int64), np.zeros(size, np.int64)
         for number, path in enumerate(paths):
-            top = np.full(len(texts), -np.inf)
-            np.maximum.at(top, path.doc, path.other)
-            hits = np.flatnonzero((path.other == top[path.doc]) & (path.other > best[path.doc]))
-            own, firsts = np.unique(path.doc[hits], return_index=True)
-            best[own], source[own], where[own] = path.other[hits[firsts]], number, hits[firsts]
+            ends = np.flatnonzero(np.concatenate([[True], path.doc[1:] != path.doc[:-1]])) if len(path.doc) else np.zeros(0, np.int64)
+            if len(ends):
+                own = path.doc[ends]
+                top = np.full(size, -np.inf)
+                top[own] = np.maximum.reduceat(path.other, ends)
+                hits = np.flatnonzero((path.other == top[path.doc]) & (top > best)[path.doc])
+                own, firsts = np.unique(path.doc[hits], return_index=True)
+                best[own], source[own], where[own] = top[own], number, hits[firsts]
         value.append(best)
         if sample == k:
             break
@@ -229,49 +260,48 @@ def sample_segmentations(texts: list[str], keys: np.ndarray, table: PieceTable,
             if not len(own):
                 continue
             at = where[own]
-            used = path.used[at]
-            weights = np.where((used[:, None] >> columns) & 1, 0.0, lattice.chance[path.place[at]])
-            turn = _choose(weights, _uniform(keys[own], np.full(len(own), 3), np.full(len(own), sample)))
+            place = lattice.start[path.edge[at]]
+            edges, weights = lattice.fan(place, path.used[at])
+            running = np.cumsum(weights, axis=1)
+            drawn = _uniform(keys[own], np.full(len(own), 3), np.full(len(own), sample)) * running[:, -1]
+            column = (running < drawn[:, None]).sum(1)
+            turn = edges[np.arange(len(own)), column]
             path.other[at] = -np.inf  # its subtree now belongs to the new sample
-            cut = np.full(len(texts), -1, np.int64)
+            cut = np.full(size, -1, np.int64)
             cut[own] = at
             head = path.pick(np.flatnonzero(np.arange(len(path.doc)) < cut[path.doc]))
             head.other = np.full(len(head.doc), -np.inf)
             # the rest of the word of the turn, then all later words
-            w, p = path.word[at], path.place[at] + turn + 1
-            ended = turn + 1 >= lattice.rest[path.place[at]]
-            later = np.flatnonzero((cut[doc] >= 0) & (word > _spread(own, w, len(texts))[doc]))
-            d = np.concatenate([own[~ended], doc[later]])
-            n = np.concatenate([w[~ended], word[later]])
-            q = np.concatenate([p[~ended], lattice.first[kind[later]]])
-            order = np.lexsort((n, d))
-            d, n, q = d[order], n[order], q[order]
-            index, place, column = _descend(lattice, d, n, q, keys, sample)
-            turn_steps = (own, w, path.place[at], turn, used | 1 << turn)
-            all_doc = np.concatenate([turn_steps[0], d[index]])
-            all_word = np.concatenate([turn_steps[1], n[index]])
-            all_place = np.concatenate([turn_steps[2], place])
-            all_column = np.concatenate([turn_steps[3], column])
-            all_used = np.concatenate([turn_steps[4], 1 << column])
-            order = np.lexsort((all_place, all_word, all_doc))
-            start = _spread(own, path.before[at], len(texts), float)
-            new = finish(nothing, all_doc[order], all_word[order], all_place[order], all_column[order], all_used[order], start, best, sample)
-            parts += [head, new]
+            w = path.word[at]
+            open_ = np.flatnonzero(lattice.length[turn] < lattice.rest[place])
+            later = np.flatnonzero((cut[doc] >= 0) & (word > _spread(own, w, size)[doc]))
+            d = np.concatenate([own[open_], doc[later]])
+            order = np.argsort(d, kind="stable")
+            d = d[order]
+            n = np.concatenate([w[open_], word[later]])[order]
+            q = np.concatenate([(place + lattice.length[turn])[open_], lattice.first[kind[later]]])[order]
+            index, edge = _descend(lattice, d, n, q, keys, sample)
+            every_doc = np.concatenate([own, d[index]])
+            order = np.argsort(every_doc, kind="stable")
+            every_edge = np.concatenate([turn, edge])[order]
+            every_used = np.concatenate([path.used[at] | 1 << column, 1 << (edge - lattice.edge[lattice.start[edge]])])[order]
+            turned = np.flatnonzero(order < len(own))
+            start = _spread(own, path.before[at], size, float)
+            new = measured(every_doc[order], np.concatenate([w, n[index]])[order], every_edge, every_used, turned, start, best, sample)
+            parts.append(Steps.join([head, new]))
         if not parts:
             break
-        joined = Steps.join(parts)
-        paths.append(joined.pick(np.lexsort((joined.place, joined.word, joined.doc))))
+        paths.append(Steps.join(parts))
     out: list[list[tuple[np.ndarray, float, float, float]]] = [[] for _ in texts]
-    bound = value[k] if len(value) > k else np.full(len(texts), -np.inf)
+    bound = value[k] if len(value) > k else np.full(size, -np.inf)
     for number, path in enumerate(paths):
         ids, ends = _piece_ids(lattice, path, table)
-        first = np.searchsorted(path.doc, np.arange(len(texts) + 1))
-        for d in np.unique(path.doc).tolist():
+        first = np.searchsorted(path.doc, np.arange(size + 1))
+        for d in np.flatnonzero(np.diff(first)).tolist():
             last = int(first[d + 1]) - 1
-            log_prob = float(path.before[last] + np.log(lattice.chance[path.place[last], path.column[last]]))
+            log_prob = float(path.before[last] + lattice.log_chance[path.edge[last]])
             inclusion = 1.0 if np.isneginf(bound[d]) else float(-np.expm1(-np.exp(log_prob - bound[d])))
-            own = ids[ends[first[d]] : ends[first[d + 1]]]
-            out[d].append((own, log_prob, float(value[number][d]), inclusion))
+            out[d].append((ids[ends[first[d]] : ends[first[d + 1]]], log_prob, float(value[number][d]), inclusion))
     return out
 
 
@@ -283,11 +313,11 @@ def _spread(at: np.ndarray, values: np.ndarray, size: int, kind: type = np.int64
 
 def _piece_ids(lattice: Lattice, path: Steps, table: PieceTable) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all steps, characters without a piece as their bytes, and where each step's ids begin."""
-    ids = lattice.ids[path.place, path.column]
+    ids = lattice.ids[path.edge]
     lost = np.flatnonzero(ids == -2)
     if not len(lost):
         return ids, np.arange(len(ids) + 1)
-    raw = [chr(int(lattice.points[p])).encode("utf-8", "replace") for p in path.place[lost].tolist()]
+    raw = [chr(int(lattice.points[p])).encode("utf-8", "replace") for p in lattice.start[path.edge[lost]].tolist()]
     size = np.ones(len(ids), np.int64)
     size[lost] = [len(r) for r in raw]
     ends = np.concatenate([[0], np.cumsum(size)])
