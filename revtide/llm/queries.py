@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revtide.llm import fmindex, sampling, setsketch, superkmers, tokencount, toxicity
+from revtide.llm import fmindex, sampling, setsketch, superkmers, tagpaths, tokencount, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,10 +26,18 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicate_report(_table(spark, sf_dir, "documents"))
 
 
+def op3_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivative_report(_table(spark, sf_dir, "pages"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fmindex.contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tagpaths.extraction_report(_table(spark, sf_dir, "pages"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.segmentation_report(_table(spark, sf_dir, "documents"))
 
@@ -45,7 +53,9 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_near_dedup": op2_near_dedup,
+    "op3_warc_derivatives": op3_warc_derivatives,
     "op4_decontamination": op4_decontamination,
+    "op5_html_extraction": op5_html_extraction,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_token_counts": op9_token_counts,
     "op10_substring_dedup": op10_substring_dedup,
