@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revtide.llm import fmindex, sampling, setsketch, superkmers, tagpaths, tokencount, toxicity, warc
+from revtide.llm import fmindex, lattice, sampling, setsketch, superkmers, tagpaths, tokencount, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,6 +38,10 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagpaths.extraction_report(_table(spark, sf_dir, "pages"))
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_vector_report(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.segmentation_report(_table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Query] = {
     "op3_warc_derivatives": op3_warc_derivatives,
     "op4_decontamination": op4_decontamination,
     "op5_html_extraction": op5_html_extraction,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_token_counts": op9_token_counts,
     "op10_substring_dedup": op10_substring_dedup,
