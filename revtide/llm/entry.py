@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from revtide.llm.queries import QUERIES
-from revtide.llm.sql import ORACLES
+import corpus_pipeline
+from revtide.llm import queries, sql
+
+QUERIES = queries.QUERIES | {"pipeline": corpus_pipeline.run}
+ORACLES = sql.ORACLES | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
 
 __all__ = ["ORACLES", "QUERIES"]

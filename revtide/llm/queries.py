@@ -7,51 +7,56 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revtide.llm import fmindex, lattice, sampling, setsketch, superkmers, tagpaths, tokencount, toxicity, warc
+from revtide.llm import fmindex, lattice, packing, sampling, setsketch, superkmers, tagpaths, tokencount, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def open_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the given folder."""
     # Python workers look for this package where the driver has it, if nothing else was said.
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.toxicity_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return toxicity.toxicity_report(open_table(spark, sf_dir, "documents"), open_table(spark, sf_dir, "labels"))
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return setsketch.near_duplicate_report(_table(spark, sf_dir, "documents"))
+    return setsketch.near_duplicate_report(open_table(spark, sf_dir, "documents"))
 
 
 def op3_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.derivative_report(_table(spark, sf_dir, "pages"))
+    return warc.derivative_report(open_table(spark, sf_dir, "pages"))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fmindex.contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return fmindex.contamination_report(open_table(spark, sf_dir, "documents"), open_table(spark, sf_dir, "benchmark"))
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tagpaths.extraction_report(_table(spark, sf_dir, "pages"))
+    return tagpaths.extraction_report(open_table(spark, sf_dir, "pages"))
 
 
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lattice.near_vector_report(_table(spark, sf_dir, "embeddings"))
+    return lattice.near_vector_report(open_table(spark, sf_dir, "embeddings"))
+
+
+def op7_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packing_report(open_table(spark, sf_dir, "documents"))
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.segmentation_report(_table(spark, sf_dir, "documents"))
+    return sampling.segmentation_report(open_table(spark, sf_dir, "documents"))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokencount.token_count_report(_table(spark, sf_dir, "documents"))
+    return tokencount.token_count_report(open_table(spark, sf_dir, "documents"))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return superkmers.repeats_report(_table(spark, sf_dir, "documents"))
+    return superkmers.repeats_report(open_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
@@ -61,6 +66,7 @@ QUERIES: dict[str, Query] = {
     "op4_decontamination": op4_decontamination,
     "op5_html_extraction": op5_html_extraction,
     "op6_embedding_dedup": op6_embedding_dedup,
+    "op7_token_packing": op7_token_packing,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_token_counts": op9_token_counts,
     "op10_substring_dedup": op10_substring_dedup,
