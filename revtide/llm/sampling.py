@@ -35,7 +35,7 @@ SAMPLE = T.StructType(
     ]
 )
 #: Bytes of text that are searched together.
-SLICE = 3 << 20
+SLICE = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
