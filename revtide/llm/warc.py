@@ -20,7 +20,7 @@ BLOCKS = ("address article aside blockquote body br dd div dl dt fieldset figcap
 REFERENCES = (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("apos", "'"), ("copy", "©"), ("middot", "·"), ("amp", "&"))
 
 _COMMENT = r"(?s)<!--.*?-->"
-_SILENT = [rf"(?is)<{name}\b[^>]*>.*?</{name}\s*>" for name in SILENT]
+_SILENT = rf"(?is)<({'|'.join(SILENT)})\b[^>]*>.*?</\1\s*>"
 _BLOCK = rf"(?i)</?(?:{'|'.join(BLOCKS)})(?:\s[^>]*)?/?>"
 _TAG = r"(?s)<[/!?a-zA-Z][^>]*>"
 
@@ -39,8 +39,7 @@ def digest(text: Column) -> Column:
 def plain_text(html: Column) -> Column:
     """Text of a page: no silent elements, comments or tags; blocks on lines of their own, white space in a line as one space."""
     text = F.regexp_replace(html, _COMMENT, "")
-    for pattern in _SILENT:
-        text = F.regexp_replace(text, pattern, "")
+    text = F.regexp_replace(text, _SILENT, "")
     text = F.regexp_replace(text, r"\s+", " ")
     text = F.regexp_replace(F.regexp_replace(text, _BLOCK, "\n"), _TAG, "")
     for name, char in REFERENCES:
@@ -52,13 +51,14 @@ def plain_text(html: Column) -> Column:
 def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """Response records of a table of pages: record_id, target_uri, date, http_headers, payload.
 
-    The table knows no capture date; ``date`` stands in. Null columns become empty.
+    The table knows no capture date; ``date`` stands in. Null columns become empty. Ids depend on the row's id,
+    address and payload: only rows that agree in all three share one.
     """
     payload = F.coalesce(F.col(html_col), F.lit(""))
     headers = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(payload).cast("string"), F.lit("\r\n\r\n"))
     uri = F.coalesce(F.col(url_col), F.lit(""))
     return pages.select(
-        uuid_of(F.lit("response"), F.col(id_col), uri).alias("record_id"),
+        uuid_of(F.lit("response"), F.col(id_col), uri, digest(payload)).alias("record_id"),
         uri.alias("target_uri"),
         F.lit(date).alias("date"),
         headers.alias("http_headers"),
@@ -66,24 +66,17 @@ def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     )
 
 
-def _record(kind: str, number: Column, media: str, block: Column, extra: tuple[tuple[str, Column], ...]) -> Column:
-    named = (
-        ("WARC-Type", F.lit(kind)),
-        ("WARC-Record-ID", number),
-        ("WARC-Refers-To", F.col("record_id")),
-        ("WARC-Target-URI", F.col("target_uri")),
-        ("WARC-Date", F.col("date")),
-        *extra,
-        ("WARC-Block-Digest", digest(block)),
-        ("Content-Type", F.lit(media)),
-        ("Content-Length", F.octet_length(block).cast("string")),
-    )
+def _record(kind: str, media: str, block: str, extra: dict[str, str]) -> Column:
+    """A record of the columns ``{kind}_id``, ``block`` and ``{block}_digest``."""
+    columns = {"WARC-Record-ID": f"{kind}_id", "WARC-Refers-To": "record_id", "WARC-Target-URI": "target_uri", "WARC-Date": "date", **extra, "WARC-Block-Digest": f"{block}_digest"}
+    named = [("WARC-Type", F.lit(kind)), *((name, F.col(c)) for name, c in columns.items())]
+    named += [("Content-Type", F.lit(media)), ("Content-Length", F.octet_length(block).cast("string"))]
     lines = [F.concat(F.lit(f"{name}: "), value) for name, value in named]
     return F.struct(
         F.lit(kind).alias("warc_type"),
-        number.alias("record_id"),
+        F.col(f"{kind}_id").alias("record_id"),
         F.concat(F.lit(VERSION + "\r\n"), F.concat_ws("\r\n", *lines), F.lit("\r\n\r\n")).alias("header"),
-        block.alias("block"),
+        F.col(block).alias("block"),
     )
 
 
@@ -97,23 +90,32 @@ def derivatives(records: DataFrame) -> DataFrame:
     repeated records; other columns are ignored.
     """
     source = records.select(*(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("record_id", "target_uri", "date", "http_headers", "payload")))
-    text = plain_text(F.col("payload"))
-    metadata_id, conversion_id = (uuid_of(F.lit(kind), F.col("record_id")) for kind in (METADATA, CONVERSION))
-    payload = digest(F.col("payload"))
     head = F.regexp_replace("http_headers", r"\r\n\r\n$", "")
     kept = F.regexp_replace(F.regexp_replace(head, r"^HTTP[^\r\n]*", "status: $0"), r"\r\n", "\r\nsource-")
     outlinks = F.size(F.regexp_extract_all(F.col("payload"), F.lit(r'(?i)<a\s[^>]*href="([^"]*)"'), F.lit(1))).cast("string")
+    # Each step is a projection of its own: a column that the next step names more than once is computed once.
+    texts = source.select(
+        "record_id",
+        "target_uri",
+        "date",
+        kept.alias("kept"),
+        digest(F.col("payload")).alias("payload_digest"),
+        outlinks.alias("outlinks"),
+        plain_text(F.col("payload")).alias("text"),
+        *(uuid_of(F.lit(kind), F.col("record_id")).alias(f"{kind}_id") for kind in (METADATA, CONVERSION)),
+    ).withColumn("text_digest", digest(F.col("text")))
     block = F.concat(
-        kept,
-        F.lit("\r\nsource-payload-digest: "), payload,
-        F.lit("\r\nconversion-id: "), conversion_id,
-        F.lit("\r\nconversion-digest: "), digest(text),
-        F.lit("\r\noutlinks: "), outlinks,
+        F.col("kept"),
+        F.lit("\r\nsource-payload-digest: "), F.col("payload_digest"),
+        F.lit("\r\nconversion-id: "), F.col(f"{CONVERSION}_id"),
+        F.lit("\r\nconversion-digest: "), F.col("text_digest"),
+        F.lit("\r\noutlinks: "), F.col("outlinks"),
         F.lit("\r\n"),
     )
-    extra = (("WARC-Source-Payload-Digest", payload),)
-    both = F.array(_record(METADATA, metadata_id, FIELDS_TYPE, block, extra), _record(CONVERSION, conversion_id, TEXT_TYPE, text, extra))
-    rows = source.select(F.col("record_id").alias("refers_to"), "target_uri", F.explode(both).alias("r"))
+    full = texts.withColumn("fields", block).withColumn("fields_digest", digest(F.col("fields")))
+    extra = {"WARC-Source-Payload-Digest": "payload_digest"}
+    both = F.array(_record(METADATA, FIELDS_TYPE, "fields", extra), _record(CONVERSION, TEXT_TYPE, "text", extra))
+    rows = full.select(F.col("record_id").alias("refers_to"), "target_uri", F.explode(both).alias("r"))
     return rows.select("r.warc_type", "r.record_id", "refers_to", "target_uri", "r.header", "r.block")
 
 
