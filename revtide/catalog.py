@@ -217,8 +217,7 @@ def author_commit_times(spark, sf):
 @query
 def basic_stats(spark, sf):
     rev, ch = _orders(spark, sf)
-    scoped, under = C.scope(rev, ch, "/ECONOMY/")
-    return A.basic_stats(scoped, under)
+    return A.basic_stats(rev, ch)
 
 
 @query
@@ -234,7 +233,7 @@ def hot_files(spark, sf):
 
 @query
 def hot_files_events(spark, sf):
-    return H.hot_files(*_events(spark, sf), n=25, prefix="/signup/")
+    return H.hot_files(*_events(spark, sf), n=25)
 
 
 @query

@@ -40,8 +40,6 @@ def _of_top_authors(
 ) -> DataFrame:
     keys = [*group_cols, "author"]
     best = author_ranking(ranked, top, group_cols).select(*keys)
-    if not group_cols:
-        best = F.broadcast(best)  # at most ``top`` names
     return log.join(best, keys, "left_semi")
 
 
@@ -74,9 +72,12 @@ def rank_desc(revisions: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame
 
 
 def revision_gaps(
-    revisions: DataFrame, n_authors: int | None = None, group_cols: Sequence[str] = ()
+    revisions: DataFrame,
+    n_authors: int | None = None,
+    group_cols: Sequence[str] = (),
+    ranked: DataFrame | None = None,
 ) -> DataFrame:
-    """Hours since the previous revision; authors outside the top n become ``others``."""
+    """Hours since the previous revision; authors outside the top n of ``ranked`` become ``others``."""
     group_cols = list(group_cols)
     keys = [*group_cols, "author"]
     rows = prev_value(
@@ -86,9 +87,8 @@ def revision_gaps(
         ["revno"],
         {"_prev_date": "commitdate"},
     ).filter(F.col("_prev_date").isNotNull())
-    named = author_ranking(revisions, n_authors, group_cols).select(*keys, F.lit(True).alias("_known"))
-    if n_authors is not None and not group_cols:
-        named = F.broadcast(named)  # at most n names
+    busy = author_ranking(ranked if ranked is not None else revisions, n_authors, group_cols)
+    named = busy.select(*keys, F.lit(True).alias("_known"))
     return rows.join(named, keys, "left").select(
         *group_cols,
         "revno",

@@ -17,7 +17,7 @@ from revtide.session import cut_lineage
 
 
 def both_ways(edges: DataFrame, *extra: str) -> DataFrame:
-    """Each edge in both directions, loops and repeats left out."""
+    """Each edge in both directions, loops left out; of parallel edges the least of each ``extra`` column."""
     e = edges.filter(F.col("src") != F.col("dst"))
     ends = F.explode(
         F.array(
@@ -26,7 +26,7 @@ def both_ways(edges: DataFrame, *extra: str) -> DataFrame:
         )
     ).alias("e")
     out = e.select(ends, *extra).select("e.u", "e.v", *extra)
-    return out.distinct() if not extra else out.dropDuplicates(["u", "v"])
+    return out.groupBy("u", "v").agg(*(F.min(c).alias(c) for c in extra)) if extra else out.distinct()
 
 
 def degree_centrality(edges: DataFrame) -> DataFrame:

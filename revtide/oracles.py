@@ -181,10 +181,10 @@ ORACLES: dict[str, str] = {
           strftime(arg_max(commitdate, revno), '%Y-%m-%d %H:%M:%S.%f') AS last_rev_date,
           count(*) AS num_revs, count(DISTINCT lower(author)) AS num_authors,
           (SELECT count(*) FILTER (changetype = 'A') - count(*) FILTER (changetype = 'D')
-           FROM changes WHERE changedpath LIKE '/ECONOMY/%') AS num_files,
+           FROM changes) AS num_files,
           (SELECT CAST(sum(linesadded - linesdeleted) AS BIGINT)
-           FROM changes WHERE changedpath LIKE '/ECONOMY/%') AS loc
-        FROM revisions WHERE revno IN (SELECT revno FROM changes WHERE changedpath LIKE '/ECONOMY/%')"""),
+           FROM changes) AS loc
+        FROM revisions"""),
     "author_cloud": _e("""SELECT author, commits, round(temp, 4) AS activity FROM final
         WHERE temp > 0 ORDER BY temp DESC, author LIMIT 50""", AUTHOR_FOLD),
     "active_authors": _e("""SELECT author, round(temp, 4) AS temperature FROM final
@@ -192,7 +192,7 @@ ORACLES: dict[str, str] = {
     "hot_files": _o("""SELECT changedpath, round(temp, 4) AS temperature, n_changes FROM final
         ORDER BY temp DESC, changedpath LIMIT 10""", FILE_FOLD, FILE_FINAL),
     "hot_files_events": _e("""SELECT changedpath, round(temp, 4) AS temperature, n_changes FROM final
-        WHERE changedpath LIKE '/signup/%' ORDER BY temp DESC, changedpath LIMIT 25""", FILE_FOLD, FILE_FINAL),
+        ORDER BY temp DESC, changedpath LIMIT 25""", FILE_FOLD, FILE_FINAL),
     "commit_gap_histogram": _e("""SELECT bin, label, count(gap) AS commits
         FROM (VALUES (0, '0-1 hr', 0.0, 1/24.0), (1, '1-4 hrs', 1/24.0, 4/24.0), (2, '4hrs-1 day', 4/24.0, 1.0),
               (3, '1-2 days', 1.0, 2.0), (4, '2-4 days', 2.0, 4.0), (5, '4-8 days', 4.0, 8.0),

@@ -71,6 +71,6 @@ def report(
         "bugfix": lambda: S.bugfix_trend(revisions, under, facts, tz),
         "gap_band": lambda: G.commit_gap_band(revisions, scoped),
         "gap_band_recent": lambda: G.commit_gap_band(revisions, scoped, recent_months),
-        "revision_gaps": lambda: G.revision_gaps(facts.select("revno", "author", "commitdate"), authors),
+        "revision_gaps": lambda: G.revision_gaps(facts.select("revno", "author", "commitdate"), authors, ranked=scoped),
     }
     return {name: build() for name, build in made.items() if only is None or name in only}

@@ -252,3 +252,10 @@ def test_bounded_hops(spark):
     e = [("a", "b", 1.0), ("b", "c", 1.0), ("c", "d", 1.0)]
     got = rows(G.hop_profile(spark.createDataFrame(e, SCHEMA), max_hops=1))
     assert got == [("a", 0, 1), ("a", 1, 2), ("b", 0, 1), ("b", 1, 3), ("c", 0, 1), ("c", 1, 3), ("d", 0, 1), ("d", 1, 2)]
+
+
+def test_parallel_edges_count_with_the_least_length(spark):
+    rows = [("a", "b", 3.0), ("b", "a", 1.0), ("b", "c", 2.0), ("b", "c", 5.0), ("c", "c", 0.5)]
+    for order in (rows, rows[::-1]):
+        links = G.both_ways(spark.createDataFrame(order, "src string, dst string, weight double"), "weight")
+        assert {tuple(r) for r in links.collect()} == {("a", "b", 1.0), ("b", "a", 1.0), ("b", "c", 2.0), ("c", "b", 2.0)}
