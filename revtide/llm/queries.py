@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revtide.llm import fmindex, lattice, packing, sampling, setsketch, sumofsquares, superkmers, tagpaths, tokencount, toxicity, warc, whitening
+from revtide.llm import fmindex, lattice, negatives, packing, sampling, setsketch, sumofsquares, superkmers, tagpaths, tokencount, toxicity, warc, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,6 +63,10 @@ def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sumofsquares.packing_report(open_table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negative_report(open_table(spark, sf_dir, "embeddings"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitening_report(open_table(spark, sf_dir, "embeddings"))
 
@@ -79,5 +83,6 @@ QUERIES: dict[str, Query] = {
     "op9_token_counts": op9_token_counts,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_best_fit_packing": op11_best_fit_packing,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_embedding_whitening": op13_embedding_whitening,
 }
