@@ -282,7 +282,7 @@ def _merge_rounds(parts: DataFrame, merge: Callable[[int, list[bytes]], bytes])
                     while to < len(cells) and cells[to] == cells[at]:
                         to += 1
                     # numbered anew: states of one width share no number
-                    yield pa.RecordBatch.from_arrays([pa.array([widths[at]]), pa.array([cells[at]]), pa.array([merge(widths[at], states[at:to])], pa.binary())], names=["width", "part", "state"])
+                    yield pa.RecordBatch.from_arrays([pa.array([widths[at]], pa.int32()), pa.array([cells[at]]), pa.array([merge(widths[at], states[at:to])], pa.binary())], names=["width", "part", "state"])
                     at = to
 
         cell = F.xxhash64("width", F.pmod(F.xxhash64("part"), F.lit(rows)))
