@@ -197,9 +197,9 @@ def _requests(blocks: DataFrame) -> DataFrame:
         part, made = TaskContext.get().partitionId(), 0
         held: dict[int, list[tuple]] = {}
         for batch in batches:
-            for block, width, ids, labels, matrix, anchors in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            for block, width, size, ids, labels, matrix, anchors in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
                 at = np.frombuffer(anchors, np.int32)
-                x = np.frombuffer(matrix, np.int32).reshape(-1, width)[at]
+                x = np.frombuffer(matrix, np.int32).reshape(size, width)[at]
                 own = held.setdefault(width, [])
                 own += zip(np.frombuffer(ids, np.int64)[at], np.frombuffer(labels, np.int64)[at], np.int64(block) * BLOCK + at, x, strict=True)
                 while len(own) >= GROUP:
@@ -217,7 +217,7 @@ def _requests(blocks: DataFrame) -> DataFrame:
         values = (number, width, n, ids, labels, places, np.array([o[3] for o in own], np.int32).tobytes(), 1, np.full(n, -_MOST).tobytes(), np.full(n, _MOST).tobytes(), np.full(n, _MOST).tobytes())
         return pa.RecordBatch.from_pylist([dict(zip([f.split()[0] for f in _REQUESTS.split(", ")], values, strict=True))], schema=_arrow(_REQUESTS))
 
-    wanted = blocks.where(F.length("anchors") > 0).select("block", "width", "ids", "labels", "matrix", "anchors")
+    wanted = blocks.where(F.length("anchors") > 0).select("block", "width", "size", "ids", "labels", "matrix", "anchors")
     return materialize(wanted.mapInArrow(gather, _REQUESTS), "anchors")
 
 
