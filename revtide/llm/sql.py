@@ -146,9 +146,32 @@ SELECT 'conversion', conversion_id, refers_to, target_uri, {_header("conversion"
 FROM blocks
 """
 
+#: Products of every hundredth row with all others; windows and ranks by window functions.
+HARD_NEGATIVES = """
+WITH cut AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS v
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), pairs AS (
+    SELECT a.vec_id AS anchor_id, r.vec_id, r.label = a.label AS same, CAST(list_dot_product(a.v, r.v) AS BIGINT) AS score
+    FROM (SELECT * FROM cut WHERE vec_id % 100 = 0) a JOIN cut r ON r.vec_id <> a.vec_id
+), positives AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM pairs WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+), ranked AS (
+    SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+           vec_id AS negative_id, positive_score, score AS negative_score
+    FROM positives JOIN pairs USING (anchor_id)
+    WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+)
+SELECT * FROM ranked WHERE rank <= 10
+"""
+
 ORACLES: dict[str, str] = {
     "op2_near_dedup": NEAR_DEDUP,
     "op3_warc_derivatives": WARC_DERIVATIVES,
     "op4_decontamination": DECONTAMINATION,
     "op10_substring_dedup": SUBSTRING_DEDUP,
+    "op12_hard_negatives": HARD_NEGATIVES,
 }
