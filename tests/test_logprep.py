@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -135,3 +137,97 @@ def test_stem_chains(spark):
     df = spark.createDataFrame([("add", 1), ("adds", 2), ("addsing", 4), ("addsinged", 8), ("bus", 3), ("buses", 1), ("xs", 5)], "word string, freq long")
     # "buses" loses "s" first; without that stem it tries "es"
     assert rows(X.merge_stems(df)) == [("add", 15), ("bus", 4), ("xs", 5)]
+
+
+def _simulate(log):
+    """The rows of directory copies and deletes, revision by revision, from all rows before."""
+    real = [(r[0], r[1], r[2], r[3], r[4]) for r in log if not r[1].endswith("/")]
+    made = []
+    for rev in sorted({r[0] for r in log}):
+        ops = [r for r in log if r[0] == rev and r[1].endswith("/")]
+
+        def state(directory, read, rev=rev):
+            seen = {}
+            rows = [r for r in real if r[0] <= read] + [r for r in made if r[0] <= min(read, rev - 1)]
+            for r in rows:
+                if r[1].startswith(directory) and r[1] != directory:
+                    add, gone, net = seen.get(r[1], (None, None, 0))
+                    if r[2] in ("A", "R"):
+                        add = max(add or -1, r[0])
+                    if r[2] == "D":
+                        gone = max(gone or -1, r[0])
+                    seen[r[1]] = (add, gone, net + r[3] - r[4])
+            return seen
+
+        new, used = [], set()
+        deletes = {r[1] for r in ops if r[2] == "D"}
+        targets = {}
+        for r in {(r[1], r[5], r[6]) for r in ops if len(r) > 5 and r[5]}:
+            for path, (add, gone, net) in state(r[1], r[2]).items():
+                targets.setdefault(r[0] + path[len(r[1]) :], []).append((add, len(r[0]), path, gone, net, r[2]))
+        own = {r[1] for r in real if r[0] == rev}
+        for target, found in targets.items():
+            added = [f for f in found if f[0] is not None]
+            if not added or target in own:
+                continue
+            best = max(added, key=lambda f: f[:3])
+            if best[0] < max([f[3] for f in found if f[3] is not None], default=-1):
+                continue
+            over = {d for d in deletes if target.startswith(d)}
+            used |= over
+            if not over:
+                new.append((rev, target, "A", max(best[4], 0), 0))
+        for d in deletes - used:
+            for path, (add, gone, net) in state(d, rev).items():
+                if add is not None and add >= (-1 if gone is None else gone):
+                    new.append((rev, path, "D", 0, max(net, 0)))
+        made += new
+    return sorted(set(made))
+
+
+def test_directories_against_simulation(make_changes):
+    """Copies of copies, deletes, files that come back, many revisions of a file, two sources for a target."""
+    for seed in range(2):
+        r = random.Random(seed)
+        dirs = ["/a/", "/b/", "/a/x/", "/c/", "/d/", "/c/x/"]
+        log = []
+        for rev in range(1, 40):
+            for _ in range(r.randint(1, 3)):
+                path = r.choice(dirs) + r.choice("fgh")
+                if not any(x[:2] == (rev, path) for x in log):
+                    log.append((rev, path, r.choice("AAMMDR"), r.randint(0, 9), r.randint(0, 3)))
+            if rev % 4 == 0:
+                src, dst = r.sample(dirs, 2)
+                if not dst.startswith(src):
+                    log.append((rev, dst, "A", 0, 0, src, rev - r.randint(1, 5)))
+                if r.random() < 0.4:
+                    log.append((rev, r.choice([d for d in dirs if d != dst]), "D", 0, 0))
+        got = rows(DS.expand_directories(make_changes(log)), "revno", "changedpath", "changetype", "linesadded", "linesdeleted")
+        assert got == _simulate(log)
+
+
+def test_intervals_and_lookup(make_changes):
+    r = random.Random(5)
+    log = [(rev, f"/d/{r.choice('ab') if rev % 3 else 'hot'}", r.choice("AMDR"), r.randint(0, 9), r.randint(0, 9)) for rev in r.sample(range(1, 400), 150)]
+    changes = make_changes(log)
+    table = DS.path_intervals(changes, width=16)
+    found = {(x.changedpath, x.valid_from): x for x in table.collect()}
+    by = {}
+    for x in sorted(log):
+        by.setdefault(x[1], []).append(x)
+
+    def known(path, rev):
+        seen = [x for x in by[path] if x[0] <= rev]
+        last = lambda kinds: max((x[0] for x in seen if x[2] in kinds), default=None)
+        return (last("AR"), last("D"), sum(x[3] - x[4] for x in seen))
+
+    assert len(found) == len(log)
+    for path, own in by.items():
+        for x, then in zip(own, [*own[1:], None], strict=True):
+            got = found[path, x[0]]
+            assert (got.addrevno, got.delrevno, got.net_lines) == known(path, x[0])
+            assert got.valid_to == (then[0] - 1 if then else None)
+    asked = changes.sparkSession.createDataFrame([(p, rev, rev * 7) for p in by for rev in range(0, 410, 9)], "changedpath string, at long, tag long")
+    got = {(x.changedpath, x.at): (x.addrevno, x.delrevno, x.net_lines) for x in DS.as_of(table, asked, "at", width=16).collect()}
+    want = {(p, rev): known(p, rev) for p in by for rev in range(0, 410, 9) if by[p][0][0] <= rev}
+    assert got == want
