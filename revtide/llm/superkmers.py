@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from revtide.llm.common import free_name, materialize, text_slices, with_column
+from revtide.llm.common import discard, free_name, materialize, text_slices, with_column
 from revtide.llm.words import as_long, gram_hashes, split_words, window_starts
 
 #: Words of a window and of the runs that its minimiser is taken from.
@@ -117,10 +117,12 @@ def _windows(packed: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(words.first, starts, side="right") - 1
 
 
-def _earliest(strings: DataFrame, k: int, crowd: int) -> DataFrame:
-    """(bucket, string, first): of each packed string, the smallest document of each of its windows in turn."""
-    sizes = strings.groupBy("bucket").agg(F.count("*").alias("size"))
-    sized = materialize(strings.join(sizes, "bucket"), "strings")
+def _earliest(packed: DataFrame, k: int, crowd: int) -> DataFrame:
+    """(bucket, string, first): of each different packed string, the smallest document of each of its windows in turn."""
+    crowded = packed.select("bucket", "string").distinct().groupBy("bucket").agg(F.count("*").alias("size")).where(F.col("size") > crowd)
+    # Few rows: one for every ``crowd`` strings at most.
+    crowded = materialize(crowded.select("bucket"), "crowded")
+    strings = packed.groupBy("bucket", "string").agg(F.min("doc").alias("doc"), F.first("packed").alias("packed"))
 
     def sort_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -147,7 +149,7 @@ def _earliest(strings: DataFrame, k: int, crowd: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(string), pa.ListArray.from_arrays(pa.array(ends), pa.array(first))], names=["bucket", "string", "first"])
 
     columns = ["bucket", "string", "doc", "packed"]
-    calm = sized.where(F.col("size") <= crowd).select(columns).repartition("bucket").sortWithinPartitions("bucket")
+    calm = strings.join(crowded, "bucket", "left_anti").select(columns).repartition("bucket").sortWithinPartitions("bucket")
     calm = calm.mapInArrow(sort_windows, "bucket long, string long, first array<long>")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,15 +160,15 @@ def _earliest(strings: DataFrame, k: int, crowd: int) -> DataFrame:
             values = (bucket, string, doc, place.astype(np.int32), as_long(hashes))
             yield pa.RecordBatch.from_arrays([pa.array(v) for v in values], names=["bucket", "string", "doc", "place", "window"])
 
-    windows = sized.where(F.col("size") > crowd).select(columns).mapInArrow(spread, "bucket long, string long, doc long, place int, window long")
+    windows = strings.join(crowded, "bucket", "left_semi").select(columns).mapInArrow(spread, "bucket long, string long, doc long, place int, window long")
     least = materialize(windows.groupBy("bucket", "window").agg(F.min("doc").alias("least")), "windows")
-    crowded = (
+    spread_out = (
         windows.join(least, ["bucket", "window"])
         .groupBy("bucket", "string")
         .agg(F.array_sort(F.collect_list(F.struct("place", "least"))).alias("all"))
         .select("bucket", "string", F.col("all")["least"].alias("first"))
     )
-    return calm.unionByName(crowded)
+    return calm.unionByName(spread_out)
 
 
 def find_repeats(documents: DataFrame, removal: str = "removal", id_col: str = "doc_id", text_col: str = "text", k: int = WINDOW, m: int = RUN, crowd: int = CROWD) -> DataFrame:
@@ -180,12 +182,12 @@ def find_repeats(documents: DataFrame, removal: str = "removal", id_col: str = "
     row, doc = free_name(documents, "row"), free_name(documents, "doc")
     named = documents.select("*", F.xxhash64(id_col, text_col).alias(row), F.col(id_col).cast("long").alias(doc))
     slim = named.select(F.col(row).alias("row"), F.col(doc).alias("doc"), F.col(text_col).alias("text"))
-    places = materialize(_places(slim, "text", k, m), "places")
-    shared = places.groupBy("bucket").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("bucket")
-    places = places.join(materialize(shared, "buckets"), "bucket", "left_semi").select("bucket", "start", "windows", "row").distinct()
+    every = materialize(_places(slim, "text", k, m), "places")
+    shared = every.groupBy("bucket").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("bucket")
+    places = every.join(materialize(shared, "buckets"), "bucket", "left_semi").select("bucket", "start", "windows", "row").distinct()
     packed = materialize(_packed(slim, places, "text", k), "packed")
-    strings = packed.groupBy("bucket", "string", "packed").agg(F.min("doc").alias("doc"))
-    first = materialize(_earliest(strings, k, crowd), "earliest")
+    discard(every)
+    first = materialize(_earliest(packed, k, crowd), "earliest")
     late = F.filter(F.transform("first", lambda x, i: F.when(x < F.col("doc"), F.col("start") + i)), lambda x: x.isNotNull())
     removed = (
         packed.select("bucket", "string", "start", "row", "doc")
