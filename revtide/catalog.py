@@ -686,15 +686,8 @@ def append_new(spark, sf):
     return fresh(stored, rev).select("revno", "author")
 
 
-@query
-def stream_new(spark, sf):
-    import uuid
-
-    from revtide.session import ensure_checkpoint_dir
-    from revtide.streaming import incremental as I
-
-    ensure_checkpoint_dir(spark)
-    base = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4()}"
+def _event_stream(spark, sf):
+    """Revisions of the events table as a stream, and a folder for what comes of it."""
     layout = D.table(spark, sf, "events").schema
     raw = spark.readStream.schema(layout).option("pathGlobFilter", "events.parquet").parquet(sf)
     log = raw.select(
@@ -702,10 +695,36 @@ def stream_new(spark, sf):
         D.utc("ts").alias("commitdate"),
         F.col("user_id").cast("string").alias("author"),
     )
+    return log, _shared(spark, "stream")
+
+
+@query
+def stream_new(spark, sf):
+    from revtide.streaming import incremental as I
+
+    log, base = _event_stream(spark, sf)
     I.write_available(I.stream_new(log), f"{base}/log", f"{base}/state").awaitTermination()
     return A.daily_commit_count(spark.read.parquet(f"{base}/log"))
 
 
+@query
+def stream_daily_counts(spark, sf):
+    from revtide.streaming import incremental as I
+
+    log, base = _event_stream(spark, sf)
+    I.write_updates(I.daily_counts(I.stream_new(log)), f"{base}/days", f"{base}/state").awaitTermination()
+    return I.read_updates(spark, f"{base}/days", ["day"])
+
+
+@query
+def stream_author_scores(spark, sf):
+    from revtide.streaming import incremental as I
+
+    log, base = _event_stream(spark, sf)
+    I.write_updates(I.author_windows(I.stream_new(log)), f"{base}/scores", f"{base}/state").awaitTermination()
+    return I.scores_of_windows(I.read_updates(spark, f"{base}/scores", ["author", "start"]))
+
+
 @query
 def merge_scores(spark, sf):
     rev, _ = _events(spark, sf)
@@ -807,116 +826,123 @@ def degree_centrality(spark, sf):
     return degree(E.author_file_edges(*_orders(spark, sf)))
 
 
-def _directory_graph(spark, sf):
-    """Brand directories changed together more often than the average pair."""
-    from revtide.functions.paths import dir_prefix
-    from revtide.operators import edges as E
+def _author_network(spark, sf):
+    from revtide.plans.networks import author_network as network
 
-    _, ch = _orders(spark, sf)
-    links = E.cochange_edges(ch.withColumn("changedpath", dir_prefix("changedpath")))
-    typical = links.agg(F.avg("weight") + 2 * F.stddev_pop("weight")).scalar()
-    return links.filter(F.col("weight") > typical)
+    return network(*_orders(spark, sf))
 
 
-def _often_together(spark, sf):
-    from revtide.operators import edges as E
+def _file_network(spark, sf):
+    from revtide.plans.networks import file_network as network
 
-    _, ch = _orders(spark, sf)
-    return E.cochange_edges(ch, min_weight=2.0)
+    return network(*_orders(spark, sf))
 
 
 @query
 def k_core(spark, sf):
+    from revtide.operators import edges as E
     from revtide.operators.graph import k_core as core
 
-    return core(_often_together(spark, sf), 3)
+    _, ch = _orders(spark, sf)
+    return core(E.cochange_edges(ch), 5)
 
 
 @query
 def connected_components(spark, sf):
     from revtide.operators.graph import connected_components as components
 
-    return components(_often_together(spark, sf))
+    return components(_author_network(spark, sf))
 
 
 @query
 def largest_component(spark, sf):
     from revtide.operators.graph import largest_component as largest
 
-    return largest(_often_together(spark, sf))
+    return largest(_author_network(spark, sf))
 
 
 @query
 def components_min_size(spark, sf):
     from revtide.operators.graph import components_min_size as parts
 
-    return parts(_often_together(spark, sf), 3)
+    return parts(_author_network(spark, sf), 10)
 
 
 @query
 def closeness_centrality(spark, sf):
     from revtide.operators.graph import closeness_centrality as closeness
 
-    return closeness(_directory_graph(spark, sf))
+    return closeness(_author_network(spark, sf))
 
 
 @query
 def closeness_file_network(spark, sf):
     from revtide.operators.graph import closeness_centrality as closeness
-    from revtide.plans.networks import file_network as network
 
-    return closeness(network(*_orders(spark, sf)))
+    return closeness(_file_network(spark, sf))
 
 
 @query
 def weighted_closeness(spark, sf):
-    from revtide.operators.edges import inverse_log_weights
     from revtide.operators.graph import closeness_centrality as closeness
 
-    return closeness(inverse_log_weights(_directory_graph(spark, sf)), "weight")
+    return closeness(_author_network(spark, sf), "weight")
 
 
 @query
 def graph_stats(spark, sf):
     from revtide.operators.graph import graph_stats as stats
 
-    return stats(_directory_graph(spark, sf))
+    return stats(_author_network(spark, sf))
+
+
+@query
+def graph_stats_file_network(spark, sf):
+    from revtide.operators.graph import graph_stats as stats
+
+    return stats(_file_network(spark, sf))
 
 
 @query
 def graph_center(spark, sf):
     from revtide.operators.graph import graph_center as center
 
-    return center(_directory_graph(spark, sf))
+    return center(_file_network(spark, sf))
 
 
 @query
 def betweenness(spark, sf):
     from revtide.operators.graph import betweenness as between
 
-    return between(_directory_graph(spark, sf))
+    return between(_author_network(spark, sf))
 
 
 @query
 def edge_betweenness(spark, sf):
     from revtide.operators.graph import edge_betweenness as between
 
-    return between(_directory_graph(spark, sf))
+    return between(_author_network(spark, sf))
 
 
 @query
 def trim_by_edge_betweenness(spark, sf):
     from revtide.operators.graph import trim_by_edge_betweenness as trim
 
-    return trim(_directory_graph(spark, sf))
+    return trim(_author_network(spark, sf))
 
 
 @query
 def minimum_spanning_tree(spark, sf):
-    from revtide.operators.edges import inverse_log_weights
     from revtide.operators.graph import minimum_spanning_tree as mst
 
-    return mst(inverse_log_weights(_directory_graph(spark, sf)))
+    return mst(_author_network(spark, sf))
+
+
+@query
+def betweenness_tree(spark, sf):
+    from revtide.operators.graph import betweenness_tree as tree
+
+    return tree(_author_network(spark, sf), "weight")
 
 
 @query
@@ -930,7 +956,14 @@ def degree_over_time(spark, sf):
 def closeness_over_time(spark, sf):
     from revtide.operators.timeline import closeness_over_time as timeline
 
-    return timeline(*_nations(spark, sf), ["1995-01-10", "1996-12-31"])
+    return timeline(*_nations(spark, sf))
+
+
+@query
+def centrality_over_time(spark, sf):
+    from revtide.operators.timeline import centrality_over_time as timeline
+
+    return timeline(*_nations(spark, sf))
 
 
 @query
@@ -938,7 +971,7 @@ def path_treemap(spark, sf):
     from revtide.operators.treemap import path_treemap as treemap
 
     _, ch = _orders(spark, sf)
-    return treemap(_often_together(spark, sf), A.path_change_counts(ch), "/", 10)
+    return treemap(_file_network(spark, sf), A.path_change_counts(ch), "/", 10)
 
 
 @query
@@ -996,6 +1029,60 @@ def read_changes(spark, sf):
     )
 
 
+def _entries(spark, sf):
+    """The log with the changed paths of a revision nested in it."""
+    from revtide import schema
+
+    rev, ch = _orders(spark, sf)
+    one = F.struct(*[F.col(f.name) if f.name in ch.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.CHANGED_PATH.fields])
+    lists = ch.groupBy("revno").agg(F.collect_list(one).alias("changed_paths"))  # the paths of one revision
+    return rev.select("revno", "commitdate", "author", "msg").join(lists, "revno")
+
+
+@query
+def read_changes_xml(spark, sf):
+    from revtide.sources.readers import read_changes as read
+
+    path = _shared(spark, "log-xml")
+    entries = _entries(spark, sf)
+    each = F.transform("changed_paths", lambda c: F.struct(c["changedpath"].alias("_VALUE"), c["changetype"].alias("_action"), F.lit("file").alias("_kind")))
+    entries.select(
+        F.col("revno").alias("_revision"), F.lit("orders").alias("_repo_id"), "author",
+        F.date_format("commitdate", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("date"), F.struct(each.alias("path")).alias("paths"), "msg",
+    ).write.format("xml").option("rowTag", "logentry").option("rootTag", "log").save(path)
+    return read(spark, path, "xml", group_cols=[T.StructField("repo_id", T.StringType())]).select(
+        "repo_id", "revno", "changedpath", "changetype", "pathtype"
+    )
+
+
+@query
+def read_changes_nested(spark, sf):
+    from revtide.sources.readers import read_changes as read
+
+    path = _shared(spark, "log-nested")
+    _entries(spark, sf).write.parquet(path)
+    return read(spark, path, "parquet", nested=True).select("revno", "changedpath", "changetype", "linesadded", "linesdeleted")
+
+
+@query
+def read_revisions_parquet(spark, sf):
+    from revtide.operators.logprep import with_file_counts
+    from revtide.sources.readers import read_revisions as read
+
+    path = _shared(spark, "revisions-parquet")
+    with_file_counts(*_orders(spark, sf)).write.parquet(path)
+    return read(spark, path).select("revno", "commitdate", "author", "msg", "added_files", "changed_files", "deleted_files")
+
+
+@query
+def epoch_to_timestamp(spark, sf):
+    from revtide.functions.calendar import epoch_to_timestamp as moment
+
+    rev, _ = _events(spark, sf)
+    seconds = rev.select("revno", F.unix_seconds("commitdate").alias("seconds"))
+    return seconds.select("revno", F.date_format(moment(F.col("seconds")), "yyyy-MM-dd HH:mm:ss").alias("moment"))
+
+
 @query
 def write_stats_csv(spark, sf):
     from revtide.sources import sinks

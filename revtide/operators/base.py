@@ -1,4 +1,9 @@
-"""Shared building blocks: scope-wide values, neighbours, ranking, bucketing."""
+"""Shared building blocks: scope-wide values, neighbours, ranking, bucketing.
+
+Whatever is ordered over a long group is scanned in two passes: within buckets of the
+order, and over one summary row per bucket. ``share_bucket`` cuts the order so that
+buckets hold equal shares of the rows, however sparse or bunched its values are.
+"""
 
 from __future__ import annotations
 
@@ -8,12 +13,49 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-# Revisions per bucket when a long ordered group is cut into pieces.
-REVNO_BUCKET = 65_536
+# Buckets that an order is cut into, and that rows with one value of it are.
+SHARES = 64
+
+
+def share_bucket(df: DataFrame, first: str, second: str | None = None, parts: int = SHARES) -> Column:
+    """A bucket number that never falls along (first, second), with about equal shares of the rows of ``df``.
+
+    Buckets end at quantiles of ``first``. A value that is a quantile has a bucket of
+    its own, and if so many rows share it, that is cut by quantiles of ``second``.
+    The quantiles come in as a scalar subquery; a null goes before all values.
+    """
+    steps = [i / parts for i in range(1, parts)]
+    names = [first] if second is None else [first, second]
+    cuts = df.agg(*(F.percentile_approx(n, steps, 100 * parts).alias(n) for n in names))
+    bounds = cuts.select(F.struct(*names)).scalar()
+
+    def place(name: str) -> tuple[Column, Column]:
+        own = F.coalesce(bounds.getField(name), F.array().cast(df.select(F.array(name)).schema[0].dataType))
+        # where the value would stand among the quantiles
+        below = F.array_position(F.sort_array(F.array_append(own, F.col(name))), F.col(name)).cast("int") - 1
+        return below, F.coalesce(F.array_contains(own, F.col(name)), F.lit(False))
+
+    below, on = place(first)
+    out = (F.when(F.col(first).isNull(), -1).otherwise(2 * below + on.cast("int"))).cast("long") * parts
+    return out if second is None else out + F.when(on, place(second)[0]).otherwise(F.lit(0))
+
+
+def share_bounds(df: DataFrame, name: str, parts: int = SHARES) -> list:
+    """Quantiles of a column at once, for loops that checkpoint anyway: at most ``parts`` values."""
+    found = df.agg(F.percentile_approx(name, [i / parts for i in range(1, parts)], 100 * parts)).first()[0]
+    return sorted(set(found or ()))
+
+
+def bucket_between(bounds: list, name: str) -> Column:
+    """How many of ``bounds`` lie below the column's value."""
+    if not bounds:
+        return F.lit(0)
+    own = F.sort_array(F.array_append(F.array(*map(F.lit, bounds)), F.col(name)))
+    return F.array_position(own, F.col(name)).cast("int") - 1
 
 
-def revno_bucket(col: str = "revno", width: int = REVNO_BUCKET) -> Column:
-    return F.floor(F.col(col) / F.lit(width)).cast("long")
+def revno_share(df: DataFrame, parts: int = SHARES) -> Column:
+    return share_bucket(df, "revno", parts=parts)
 
 
 def attach(df: DataFrame, values: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:

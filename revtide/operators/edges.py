@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from revtide.functions.cooling import EDGES, CoolingModel
-from revtide.operators.base import attach, per_group, revno_bucket
+from revtide.operators.base import attach, per_group, revno_share
 from revtide.schema import UNKNOWN_AUTHOR
 from revtide.session import cut_lineage
 
@@ -206,7 +206,7 @@ def coauthor_edges(
     firsts = rows.groupBy(*path, "author").agg(F.min("revno").alias("revno")).select(
         *path, "author", "revno", F.lit(0).cast("long").alias("_loc"), F.lit(1).alias("_first")
     )
-    events = rows.unionByName(firsts).withColumn("_b", revno_bucket())
+    events = rows.unionByName(firsts).withColumn("_b", revno_share(rows))
     in_bucket = (
         W.partitionBy(*path, "_b")
         .orderBy("revno", F.col("_first").desc())

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from revtide.functions.calendar import months_before
 from revtide.functions.cooling import hours_between
 from revtide.operators.aggregates import author_ranking
-from revtide.operators.base import attach, per_group, prev_value, revno_bucket
+from revtide.operators.base import attach, per_group, prev_value, revno_share, share_bucket
 from revtide.operators.scope import log_end
 from revtide.schema import OTHERS
 
@@ -51,7 +51,7 @@ def rank_desc(revisions: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame
     from pyspark.sql import Window as W
 
     keys = [*group_cols, "author"]
-    rows = revisions.withColumn("_b", revno_bucket())
+    rows = revisions.withColumn("_b", revno_share(revisions))
     inner = rows.withColumn(
         "_r", F.row_number().over(W.partitionBy(*keys, "_b").orderBy(F.col("revno").desc()))
     )
@@ -83,7 +83,7 @@ def revision_gaps(
     rows = prev_value(
         revisions.select(*group_cols, "revno", "author", "commitdate"),
         group_cols,
-        revno_bucket(),
+        revno_share(revisions),
         ["revno"],
         {"_prev_date": "commitdate"},
     ).filter(F.col("_prev_date").isNotNull())
@@ -100,8 +100,8 @@ def revision_gaps(
 def author_gaps(log: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
     """Days since the same author's previous commit, in commit-time order."""
     keys = [*group_cols, "author"]
-    day = F.unix_date(F.to_date("commitdate")).cast("long")
-    rows = prev_value(log, keys, day, ["commitdate", "revno"], {"_prev_date": "commitdate"})
+    share = share_bucket(log, "commitdate", "revno")
+    rows = prev_value(log, keys, share, ["commitdate", "revno"], {"_prev_date": "commitdate"})
     return rows.withColumn("gap_days", _days(F.col("_prev_date"), F.col("commitdate"))).drop("_prev_date")
 
 
@@ -137,8 +137,7 @@ def deltastddev(
     df: DataFrame, keys: Sequence[str], ts: str = "commitdate", tiebreak: str = "revno"
 ) -> DataFrame:
     """Sample deviation, in days, of the steps between consecutive rows; 0 below two steps."""
-    day = F.unix_date(F.to_date(ts)).cast("long")
-    rows = prev_value(df, keys, day, [ts, tiebreak], {"_p": ts})
+    rows = prev_value(df, keys, share_bucket(df, ts, tiebreak), [ts, tiebreak], {"_p": ts})
     return rows.groupBy(*keys).agg(
         F.coalesce(F.stddev_samp(_days(F.col("_p"), F.col(ts))), F.lit(0.0)).alias("stddev")
     )
@@ -171,7 +170,7 @@ def commit_gap_stats(
         since = months_before(F.col("end_day"), months).cast("timestamp")
         inside, prev_inside = F.col("commitdate") >= since, F.col("_prev_date") >= since
         recent = busy.filter(inside)
-    rows = prev_value(busy, keys, revno_bucket(), ["revno"], {"_prev_date": "commitdate"})
+    rows = prev_value(busy, keys, revno_share(log), ["revno"], {"_prev_date": "commitdate"})
     gap = F.when(inside & prev_inside, _days(F.col("_prev_date"), F.col("commitdate")))
     n = F.count(gap) if unbiased else F.count_if(inside)
     means = (

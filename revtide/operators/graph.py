@@ -1,8 +1,10 @@
 """Graph measures over an undirected edge table (src, dst[, weight]).
 
-Loops checkpoint each round and stop at a fixed point. Hop distances from all
-nodes at once are kept as bitmaps (one bit per source), merged with the built-in
-bitmap aggregates, instead of as (source, node) rows.
+Loops checkpoint each round and stop at a fixed point. Measures over all pairs take
+sources in batches, each exact, and add up what the batches give, so what is held
+at once is a batch times the nodes. Hop distances are kept as bitmaps (one bit per
+source of the batch), merged with the built-in bitmap aggregates; only pieces that
+changed in the last step travel along the links.
 """
 
 from __future__ import annotations
@@ -15,6 +17,11 @@ from revtide.operators.base import dense_ids, hash_bucket
 from revtide.operators.edges import nodes_of
 from revtide.session import cut_lineage
 
+#: Sources whose bitmaps are spread together: eight pieces of 32768 bits a node at most.
+BITMAP_SOURCES = 8 * 32_768
+#: (source, node) rows that path counting may hold at once.
+PAIR_ROWS = 20_000_000
+
 
 def both_ways(edges: DataFrame, *extra: str) -> DataFrame:
     """Each edge in both directions, loops left out; of parallel edges the least of each ``extra`` column."""
@@ -132,49 +139,59 @@ def components_min_size(edges: DataFrame, n: int = 10) -> DataFrame:
     return comp.join(sizes, "component").select("component", "node", "size")
 
 
-def hop_profile(edges: DataFrame, max_hops: int | None = None) -> DataFrame:
+def hop_profile(
+    edges: DataFrame, max_hops: int | None = None, batch: int = BITMAP_SOURCES
+) -> DataFrame:
     """(node, hops, reached): how many nodes lie within ``hops`` of each node.
 
-    A node's set of reached nodes is a bitmap cut into pieces of 32768 bits; a step
-    merges the bitmaps of its neighbours. Only hops that reach new nodes are listed,
-    and hop 0 always is.
+    Links work both ways, so a node counts the sources that reach it. Sources come in
+    batches of ``batch``; what each adds per node and hop is summed. Only hops that
+    reach new nodes are listed, and hop 0 always is.
     """
     links = cut_lineage(both_ways(edges))
     edges = links.select(F.col("u").alias("src"), F.col("v").alias("dst"))
-    ids = dense_ids(nodes_of(edges), hash_bucket("node"), ["node"], "_id", 1)
-    state = cut_lineage(
-        ids.groupBy("node", F.bitmap_bucket_number("_id").alias("piece")).agg(
-            F.bitmap_construct_agg(F.bitmap_bit_position("_id")).alias("bits")
-        )
-    )
-
-    def reached(df: DataFrame, hop: int) -> DataFrame:
-        return df.groupBy("node").agg(F.sum(F.bitmap_count("bits")).alias("reached")).select(
-            "node", F.lit(hop).alias("hops"), "reached"
-        )
-
-    levels = [cut_lineage(reached(state, 0))]
+    ids = cut_lineage(dense_ids(nodes_of(edges), hash_bucket("node"), ["node"], "_id", 0))
+    n = ids.count()
+    gains: DataFrame | None = None
+    for first in range(0, n, batch):
+        own = ids.filter((F.col("_id") >= first) & (F.col("_id") < first + batch))
+        part = _spread_bits(links, own.withColumn("_id", F.col("_id") - first + 1), max_hops)
+        gains = part if gains is None else gains.unionByName(part)
+    if gains is None:
+        return ids.select("node", F.lit(0).alias("hops"), F.lit(1).cast("long").alias("reached"))
+    total = gains.groupBy("node", "hops").agg(F.sum("gain").alias("gain"))
+    upto = W.partitionBy("node").orderBy("hops").rowsBetween(W.unboundedPreceding, 0)
+    return total.select("node", "hops", F.sum("gain").over(upto).alias("reached"))
+
+
+def _spread_bits(links: DataFrame, starts: DataFrame, max_hops: int | None) -> DataFrame:
+    """(node, hops, gain): sources of one batch that reach a node in just so many hops.
+
+    ``starts``: node and _id from 1. A step sends on only the pieces of bitmaps that
+    the step before changed.
+    """
+    piece, bits = F.bitmap_bucket_number("_id"), F.bitmap_construct_agg(F.bitmap_bit_position("_id"))
+    state = starts.groupBy("node", piece.alias("piece")).agg(bits.alias("bits"))
+    state = cut_lineage(state.select("*", F.bitmap_count("bits").alias("n"), F.lit(True).alias("fresh")))
+    out = state.groupBy("node").agg(F.sum("n").alias("gain")).select("node", F.lit(0).alias("hops"), "gain")
     hop = 0
     while max_hops is None or hop < max_hops:
         hop += 1
-        spread = links.join(state.withColumnRenamed("node", "u"), "u").select(
-            F.col("v").alias("node"), "piece", "bits"
+        sent = links.join(state.filter("fresh").select(F.col("node").alias("u"), "piece", "bits"), "u")
+        sent = sent.select(F.col("v").alias("node"), "piece", "bits", F.lit(0).cast("long").alias("n"))
+        merged = sent.unionByName(state.select("node", "piece", "bits", "n")).groupBy("node", "piece").agg(
+            F.bitmap_or_agg("bits").alias("bits"), F.max("n").alias("_was")
         )
+        count = F.bitmap_count("bits")
         state = cut_lineage(
-            spread.unionByName(state).groupBy("node", "piece").agg(F.bitmap_or_agg("bits").alias("bits"))
-        )
-        now = reached(state, hop)
-        grown = cut_lineage(
-            now.join(levels[-1].select("node", F.col("reached").alias("_r")), "node")
-            .select("node", "hops", "reached", (F.col("reached") > F.col("_r")).alias("_new"))
+            merged.select("node", "piece", "bits", count.alias("n"), (count - F.col("_was")).alias("new"), (count > F.col("_was")).alias("fresh"))
         )
-        if grown.filter("_new").isEmpty():
+        gain = state.filter("fresh").groupBy("node").agg(F.sum("new").alias("gain"))
+        gain = cut_lineage(gain.select("node", F.lit(hop).alias("hops"), "gain"))
+        if gain.isEmpty():
             break
-        levels.append(grown)
-    out = levels[0]
-    for lv in levels[1:]:
-        out = out.unionByName(lv.filter("_new").drop("_new"))
-    return out
+        out = out.unionByName(gain)
+    return cut_lineage(out)
 
 
 def _closeness_from(profile: DataFrame) -> DataFrame:
@@ -275,15 +292,35 @@ def graph_center(edges: DataFrame) -> DataFrame:
     return ecc.filter(F.col("eccentricity") == radius)
 
 
-def _dependencies(edges: DataFrame, sources: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Path counts by level from every source, then dependencies back down.
+def _dependencies(
+    edges: DataFrame, sources: DataFrame | None, pair_rows: int = PAIR_ROWS
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(node totals, edge totals, nodes): dependencies of all sources.
 
-    Returns (node totals, edge totals, nodes), both summed over all sources.
+    Sources come in batches of so many that a batch has about ``pair_rows`` (source,
+    node) rows; each batch's sums are added to those before.
     """
     edges = cut_lineage(edges)
     links = cut_lineage(both_ways(edges))
     nodes = cut_lineage(nodes_of(edges))
-    starts = nodes if sources is None else sources.select("node")
+    starts = nodes if sources is None else sources.select("node").distinct()
+    starts = cut_lineage(dense_ids(starts, hash_bucket("node"), ["node"], "_id", 0))
+    count, size = starts.count(), nodes.count()
+    batch = max(1, pair_rows // max(size, 1))
+    by_node = nodes.select("node", F.lit(0.0).alias("total"))
+    by_edge = links.filter(F.col("u") < F.col("v")).select(
+        F.col("u").alias("src"), F.col("v").alias("dst"), F.lit(0.0).alias("total")
+    )
+    for first in range(0, count, batch):
+        own = starts.filter((F.col("_id") >= first) & (F.col("_id") < first + batch))
+        node_part, edge_part = _batch_dependencies(links, own.select("node"))
+        by_node = cut_lineage(by_node.unionByName(node_part).groupBy("node").agg(F.sum("total").alias("total")))
+        by_edge = cut_lineage(by_edge.unionByName(edge_part).groupBy("src", "dst").agg(F.sum("total").alias("total")))
+    return by_node, by_edge, nodes
+
+
+def _batch_dependencies(links: DataFrame, starts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Path counts by level from the sources of a batch, then dependencies back down, summed over the sources."""
     level = cut_lineage(
         starts.select(F.col("node").alias("s"), "node", F.lit(1.0).alias("sigma"))
     )
@@ -304,7 +341,8 @@ def _dependencies(edges: DataFrame, sources: DataFrame | None) -> tuple[DataFram
         # A neighbour lies at most one level back, so two levels suffice.
         seen = level.select("s", "node").unionByName(levels[-2].select("s", "node"))
     delta = levels[-1].withColumn("delta", F.lit(0.0))
-    node_parts, edge_parts = [], []
+    node_total: DataFrame | None = None
+    edge_total: DataFrame | None = None
     for upper in reversed(levels[:-1]):
         flow = cut_lineage(
             delta.select("s", F.col("node").alias("w"), F.col("sigma").alias("_sw"), "delta")
@@ -312,34 +350,30 @@ def _dependencies(edges: DataFrame, sources: DataFrame | None) -> tuple[DataFram
             .join(upper, ["s", "node"])
             .select("s", "node", "w", (F.col("sigma") / F.col("_sw") * (1 + F.col("delta"))).alias("c"))
         )
-        edge_parts.append(
-            flow.groupBy(F.least("node", "w").alias("src"), F.greatest("node", "w").alias("dst")).agg(F.sum("c").alias("c"))
-        )
+        over = flow.groupBy(F.least("node", "w").alias("src"), F.greatest("node", "w").alias("dst")).agg(F.sum("c").alias("total"))
+        edge_total = over if edge_total is None else edge_total.unionByName(over)
         gained = flow.groupBy("s", "node").agg(F.sum("c").alias("_g"))
         delta = cut_lineage(
             upper.join(gained, ["s", "node"], "left").select(
                 "s", "node", "sigma", F.coalesce("_g", F.lit(0.0)).alias("delta")
             )
         )
-        node_parts.append(delta.filter(F.col("s") != F.col("node")).select("node", "delta"))
-    empty_n = nodes.select("node", F.lit(0.0).alias("delta"))
-    empty_e = edges.filter(F.col("src") != F.col("dst")).select(
-        F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), F.lit(0.0).alias("c")
-    )
-    for p in node_parts:
-        empty_n = empty_n.unionByName(p)
-    for p in edge_parts:
-        empty_e = empty_e.unionByName(p)
-    return (
-        empty_n.groupBy("node").agg(F.sum("delta").alias("total")),
-        empty_e.groupBy("src", "dst").agg(F.sum("c").alias("total")),
-        nodes,
-    )
+        passed = delta.filter(F.col("s") != F.col("node")).select("node", F.col("delta").alias("total"))
+        node_total = passed if node_total is None else node_total.unionByName(passed)
+    if node_total is None or edge_total is None:
+        none = links.limit(0)
+        return (
+            none.select(F.col("u").alias("node"), F.lit(0.0).alias("total")),
+            none.select(F.col("u").alias("src"), F.col("v").alias("dst"), F.lit(0.0).alias("total")),
+        )
+    return node_total, edge_total
 
 
-def betweenness(edges: DataFrame, normalized: bool = True, sources: DataFrame | None = None) -> DataFrame:
+def betweenness(
+    edges: DataFrame, normalized: bool = True, sources: DataFrame | None = None, pair_rows: int = PAIR_ROWS
+) -> DataFrame:
     """Share of shortest paths through each node."""
-    totals, _, nodes = _dependencies(edges, sources)
+    totals, _, nodes = _dependencies(edges, sources, pair_rows)
     n = nodes.agg(F.count(F.lit(1))).scalar()
     scale: Column = F.lit(0.5)
     if normalized:
@@ -347,9 +381,11 @@ def betweenness(edges: DataFrame, normalized: bool = True, sources: DataFrame |
     return totals.select("node", (F.col("total") * scale).alias("betweenness"))
 
 
-def edge_betweenness(edges: DataFrame, normalized: bool = True, sources: DataFrame | None = None) -> DataFrame:
+def edge_betweenness(
+    edges: DataFrame, normalized: bool = True, sources: DataFrame | None = None, pair_rows: int = PAIR_ROWS
+) -> DataFrame:
     """Share of shortest paths over each edge."""
-    _, totals, nodes = _dependencies(edges, sources)
+    _, totals, nodes = _dependencies(edges, sources, pair_rows)
     n = nodes.agg(F.count(F.lit(1))).scalar()
     scale: Column = F.lit(0.5)
     if normalized:
@@ -410,3 +446,104 @@ def minimum_spanning_tree(edges: DataFrame, weight: str = "weight") -> DataFrame
     if tree is None:
         return edges.select("src", "dst", F.col(weight).cast("double").alias(weight)).limit(0)
     return tree
+
+
+def _next_in_ring(links: DataFrame) -> DataFrame:
+    """(u, v, w): after ``v``, ``w`` is the next neighbour of ``u``; the last is followed by the first.
+
+    Neighbours stand in the order of (a hash bucket, name); each bucket of a hub is put
+    in order by itself, and the ends of buckets are linked through one row each.
+    """
+    e = links.withColumn("_b", F.pmod(F.xxhash64("v"), F.lit(64)))
+    inside = e.withColumn("_w", F.lead("v").over(W.partitionBy("u", "_b").orderBy("v")))
+    heads = e.groupBy("u", "_b").agg(F.min("v").alias("_head"))
+    ring = W.partitionBy("u").orderBy("_b")
+    heads = heads.select(
+        "u",
+        "_b",
+        F.coalesce(F.lead("_head").over(ring), F.first("_head").over(ring.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("_then"),
+    )
+    return inside.join(heads, ["u", "_b"]).select("u", "v", F.coalesce("_w", "_then").alias("w"))
+
+
+def root_forest(tree: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """(node, parent, root, depth, size) of a forest of undirected edges (src, dst).
+
+    A tree hangs from its node in ``roots`` (node; one per tree), or else from its
+    smallest one. Every edge is walked down and up on one tour around its tree; the
+    tour's order comes from pointer jumping, so rounds grow with the logarithm of
+    the nodes, also for a chain. ``size`` counts a node and all below it.
+    """
+    links = cut_lineage(both_ways(tree))
+    comp = cut_lineage(connected_components(links.select(F.col("u").alias("src"), F.col("v").alias("dst"))))
+    if roots is None:
+        tops = comp.select("component", F.col("component").alias("root")).distinct()
+    else:
+        own = comp.join(roots.select("node").distinct(), "node", "left_semi").groupBy("component").agg(F.min("node").alias("_r"))
+        tops = comp.select("component").distinct().join(own, "component", "left").select("component", F.coalesce("_r", "component").alias("root"))
+    placed = cut_lineage(comp.join(tops, "component").select("node", "root"))
+    # After walking u to v the tour goes on from v to the neighbour that follows u there.
+    ring = _next_in_ring(links).select(F.col("u").alias("v"), F.col("v").alias("u"), F.col("w").alias("x"))
+    tour = ring.join(placed.select(F.col("node").alias("v"), "root"), "v")
+    first = links.join(placed.filter("node = root").select(F.col("node").alias("u")), "u").groupBy("u").agg(
+        F.min(F.struct(F.pmod(F.xxhash64("v"), F.lit(64)), "v"))["v"].alias("_first")
+    )
+    tour = tour.join(first.select(F.col("u").alias("root"), "_first"), "root")
+    # It ends before it would leave its root by the first edge again.
+    ended = (F.col("v") == F.col("root")) & (F.col("x") == F.col("_first"))
+    jump = cut_lineage(
+        tour.select(
+            "u",
+            "v",
+            F.when(~ended, F.col("v")).alias("nu"),
+            F.when(~ended, F.col("x")).alias("nv"),
+            F.lit(1).cast("long").alias("left"),
+        )
+    )
+    while not jump.filter(F.col("nu").isNotNull()).isEmpty():
+        ahead = jump.select(
+            F.col("u").alias("nu"), F.col("v").alias("nv"), F.col("nu").alias("_nu"), F.col("nv").alias("_nv"), F.col("left").alias("_more")
+        )
+        jump = cut_lineage(
+            jump.join(ahead, ["nu", "nv"], "left").select(
+                "u", "v", F.col("_nu").alias("nu"), F.col("_nv").alias("nv"), (F.col("left") + F.coalesce("_more", F.lit(0))).alias("left")
+            )
+        )
+    # An edge is walked down before it is walked up: down has more of the tour left.
+    back = jump.select(F.col("u").alias("v"), F.col("v").alias("u"), F.col("left").alias("_up"))
+    down = jump.join(back, ["u", "v"]).filter(F.col("left") > F.col("_up")).select(
+        F.col("v").alias("node"), F.col("u").alias("parent"), ((F.col("left") - F.col("_up") + 1) / 2).cast("long").alias("size")
+    )
+    known = placed.join(down, "node", "left").withColumn("_to", F.col("parent"))
+    known = cut_lineage(known.withColumn("depth", F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long")))
+    while not known.filter(F.col("_to").isNotNull()).isEmpty():
+        ahead = known.select(F.col("node").alias("_to"), F.col("_to").alias("_next"), F.col("depth").alias("_more"))
+        known = cut_lineage(
+            known.join(ahead, "_to", "left").select(
+                "node", "parent", "root", "size", F.col("_next").alias("_to"), (F.col("depth") + F.coalesce("_more", F.lit(0))).alias("depth")
+            )
+        )
+    whole = known.groupBy("root").agg(F.count(F.lit(1)).alias("_n"))
+    return known.join(whole, "root").select("node", "parent", "root", "depth", F.coalesce("size", "_n").alias("size"))
+
+
+def betweenness_tree(edges: DataFrame, weight: str | None = None) -> DataFrame:
+    """The lightest spanning forest of the links weighed by their betweenness, as a hierarchy.
+
+    One row per node: node, parent (null for a root), root, depth, size, closeness (along
+    ``weight`` if given) and betweenness. A tree hangs from its node of largest
+    betweenness, the smallest of equals.
+    """
+    edges = cut_lineage(edges)
+    by_node, by_edge, nodes = _dependencies(edges, None)
+    n = nodes.agg(F.count(F.lit(1))).scalar()
+    # Weights are only compared; rounding keeps equal ones equal however they were summed.
+    weighed = by_edge.select("src", "dst", F.round(F.col("total"), 6).alias("weight"))
+    tree = cut_lineage(minimum_spanning_tree(weighed))
+    comp = connected_components(tree)
+    score = by_node.select("node", (F.col("total") * F.when(n > 2, F.lit(1.0) / ((n - 1) * (n - 2))).otherwise(F.lit(0.5))).alias("betweenness"))
+    score = cut_lineage(score)
+    top = comp.join(score, "node").groupBy("component").agg(
+        F.min(F.struct(-F.round("betweenness", 9), F.col("node").alias("node")))["node"].alias("node")
+    )
+    return root_forest(tree, top).join(closeness_centrality(edges, weight), "node").join(score, "node")

@@ -19,11 +19,10 @@ from revtide.functions.cooling import (
     CoolingModel,
     banded_prefix_sum,
     cool_hours,
-    hours,
     hours_between,
 )
 from revtide.operators.aggregates import author_ranking
-from revtide.operators.base import REVNO_BUCKET, attach, per_group, revno_bucket, top_n
+from revtide.operators.base import SHARES, attach, per_group, revno_share, share_bucket, top_n
 from revtide.operators.scope import log_end, path_scope
 
 
@@ -108,15 +107,14 @@ def author_temperature(
     """Temperature of each author right after each distinct commit time."""
     group_cols = list(group_cols)
     keys = [*group_cols, "author"]
-    day_h = F.floor(hours(F.col("commitdate")) / 24).cast("long")
     events = revisions.groupBy(*keys, "commitdate").agg(F.count(F.lit(1)).alias("_n"))
-    events = events.withColumn("_b", day_h)
+    events = events.withColumn("_b", share_bucket(revisions, "commitdate"))
     return _prefix_by_bucket(events, keys, ["commitdate"], model).select(
         *keys, "commitdate", "temperature"
     )
 
 
-def _file_events(revisions: DataFrame, changes: DataFrame, group_cols: Sequence[str], width: int) -> DataFrame:
+def _file_events(revisions: DataFrame, changes: DataFrame, group_cols: Sequence[str], shares: int) -> DataFrame:
     on = [*group_cols, "revno"]
     hits = (
         changes.filter(F.col("pathtype") == "F")
@@ -124,7 +122,7 @@ def _file_events(revisions: DataFrame, changes: DataFrame, group_cols: Sequence[
         .agg(F.count(F.lit(1)).alias("_n"))
     )
     dated = hits.join(revisions.select(*on, "commitdate"), on)
-    return dated.withColumn("_b", revno_bucket(width=width))
+    return dated.withColumn("_b", revno_share(changes, shares))
 
 
 def _with_clock(events: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -192,11 +190,11 @@ def file_temperature(
     changes: DataFrame,
     model: CoolingModel = ACTIVITY,
     group_cols: Sequence[str] = (),
-    bucket_width: int = REVNO_BUCKET,
+    shares: int = SHARES,
 ) -> DataFrame:
     """Temperature of each file right after each revision touching it."""
     keys = [*group_cols, "changedpath"]
-    events = _file_events(revisions, changes, group_cols, bucket_width)
+    events = _file_events(revisions, changes, group_cols, shares)
     return _prefix_by_bucket(events, keys, ["revno"], model).select(
         *keys, "revno", "commitdate", "temperature"
     )
@@ -207,7 +205,7 @@ def file_scores(
     changes: DataFrame,
     model: CoolingModel = ACTIVITY,
     group_cols: Sequence[str] = (),
-    bucket_width: int = REVNO_BUCKET,
+    shares: int = SHARES,
 ) -> DataFrame:
     """Temperature of each file at the end of the log, with its change rows.
 
@@ -216,7 +214,7 @@ def file_scores(
     group_cols = list(group_cols)
     keys = [*group_cols, "changedpath"]
     k, a = model.rate, model.ambient
-    events = _file_events(revisions, changes, group_cols, bucket_width)
+    events = _file_events(revisions, changes, group_cols, shares)
     clocked = _with_clock(events, keys, ["revno"])
     span = F.max("_c").over(W.partitionBy(*keys, "_b"))
     buckets = (
@@ -285,12 +283,12 @@ def revision_temperature(
     revisions: DataFrame,
     changes: DataFrame,
     group_cols: Sequence[str] = (),
-    bucket_width: int = REVNO_BUCKET,
+    shares: int = SHARES,
 ) -> DataFrame:
     """Hottest file of each revision; 0 for a revision without files."""
     on = [*group_cols, "revno"]
     hottest = (
-        file_temperature(revisions, changes, group_cols=group_cols, bucket_width=bucket_width)
+        file_temperature(revisions, changes, group_cols=group_cols, shares=shares)
         .groupBy(*on)
         .agg(F.max("temperature").alias("_t"))
     )
@@ -309,8 +307,8 @@ def revision_activity_index(
     """Activity of the log after each distinct commit time.
 
     The index never drops below the cooled previous value, and cools by whole
-    days only. Within a day it is a running maximum; across days the recurrence
-    ``max(raw, cooled)`` is a running maximum of ``ln(raw - A) + k * t``.
+    days only: the recurrence ``max(raw, cooled)`` is a running maximum of
+    ``ln(raw - A) + k * day``, scanned in buckets of equal share.
     """
     group_cols = list(group_cols)
     if temperatures is None:
@@ -321,20 +319,21 @@ def revision_activity_index(
         .agg(F.max("temperature").alias("_raw"))
         .withColumn("day", F.to_date("commitdate"))
     )
+    # Cooling goes by whole days, so a raw value that counts from its day on is an ordinary running maximum.
+    number = F.unix_date("day")
     excess = F.log(F.when(F.col("_raw") > a, F.col("_raw") - a))
-    in_day = W.partitionBy(*group_cols, "day").orderBy("commitdate").rowsBetween(W.unboundedPreceding, 0)
-    rows = raw.withColumn("_log", F.max(excess).over(in_day))
-    hrs = F.unix_date("day") * F.lit(24.0)
-    days = raw.groupBy(*group_cols, "day").agg(F.max(excess).alias("_log_day"))
-    peak = F.max(F.col("_log_day") + F.lit(k) * hrs).over(running_days(group_cols))
-    days = days.withColumn("_peak", peak)
-    side = days.select(
-        *group_cols,
-        "day",
-        F.lag("_peak").over(W.partitionBy(*group_cols).orderBy("day")).alias("_before"),
-    )
-    best = F.greatest("_log", F.col("_before") - F.lit(k) * hrs)  # ignores nulls
-    out = rows.join(side, [*group_cols, "day"]).select(
+    since_origin = (excess + F.lit(k * 24.0) * number).alias("order")
+    peak = F.struct(since_origin, excess.alias("excess"), number.alias("day"))
+    raw = raw.withColumn("_log", F.when(excess.isNotNull(), peak))
+    raw = raw.withColumn("_b", share_bucket(temperatures, "commitdate"))
+    upto = W.partitionBy(*group_cols, "_b").orderBy("commitdate").rowsBetween(W.unboundedPreceding, 0)
+    rows = raw.withColumn("_peak", F.max("_log").over(upto))
+    ends = raw.groupBy(*group_cols, "_b").agg(F.max("_log").alias("_end"))
+    before = W.partitionBy(*group_cols).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    carry = ends.select(*group_cols, "_b", F.max("_end").over(before).alias("_before"))
+    top = F.greatest("_peak", "_before")  # ignores nulls
+    best = top["excess"] - F.lit(k * 24.0) * (number - top["day"])
+    out = rows.join(carry, [*group_cols, "_b"]).select(
         *group_cols,
         "commitdate",
         "day",
@@ -343,6 +342,3 @@ def revision_activity_index(
     # Once warm the index stays warm: leading zeros are exactly the zeros.
     return out.filter(F.col("activity") > 0)
 
-
-def running_days(group_cols: Sequence[str]):
-    return W.partitionBy(*group_cols).orderBy("day").rowsBetween(W.unboundedPreceding, 0)

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from revtide.operators.base import attach
-from revtide.operators.graph import closeness_centrality
+from revtide.operators.base import attach, dense_ids, hash_bucket
+from revtide.operators.graph import PAIR_ROWS
+from revtide.session import cut_lineage
 
 
 def _first_links(revisions: DataFrame, changes: DataFrame) -> DataFrame:
@@ -23,7 +25,12 @@ def _first_links(revisions: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def degree_over_time(revisions: DataFrame, changes: DataFrame) -> DataFrame:
-    """(author, day, degree, centrality) at the end of every commit day.
+    """(author, day, degree, centrality) at the end of every commit day."""
+    return _degree_by_day(revisions, changes).drop("_nodes")
+
+
+def _degree_by_day(revisions: DataFrame, changes: DataFrame) -> DataFrame:
+    """(author, day, degree, centrality, _nodes): the graph's nodes come along.
 
     An author is listed from the first commit on. New links and new nodes are
     counted per day, so every ordered window runs over days.
@@ -64,36 +71,99 @@ def degree_over_time(revisions: DataFrame, changes: DataFrame) -> DataFrame:
         F.when(F.col("_nodes") > 1, F.col("degree") / (F.col("_nodes") - 1))
         .otherwise(F.lit(0.0))
         .alias("centrality"),
+        "_nodes",
     )
 
 
-def closeness_over_time(
-    revisions: DataFrame, changes: DataFrame, days: Sequence[str]
-) -> DataFrame:
-    """(author, day, closeness) on the snapshot days asked for."""
-    links = _first_links(revisions, changes)
-    out: DataFrame | None = None
-    for d in days:
-        upto = links.filter(F.col("day") <= F.lit(d).cast("date"))
-        edges = upto.select(
-            F.concat(F.lit("a:"), "author").alias("src"), F.concat(F.lit("f:"), "changedpath").alias("dst")
+def _author_steps(links: DataFrame, authors: DataFrame) -> DataFrame:
+    """(author, node, hops, day): from ``day`` on the node lies within ``hops`` of the author.
+
+    Links only appear, so all days are walked at once: what counts of a path is its
+    latest link, and a step takes the earliest day over all paths with one link more.
+    Rows are kept only where one more hop reaches a node on an earlier day.
+    """
+    ways = links.select(
+        F.explode(
+            F.array(
+                F.struct(F.col("a").alias("u"), F.col("f").alias("v")), F.struct(F.col("f").alias("u"), F.col("a").alias("v"))
+            )
+        ).alias("e"),
+        F.col("day").alias("_day"),
+    ).select("e.*", "_day")
+    step = cut_lineage(
+        links.join(authors, "a", "left_semi").groupBy(F.col("a").alias("author")).agg(F.min("day").alias("day"))
+        .select("author", F.col("author").alias("node"), F.lit(0).alias("hops"), "day")
+    )
+    out, best, hop = step, step.select("author", "node", "day"), 0
+    while not step.isEmpty():
+        hop += 1
+        offers = (
+            step.select("author", F.col("node").alias("u"), "day")
+            .join(ways, "u")
+            .groupBy("author", F.col("v").alias("node"))
+            .agg(F.min(F.greatest("day", "_day")).alias("day"))
         )
-        part = (
-            closeness_centrality(edges)
-            .filter(F.col("node").startswith("a:"))
-            .select(F.substring("node", 3, 2147483647).alias("author"), F.lit(d).cast("date").alias("day"), "closeness")
+        known = best.withColumnRenamed("day", "_was")
+        step = cut_lineage(
+            offers.join(known, ["author", "node"], "left")
+            .filter(F.col("_was").isNull() | (F.col("day") < F.col("_was")))
+            .select("author", "node", F.lit(hop).alias("hops"), "day")
+        )
+        out = out.unionByName(step)
+        best = cut_lineage(
+            best.unionByName(step.select("author", "node", "day")).groupBy("author", "node").agg(F.min("day").alias("day"))
         )
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        raise ValueError("name at least one snapshot day")
     return out
 
 
-def centrality_over_time(
-    revisions: DataFrame, changes: DataFrame, closeness_days: Sequence[str] = ()
+def closeness_over_time(
+    revisions: DataFrame, changes: DataFrame, days: Sequence[str] | None = None, pair_rows: int = PAIR_ROWS
 ) -> DataFrame:
-    """Degree on every commit day, closeness where a snapshot day was asked for."""
+    """(author, day, closeness) at the end of every commit day from the author's first on.
+
+    ``days`` keeps some of them. Distances of all days come from one walk outwards from
+    the authors (``_author_steps``), who are taken in batches of about ``pair_rows``
+    (author, node) rows. A node is at ``hops`` from the day it is reached in so many
+    until the day it is in fewer; sums over nodes change on such days only.
+    """
+    first = _first_links(revisions, changes)
+    links = cut_lineage(
+        first.select(F.concat(F.lit("a:"), "author").alias("a"), F.concat(F.lit("f:"), "changedpath").alias("f"), "day")
+    )
+    authors = links.select(F.col("a").alias("node")).distinct()
+    authors = cut_lineage(dense_ids(authors, hash_bucket("node"), ["node"], "_id", 0))
+    nodes = links.agg((F.count_distinct("a") + F.count_distinct("f")).alias("n")).first()["n"]
+    batch = max(1, pair_rows // max(nodes, 1))
+    shifts: DataFrame | None = None
+    for start in range(0, authors.count(), batch):
+        own = authors.filter((F.col("_id") >= start) & (F.col("_id") < start + batch)).select(F.col("node").alias("a"))
+        steps = _author_steps(links, own)
+        until = F.lag("day").over(W.partitionBy("author", "node").orderBy("hops"))
+        moved = steps.withColumn("_until", until).select(
+            "author",
+            F.explode(
+                F.array(
+                    F.struct(F.col("day").alias("day"), F.lit(1).alias("r"), F.col("hops").alias("d")),
+                    F.struct(F.col("_until").alias("day"), F.lit(-1).alias("r"), (-F.col("hops")).alias("d")),
+                )
+            ).alias("e"),
+        ).select("author", "e.*").filter(F.col("day").isNotNull())
+        part = cut_lineage(moved.groupBy("author", "day").agg(F.sum("r").alias("_r"), F.sum("d").alias("_d")))
+        shifts = part if shifts is None else shifts.unionByName(part)
+    calendar = _degree_by_day(revisions, changes).select("author", "day", "_nodes")
+    if shifts is None:
+        return calendar.select("author", "day", F.lit(None).cast("double").alias("closeness"))
+    shifts = shifts.withColumn("author", F.substring("author", 3, 2147483647))
+    run = W.partitionBy("author").orderBy("day").rowsBetween(W.unboundedPreceding, 0)
+    r = F.sum(F.coalesce("_r", F.lit(0))).over(run) - 1
+    d = F.sum(F.coalesce("_d", F.lit(0))).over(run)
+    summed = calendar.join(shifts, ["author", "day"], "left").select("author", "day", "_nodes", r.alias("r"), d.alias("d"))
+    value = F.when((F.col("d") > 0) & (F.col("_nodes") > 1), F.col("r") / F.col("d") * (F.col("r") / (F.col("_nodes") - 1)))
+    out = summed.select("author", "day", value.otherwise(F.lit(0.0)).alias("closeness"))
+    return out if days is None else out.filter(F.col("day").isin([date.fromisoformat(x) for x in days]))
+
+
+def centrality_over_time(revisions: DataFrame, changes: DataFrame) -> DataFrame:
+    """(author, day, degree, centrality, closeness) at the end of every commit day."""
     degree = degree_over_time(revisions, changes)
-    if not closeness_days:
-        return degree.withColumn("closeness", F.lit(None).cast("double"))
-    return degree.join(closeness_over_time(revisions, changes, closeness_days), ["author", "day"], "left")
+    return degree.join(closeness_over_time(revisions, changes), ["author", "day"], "left")

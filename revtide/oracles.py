@@ -397,10 +397,11 @@ links AS (SELECT src, dst, sum(n * 10 * exp(-0.005 * (m - CAST(commitdate AS DAT
           FROM pairs JOIN revisions USING (revno), (
             SELECT max(CAST(commitdate AS DATE)) AS m FROM revisions WHERE revno IN (SELECT revno FROM changes))
           GROUP BY 1, 2)"""
-OFTEN = COCHANGE + ", e AS (SELECT src, dst, weight FROM links WHERE weight >= 2)"
-DIRECTORY_GRAPH = _pairs(DIR2) + """,
-links AS (SELECT src, dst, CAST(sum(n) AS DOUBLE) AS weight FROM pairs GROUP BY 1, 2),
-e AS (SELECT src, dst, weight FROM links WHERE weight > (SELECT avg(weight) + 2 * stddev_pop(weight) FROM links))"""
+ALL_LINKS = COCHANGE + ", e AS (SELECT src, dst, weight FROM links)"
+AUTHOR_NETWORK = """
+e AS (SELECT src, dst, 1 / ln(w) AS weight FROM (
+  SELECT author AS src, changedpath AS dst, count(*) AS w FROM changes JOIN revisions USING (revno) GROUP BY 1, 2)
+  WHERE w >= 1.1)"""
 
 
 def _core(k: int) -> str:
@@ -419,36 +420,50 @@ core AS (SELECT * FROM last
            AND dst IN (SELECT n FROM (SELECT src AS n FROM last UNION ALL SELECT dst FROM last) GROUP BY n HAVING count(*) >= {k}))"""
 
 
+HEAVY_LINKS = DECAYED + ", e AS (SELECT src, dst, weight FROM links WHERE weight >= 1)"
+
+
+def _network(body: str, *ctes: str) -> str:
+    """Over the file network, its links being called ``e``."""
+    inner = _o("SELECT src, dst, weight FROM core", HEAVY_LINKS, _core(5))
+    return "WITH RECURSIVE " + ",".join((f"e AS ({inner})", *ctes)) + body
+
+
 COMPONENTS = """
 g AS (SELECT src AS u, dst AS v FROM e UNION ALL SELECT dst, src FROM e),
 closure(node, r) AS (SELECT DISTINCT u, u FROM g UNION SELECT c.node, g.v FROM closure c JOIN g ON g.u = c.r),
 comp AS (SELECT node, min(r) AS component FROM closure GROUP BY 1)"""
+# Each pair is kept once, at its first (smallest) distance.
 DISTANCES = """
 g AS (SELECT src AS u, dst AS v FROM e UNION ALL SELECT dst, src FROM e),
-walk(s, v, d) AS (SELECT DISTINCT u, u, 0 FROM g UNION SELECT w.s, g.v, w.d + 1 FROM walk w JOIN g ON g.u = w.v WHERE w.d < 25),
-dist AS (SELECT s, v, min(d) AS d FROM walk GROUP BY 1, 2),
-close AS (SELECT s AS node, CASE WHEN sum(d) > 0 THEN (count(*) - 1) / CAST(sum(d) AS DOUBLE) * (count(*) - 1)
-            / ((SELECT count(DISTINCT u) FROM g) - 1) ELSE 0 END AS closeness, max(d) AS ecc FROM dist GROUP BY 1)"""
-# The same for larger graphs: each pair is kept once, at its first (smallest) distance.
-FAR_DISTANCES = """
-g AS (SELECT src AS u, dst AS v FROM e UNION ALL SELECT dst, src FROM e),
 far(s, v, d) USING KEY (s, v) AS (
   SELECT DISTINCT u, u, 0 FROM g UNION
   SELECT w.s, g.v, min(w.d + 1) FROM far w JOIN g ON g.u = w.v LEFT JOIN recurring.far x ON x.s = w.s AND x.v = g.v
   WHERE x.s IS NULL GROUP BY 1, 2),
 close AS (SELECT s AS node, CASE WHEN sum(d) > 0 THEN (count(*) - 1) / CAST(sum(d) AS DOUBLE) * (count(*) - 1)
-            / ((SELECT count(DISTINCT u) FROM g) - 1) ELSE 0 END AS closeness, min(v) AS component, count(*) AS size,
-            (count(*) - 1) / CAST(sum(d) AS DOUBLE) AS inner_closeness FROM far GROUP BY 1)"""
+            / ((SELECT count(DISTINCT u) FROM g) - 1) ELSE 0 END AS closeness, max(d) AS ecc, min(v) AS component, count(*) AS size,
+            (count(*) - 1) / CAST(sum(d) AS DOUBLE) AS inner_closeness FROM far GROUP BY 1),
+dist AS (SELECT s, v, d FROM far)"""
 LENGTHS = """
-lg AS (SELECT src AS u, dst AS v, 1 / ln(weight) AS len FROM e UNION ALL SELECT dst, src, 1 / ln(weight) FROM e)"""
+lg AS (SELECT src AS u, dst AS v, weight AS len FROM e UNION ALL SELECT dst, src, weight FROM e)"""
+RELAX = """
+relax(it, s, v, d) AS (
+  SELECT DISTINCT 0, u, u, CAST(0 AS DOUBLE) FROM lg
+  UNION ALL SELECT it + 1, s, v, min(d) FROM (
+    SELECT it, s, v, d FROM relax UNION ALL SELECT it, s, lg.v, d + len FROM relax JOIN lg ON lg.u = relax.v)
+  WHERE it < 60 GROUP BY it, s, v)"""
 PATHS = """
 sp(s, v, d) AS (SELECT DISTINCT u, u, 0 FROM g UNION ALL
   SELECT sp.s, g.v, sp.d + 1 FROM sp JOIN g ON g.u = sp.v JOIN dist ON dist.s = sp.s AND dist.v = g.v AND dist.d = sp.d + 1),
 sigma AS (SELECT s, v, any_value(d) AS d, CAST(count(*) AS DOUBLE) AS c FROM sp GROUP BY 1, 2),
 nn AS (SELECT count(DISTINCT u) AS n FROM g),
-eb AS (SELECT least(g.u, g.v) AS src, greatest(g.u, g.v) AS dst, sum(x.c * y.c / z.c) AS total
-       FROM g JOIN sigma x ON x.v = g.u JOIN sigma y ON y.s = g.v
-       JOIN sigma z ON z.s = x.s AND z.v = y.v AND z.d = x.d + 1 + y.d GROUP BY 1, 2)"""
+on_path AS MATERIALIZED (
+  SELECT x.s, x.v AS u, y.v AS t, x.c, x.c * y.c / z.c AS share, z.c AS paths, y.d AS rest
+  FROM sigma x JOIN sigma y ON y.s = x.v JOIN sigma z ON z.s = x.s AND z.v = y.v AND z.d = x.d + y.d),
+nb AS (SELECT node, coalesce(t, 0) / ((n - 1) * (n - 2)) AS b FROM (SELECT DISTINCT u AS node FROM g) CROSS JOIN nn LEFT JOIN (
+  SELECT u, sum(share) AS t FROM on_path WHERE s <> u AND t <> u GROUP BY 1) ON u = node),
+eb AS (SELECT least(g.u, g.v) AS src, greatest(g.u, g.v) AS dst, sum(p.c * y.c / p.paths) AS total
+       FROM on_path p JOIN g ON g.u = p.u JOIN sigma y ON y.s = g.v AND y.v = p.t AND y.d = p.rest - 1 GROUP BY 1, 2)"""
 NATIONS = """
 revisions AS (
   SELECT o_orderkey AS revno, o_orderdate AS commitdate, n_name AS author, o_orderpriority AS msg
@@ -472,20 +487,26 @@ FIRST_LINKS = """
 links AS (SELECT author, changedpath, min(CAST(commitdate AS DATE)) AS day FROM changes JOIN revisions USING (revno) GROUP BY 1, 2)"""
 
 
-def _closeness_on(day: str) -> str:
-    return f"""SELECT substr(s, 3) AS author, '{day}' AS day,
-        round((count(*) - 1) / CAST(sum(d) AS DOUBLE) * (count(*) - 1) / (any_value(n) - 1), 4) AS closeness
-      FROM (SELECT s, v, min(d) AS d FROM walk{day.replace('-', '')} GROUP BY 1, 2),
-           (SELECT count(DISTINCT u) AS n FROM g{day.replace('-', '')}) GROUP BY s"""
-
-
-def _walk_on(day: str) -> str:
-    tag = day.replace("-", "")
-    return f"""
-g{tag} AS (SELECT 'a:' || author AS u, 'f:' || changedpath AS v FROM links WHERE day <= '{day}'
-           UNION ALL SELECT 'f:' || changedpath, 'a:' || author FROM links WHERE day <= '{day}'),
-walk{tag}(s, v, d) AS (SELECT DISTINCT u, u, 0 FROM g{tag} WHERE u LIKE 'a:%' UNION
-  SELECT w.s, g.v, w.d + 1 FROM walk{tag} w JOIN g{tag} g ON g.u = w.v WHERE w.d < 25)"""
+NODES_ON = """
+born AS (SELECT min(day) AS day FROM links GROUP BY author UNION ALL SELECT min(day) FROM links GROUP BY changedpath),
+nodes_on AS (SELECT day, (SELECT count(*) FROM born b WHERE b.day <= x.day) AS nodes FROM (
+     SELECT DISTINCT CAST(commitdate AS DATE) AS day FROM revisions WHERE revno IN (SELECT revno FROM changes)) x)"""
+# The earliest day t on which v is within h hops of the author s, where one more hop makes it earlier; and what that
+# changes in the reached nodes (r), their distances (d) and the neighbours of each day.
+HOPS_BY_DAY = """
+g AS (SELECT 'a:' || author AS u, 'f:' || changedpath AS v, day FROM links
+      UNION ALL SELECT 'f:' || changedpath, 'a:' || author, day FROM links),
+hop(s, v, h, t) USING KEY (s, v, h) AS (
+  SELECT u, u, 0, min(day) FROM g WHERE u LIKE 'a:%' GROUP BY u
+  UNION
+  SELECT n.s, n.v, n.h, n.t FROM (
+    SELECT w.s, g.v, w.h + 1 AS h, min(greatest(w.t, g.day)) AS t FROM hop w JOIN g ON g.u = w.v GROUP BY 1, 2, 3) n
+  LEFT JOIN (SELECT s, v, min(t) AS t FROM recurring.hop GROUP BY 1, 2) x ON x.s = n.s AND x.v = n.v
+  WHERE x.t IS NULL OR n.t < x.t),
+changed AS (SELECT s, day, sum(r) AS r, sum(d) AS d, sum(near) AS near FROM (
+  SELECT s, t AS day, 1 AS r, h AS d, CAST(h = 1 AS INTEGER) AS near FROM hop
+  UNION ALL SELECT s, until, -1, -h, 0 FROM (SELECT *, lag(t) OVER (PARTITION BY s, v ORDER BY h) AS until FROM hop) WHERE until IS NOT NULL)
+  GROUP BY 1, 2)"""
 
 
 ORACLES.update({
@@ -589,6 +610,12 @@ ORACLES.update({
     "append_new": _e("""SELECT revno, author FROM revisions
         WHERE revno > (SELECT max(revno) FROM revisions WHERE commitdate < '2024-01-16')"""),
     "stream_new": _e(f"""SELECT {DAY.format('CAST(commitdate AS DATE)')} AS day, count(*) AS commits FROM revisions GROUP BY 1"""),
+    "stream_daily_counts": _e(f"""SELECT {DAY.format('CAST(commitdate AS DATE)')} AS day, count(*) AS commits FROM revisions GROUP BY 1"""),
+    "stream_author_scores": _e("""SELECT author, round(temp, 4) AS temperature, n AS commits FROM final
+        JOIN (SELECT author, count(*) AS n FROM revisions GROUP BY 1) USING (author)""", AUTHOR_FOLD),
+    "epoch_to_timestamp": _e("SELECT revno, strftime(commitdate, '%Y-%m-%d %H:%M:%S') AS moment FROM revisions"),
+    "read_changes_xml": _o("SELECT 'orders' AS repo_id, revno, changedpath, changetype, 'F' AS pathtype FROM changes"),
+    "read_changes_nested": _o("SELECT revno, changedpath, changetype, linesadded, linesdeleted FROM changes"),
     "merge_scores": _e("SELECT author, round(temp, 4) AS temperature FROM final", AUTHOR_FOLD),
     # Edges and graphs
     "author_file_edges": _o("""SELECT author AS src, changedpath AS dst, CAST(count(*) AS DOUBLE) AS weight
@@ -600,8 +627,7 @@ ORACLES.update({
     "author_network": _o("""SELECT src, dst, round(1 / ln(w), 4) AS weight FROM (
           SELECT author AS src, changedpath AS dst, count(*) AS w FROM changes JOIN revisions USING (revno) GROUP BY 1, 2)
         WHERE w >= 1.1"""),
-    "file_network": _o("SELECT src, dst, round(weight, 4) AS weight FROM core", DECAYED,
-        "e AS (SELECT src, dst, weight FROM links WHERE weight >= 1)", _core(5)),
+    "file_network": _o("SELECT src, dst, round(weight, 4) AS weight FROM core", HEAVY_LINKS, _core(5)),
     "drop_node": _n("""SELECT author AS src, changedpath AS dst, CAST(count(*) AS DOUBLE) AS weight
         FROM changes JOIN revisions USING (revno) WHERE author <> 'NATION_3' GROUP BY 1, 2 HAVING count(*) >= 2"""),
     "coauthor_edges": _n("SELECT * FROM co", COAUTHOR),
@@ -616,29 +642,27 @@ ORACLES.update({
         FROM (SELECT u AS node, v FROM g) GROUP BY 1""",
         """pairs AS (SELECT DISTINCT author AS a, changedpath AS b FROM changes JOIN revisions USING (revno)),
         g AS (SELECT a AS u, b AS v FROM pairs UNION ALL SELECT b, a FROM pairs)"""),
-    "k_core": _o("SELECT * FROM core", OFTEN, _core(3)),
-    "connected_components": _o("SELECT node, component FROM comp", OFTEN, COMPONENTS),
+    "k_core": _o("SELECT * FROM core", ALL_LINKS, _core(5)),
+    "connected_components": _o("SELECT node, component FROM comp", AUTHOR_NETWORK, COMPONENTS),
     "largest_component": _o("""SELECT e.* FROM e JOIN comp ON node = src WHERE component = (
-          SELECT component FROM comp GROUP BY 1 ORDER BY count(*) DESC, component LIMIT 1)""", OFTEN, COMPONENTS),
+          SELECT component FROM comp GROUP BY 1 ORDER BY count(*) DESC, component LIMIT 1)""", AUTHOR_NETWORK, COMPONENTS),
     "components_min_size": _o("""SELECT component, node, n AS size FROM comp JOIN (
-          SELECT component, count(*) AS n FROM comp GROUP BY 1 HAVING count(*) >= 3) USING (component)""", OFTEN, COMPONENTS),
-    "closeness_centrality": _o("SELECT node, round(closeness, 4) AS closeness FROM close", DIRECTORY_GRAPH, DISTANCES),
+          SELECT component, count(*) AS n FROM comp GROUP BY 1 HAVING count(*) >= 10) USING (component)""", AUTHOR_NETWORK, COMPONENTS),
+    "closeness_centrality": _o("SELECT node, round(closeness, 4) AS closeness FROM close", AUTHOR_NETWORK, DISTANCES),
     "graph_stats": _o("""SELECT count(*) AS n_nodes, min(ecc) AS radius, max(ecc) AS diameter,
-          (SELECT count(*) FROM e) AS n_edges FROM close""", DIRECTORY_GRAPH, DISTANCES),
-    "graph_center": _o("SELECT node, ecc AS eccentricity FROM close WHERE ecc = (SELECT min(ecc) FROM close)",
-        DIRECTORY_GRAPH, DISTANCES),
-    "betweenness": _o("""SELECT u AS node, round(coalesce(t, 0) / ((n - 1) * (n - 2)), 4) AS betweenness
-        FROM (SELECT DISTINCT u FROM g) CROSS JOIN nn LEFT JOIN (
-          SELECT x.v AS node, sum(x.c * y.c / z.c) AS t FROM sigma x JOIN sigma y ON y.s = x.v
-          JOIN sigma z ON z.s = x.s AND z.v = y.v AND z.d = x.d + y.d
-          WHERE x.s <> x.v AND y.v <> x.v AND x.s <> y.v GROUP BY 1) ON node = u""", DIRECTORY_GRAPH, DISTANCES, PATHS),
+          (SELECT count(*) FROM e) AS n_edges FROM close""", AUTHOR_NETWORK, DISTANCES),
+    "graph_stats_file_network": _network("""SELECT count(*) AS n_nodes, min(ecc) AS radius, max(ecc) AS diameter,
+          (SELECT count(*) FROM e) AS n_edges FROM close""", DISTANCES),
+    "graph_center": _network("SELECT node, ecc AS eccentricity FROM close WHERE ecc = (SELECT min(ecc) FROM close)", DISTANCES),
+    "closeness_file_network": _network("SELECT node, round(closeness, 4) AS closeness FROM close", DISTANCES),
+    "betweenness": _o("SELECT node, round(b, 4) AS betweenness FROM nb", AUTHOR_NETWORK, DISTANCES, PATHS),
     "edge_betweenness": _o("SELECT src, dst, round(total / (n * (n - 1)), 4) AS betweenness FROM eb, nn",
-        DIRECTORY_GRAPH, DISTANCES, PATHS),
-    "trim_by_edge_betweenness": _o("""SELECT e.src, e.dst, e.weight FROM e JOIN eb ON eb.src = e.src AND eb.dst = e.dst
+        AUTHOR_NETWORK, DISTANCES, PATHS),
+    "trim_by_edge_betweenness": _o("""SELECT e.src, e.dst, e.weight FROM e JOIN eb ON eb.src = least(e.src, e.dst) AND eb.dst = greatest(e.src, e.dst)
         JOIN place ON place.node = e.src
         JOIN (SELECT component, count(*) AS n, avg(total) + stddev_pop(total) AS lim FROM eb JOIN place ON node = src GROUP BY 1) l
           ON l.component = place.component
-        WHERE n <= 3 OR total <= lim""", DIRECTORY_GRAPH, DISTANCES, PATHS,
+        WHERE n <= 3 OR total <= lim""", AUTHOR_NETWORK, DISTANCES, PATHS,
         "place AS (SELECT s AS node, min(v) AS component FROM dist GROUP BY 1)"),
     "degree_over_time": _n("""SELECT author, strftime(day, '%Y-%m-%d') AS day, CAST(deg AS BIGINT) AS degree,
           round(deg / CAST(nodes - 1 AS DOUBLE), 4) AS centrality
@@ -648,27 +672,51 @@ ORACLES.update({
         """born AS (SELECT min(day) AS day FROM links GROUP BY author UNION ALL SELECT min(day) FROM links GROUP BY changedpath),
         nodes_on AS (SELECT day, (SELECT count(*) FROM born b WHERE b.day <= x.day) AS nodes FROM (
              SELECT DISTINCT CAST(commitdate AS DATE) AS day FROM revisions WHERE revno IN (SELECT revno FROM changes)) x)"""),
-    "closeness_over_time": _n(_closeness_on("1995-01-10") + " UNION ALL " + _closeness_on("1996-12-31"), FIRST_LINKS,
-        _walk_on("1995-01-10"), _walk_on("1996-12-31")),
+    "closeness_over_time": _n("""SELECT substr(author, 3) AS author, strftime(day, '%Y-%m-%d') AS day,
+          round(CASE WHEN d > 0 AND nodes > 1 THEN r / CAST(d AS DOUBLE) * r / (nodes - 1) ELSE 0 END, 4) AS closeness
+        FROM (SELECT o.author, o.day, nodes, sum(r) - 1 AS r, sum(c.d) AS d FROM (
+                SELECT s AS author, min(t) AS born FROM hop WHERE h = 0 GROUP BY 1) a
+              JOIN (SELECT DISTINCT s AS author, n.day, nodes FROM hop, nodes_on n) o ON o.author = a.author AND o.day >= born
+              JOIN changed c ON c.s = o.author AND c.day <= o.day GROUP BY 1, 2, 3)""",
+        FIRST_LINKS, NODES_ON, HOPS_BY_DAY),
+    "centrality_over_time": _n("""SELECT substr(x.author, 3) AS author, strftime(x.day, '%Y-%m-%d') AS day,
+          CAST(deg AS BIGINT) AS degree, round(deg / CAST(nodes - 1 AS DOUBLE), 4) AS centrality,
+          round(CASE WHEN d > 0 AND nodes > 1 THEN r / CAST(d AS DOUBLE) * r / (nodes - 1) ELSE 0 END, 4) AS closeness
+        FROM (SELECT o.author, o.day, nodes, sum(r) - 1 AS r, sum(c.d) AS d, sum(c.near) AS deg FROM (
+                SELECT s AS author, min(t) AS born FROM hop WHERE h = 0 GROUP BY 1) a
+              JOIN (SELECT DISTINCT s AS author, n.day, nodes FROM hop, nodes_on n) o ON o.author = a.author AND o.day >= born
+              JOIN changed c ON c.s = o.author AND c.day <= o.day GROUP BY 1, 2, 3) x""",
+        FIRST_LINKS, NODES_ON, HOPS_BY_DAY),
     "weighted_closeness": _o("""SELECT s AS node, round((count(*) - 1) / sum(d) * (count(*) - 1)
           / ((SELECT count(DISTINCT u) FROM lg) - 1), 4) AS closeness
-        FROM (SELECT * FROM relax WHERE it = (SELECT max(it) FROM relax)) GROUP BY 1""", DIRECTORY_GRAPH, LENGTHS,
-        """relax(it, s, v, d) AS (
-             SELECT DISTINCT 0, u, u, CAST(0 AS DOUBLE) FROM lg
-             UNION ALL SELECT it + 1, s, v, min(d) FROM (
-               SELECT it, s, v, d FROM relax UNION ALL SELECT it, s, lg.v, d + len FROM relax JOIN lg ON lg.u = relax.v)
-             WHERE it < 40 GROUP BY it, s, v)"""),
+        FROM (SELECT * FROM relax WHERE it = (SELECT max(it) FROM relax)) GROUP BY 1""", AUTHOR_NETWORK, LENGTHS, RELAX),
     "minimum_spanning_tree": _o("""SELECT src, dst, round(len, 4) AS weight FROM ranked r
-        WHERE NOT EXISTS (SELECT 1 FROM grow WHERE grow.r = r.r AND node = dst)""", DIRECTORY_GRAPH, LENGTHS,
+        WHERE NOT EXISTS (SELECT 1 FROM grow WHERE grow.r = r.r AND node = dst)""", AUTHOR_NETWORK, LENGTHS,
         """ranked AS (SELECT u AS src, v AS dst, len, row_number() OVER (ORDER BY len, u, v) AS r FROM lg WHERE u < v),
         grow(r, node) AS (SELECT r, src FROM ranked UNION
           SELECT g.r, CASE WHEN x.src = g.node THEN x.dst ELSE x.src END FROM grow g
           JOIN ranked x ON (x.src = g.node OR x.dst = g.node) AND x.r < g.r)"""),
-    "path_treemap": _o("""SELECT node, CASE WHEN depth > 0 THEN regexp_extract(node, '^(.*)/[^/]*$', 1) END AS parent,
+    "betweenness_tree": _o("""SELECT d.node, d.parent, d.root, CAST(d.depth AS BIGINT) AS depth, CAST(below AS BIGINT) AS size,
+          round((reached - 1) / far_sum * (reached - 1) / (n - 1), 4) AS closeness, round(b, 4) AS betweenness
+        FROM down d JOIN (SELECT top, count(*) AS below FROM above GROUP BY 1) ON top = d.node JOIN nb ON nb.node = d.node
+        JOIN (SELECT s, count(*) AS reached, sum(d) AS far_sum FROM relax WHERE it = (SELECT max(it) FROM relax) GROUP BY 1) ON s = d.node, nn""",
+        AUTHOR_NETWORK, DISTANCES, PATHS, LENGTHS, RELAX,
+        """ranked AS (SELECT src, dst, row_number() OVER (ORDER BY round(total, 6), src, dst) AS r FROM eb),
+        grow(r, node) AS (SELECT r, src FROM ranked UNION
+          SELECT g.r, CASE WHEN x.src = g.node THEN x.dst ELSE x.src END FROM grow g
+          JOIN ranked x ON (x.src = g.node OR x.dst = g.node) AND x.r < g.r),
+        tree AS (SELECT src, dst FROM ranked r WHERE NOT EXISTS (SELECT 1 FROM grow WHERE grow.r = r.r AND node = dst)),
+        twigs AS (SELECT src AS u, dst AS v FROM tree UNION ALL SELECT dst, src FROM tree),
+        tops AS (SELECT node FROM (SELECT s AS node, min(v) AS component FROM dist GROUP BY 1) JOIN nb USING (node)
+          QUALIFY row_number() OVER (PARTITION BY component ORDER BY round(b, 9) DESC, node) = 1),
+        down(node, parent, root, depth) AS (SELECT node, CAST(NULL AS VARCHAR), node, 0 FROM tops UNION ALL
+          SELECT v, d.node, root, depth + 1 FROM down d JOIN twigs ON u = d.node AND v IS DISTINCT FROM d.parent),
+        above(top, node) AS (SELECT node, node FROM down UNION ALL SELECT d.parent, a.node FROM above a JOIN down d ON d.node = a.top WHERE d.parent IS NOT NULL)"""),
+    "path_treemap": _network("""SELECT node, CASE WHEN depth > 0 THEN regexp_extract(node, '^(.*)/[^/]*$', 1) END AS parent,
           regexp_extract(node, '([^/]*)$', 1) AS name, depth, CAST(sum(n) AS BIGINT) AS size,
           round(max(CASE WHEN depth = 4 THEN c ELSE 0 END), 4) AS centrality
         FROM (SELECT depth, n, c, 'Root' || CASE WHEN depth > 0 THEN '/' || array_to_string(parts[1:depth], '/') ELSE '' END AS node
-              FROM leaves, range(5) t(depth)) GROUP BY 1, 2, 3, 4""", OFTEN, FAR_DISTANCES,
+              FROM leaves, range(5) t(depth)) GROUP BY 1, 2, 3, 4""", ORDERS, DISTANCES,
         """big AS (SELECT component, row_number() OVER (ORDER BY any_value(size) DESC, component) AS no FROM close
              WHERE size > 10 GROUP BY 1),
         leaves AS (SELECT string_split('subgraph ' || CAST(no AS VARCHAR) || node, '/') AS parts, n, inner_closeness AS c
@@ -719,3 +767,5 @@ ORACLES.update({
               FROM (SELECT string_split(substr(changedpath, 2), '/') AS parts FROM changes), range(4) t(depth))
         GROUP BY 1, 2, 3, 4"""),
 })
+
+ORACLES["read_revisions_parquet"] = ORACLES["read_revisions"]

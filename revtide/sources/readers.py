@@ -1,10 +1,15 @@
-"""Reading exported logs. Connecting to a version-control server is out of scope."""
+"""Reading exported logs. Connecting to a version-control server is out of scope.
+
+Large files are split among tasks: an XML log at the ends of its entries, CSV at lines
+(only revisions, whose messages may run over lines, are read file by file unless
+``multiLine="false"`` says that they don't).
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,10 +41,34 @@ XML_ENTRIES = T.StructType(
 def _read(spark: SparkSession, path: str, fmt: str, layout: T.StructType, **options) -> DataFrame:
     reader = spark.read.format(fmt).schema(layout)
     if fmt == "csv":
-        options = {"header": "true", "multiLine": "true", "escape": '"', **options}
+        text = "true" if "msg" in layout.names else "false"
+        options = {"header": "true", "multiLine": text, "escape": '"', **options}
     return reader.options(**options).load(path)
 
 
+def _xml_entries(
+    spark: SparkSession, path: str, group_cols: Sequence[T.StructField] = (), **options
+) -> DataFrame:
+    """Entries of XML logs, one row each; a file is cut behind each ``</logentry>``.
+
+    A grouping column is an attribute of the entry or an element in it. Files of
+    another encoding than UTF-8 (``encoding``) can't be cut and are read whole.
+    """
+    extra = [T.StructField(f"_{f.name}", f.dataType) for f in group_cols] + list(group_cols)
+    layout = T.StructType(XML_ENTRIES.fields + extra)
+    if "encoding" in options or "charset" in options:
+        log = _read(spark, path, "xml", layout, rowTag="logentry", **options)
+    else:
+        ending = "</logentry>"
+        pieces = spark.read.option("lineSep", ending).text(path)
+        begin = F.locate("<logentry", F.col("value"))
+        # What comes behind the last entry has no beginning of one.
+        entry = F.concat(F.substring("value", begin, F.lit(2_147_483_647)), F.lit(ending))
+        parsed = pieces.filter(begin > 0).select(F.from_xml(entry, layout, {"mode": "PERMISSIVE", **options}).alias("e"))
+        log = parsed.select("e.*")
+    return log.withColumns({f.name: F.coalesce(F.col(f"_{f.name}"), F.col(f.name)) for f in group_cols})
+
+
 def clean_revisions(df: DataFrame) -> DataFrame:
     """Drop undated revisions; missing author or message becomes empty."""
     return df.filter(F.col("commitdate").isNotNull()).withColumns(
@@ -52,8 +81,9 @@ def read_revisions(
 ) -> DataFrame:
     """Revisions from parquet, json, csv, orc or an XML log."""
     if fmt == "xml":
-        log = _read(spark, path, "xml", XML_ENTRIES, rowTag="logentry", **options)
+        log = _xml_entries(spark, path, group_cols, **options)
         rows = log.select(
+            *[f.name for f in group_cols],
             F.col("_revision").alias("revno"),
             F.col("date").alias("commitdate"),
             "author",
@@ -74,15 +104,17 @@ def read_changes(
 ) -> DataFrame:
     """One row per changed path; ``nested`` logs hold a list of paths per revision."""
     if fmt == "xml":
-        log = _read(spark, path, "xml", XML_ENTRIES, rowTag="logentry", **options)
+        log = _xml_entries(spark, path, group_cols, **options)
+        names = [f.name for f in group_cols]
         rows = log.filter(F.col("date").isNotNull()).select(
-            F.col("_revision").alias("revno"), F.explode("paths.path").alias("p")
+            *names, F.col("_revision").alias("revno"), F.explode("paths.path").alias("p")
         )
         is_dir = F.col("p._kind") == "dir"
         slash = F.when(is_dir & ~F.col("p._VALUE").endswith("/"), F.lit("/")).otherwise(F.lit(""))
         source = F.col("p.`_copyfrom-path`")
         source_slash = F.when(is_dir & ~source.endswith("/"), F.lit("/")).otherwise(F.lit(""))
         return rows.select(
+            *names,
             "revno",
             F.concat(F.col("p._VALUE"), slash).alias("changedpath"),
             F.col("p._action").alias("changetype"),
@@ -117,11 +149,21 @@ def append_new(existing: DataFrame, incoming: DataFrame, group_cols: Sequence[st
 
 
 def file_line_counts(spark: SparkSession, path: str) -> DataFrame:
-    """Lines per file of a directory tree; files of binary types count 0."""
+    """Lines per file of a directory tree; empty files and those of binary types count 0.
+
+    Files are listed by name alone; only the lines of the others are read.
+    """
+    reader = spark.read.option("recursiveFileLookup", "true")
+    files = reader.format("binaryFile").load(path).select(F.col("path").alias("_path"), "length")
+    files = files.select(_one_slash(F.col("_path")).alias("file"))
     text = spark.read.option("recursiveFileLookup", "true").text(path)
-    counts = text.groupBy(F.col("_metadata.file_path").alias("file")).agg(
-        F.count(F.lit(1)).alias("lines")
-    )
-    return counts.select(
-        "file", F.when(is_binary("file"), F.lit(0)).otherwise(F.col("lines")).cast("long").alias("lines")
-    )
+    # Spark escapes the names that come with lines: "+" stands for itself, the rest as in links.
+    name = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    where = _one_slash(name).alias("file")
+    counts = text.select(where).filter(~is_binary("file")).groupBy("file").agg(F.count(F.lit(1)).alias("lines"))
+    return files.join(counts, "file", "left").select("file", F.coalesce("lines", F.lit(0)).cast("long").alias("lines"))
+
+
+def _one_slash(name: Column) -> Column:
+    """A local file's name with one slash behind its scheme, however it was listed."""
+    return F.regexp_replace(name, "^file:/+", "file:/")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from revtide.functions.paths import relative_path
 from revtide.operators.aggregates import activity_by_hour, activity_by_weekday, basic_stats
-from revtide.operators.base import dense_ids, hash_bucket, revno_bucket
+from revtide.operators.base import dense_ids, hash_bucket, share_bucket
 from revtide.operators.temperature import active_authors, hot_files
 
 # How dates are shown.
@@ -73,7 +73,7 @@ def author_nodes(revisions: DataFrame) -> DataFrame:
     firsts = revisions.groupBy(
         F.when(a.isNull() | (a == ""), F.lit("Unknown")).otherwise(a).alias("label")
     ).agg(F.min("revno").alias("_first"))
-    return dense_ids(firsts, revno_bucket("_first"), ["_first"], "id").select("id", "label")
+    return dense_ids(firsts, share_bucket(firsts, "_first"), ["_first"], "id").select("id", "label")
 
 
 def numbered_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -259,3 +259,106 @@ def test_parallel_edges_count_with_the_least_length(spark):
     for order in (rows, rows[::-1]):
         links = G.both_ways(spark.createDataFrame(order, "src string, dst string, weight double"), "weight")
         assert {tuple(r) for r in links.collect()} == {("a", "b", 1.0), ("b", "a", 1.0), ("b", "c", 2.0), ("c", "b", 2.0)}
+
+
+def test_measures_in_batches(graph):
+    """Batches of sources add up to what all give at once."""
+    _, df = graph
+    assert rows(G.hop_profile(df, batch=3)) == rows(G.hop_profile(df))
+    whole = {r.node: r.betweenness for r in G.betweenness(df).collect()}
+    assert {r.node: r.betweenness for r in G.betweenness(df, pair_rows=60).collect()} == {k: pytest.approx(v) for k, v in whole.items()}
+    none = df.limit(0)
+    assert G.hop_profile(none).count() == G.betweenness(none).count() == G.edge_betweenness(none).count() == 0
+
+
+def hung(links, top):
+    """(parent, root, depth, size) of each node of a tree that hangs from ``top``."""
+    adj = neighbours([(a, b, 0) for a, b in links])
+    parent, order = {top: None}, [top]
+    for u in order:
+        for v in adj[u]:
+            if v not in parent:
+                parent[v] = u
+                order.append(v)
+    size, depth = dict.fromkeys(order, 1), {top: 0}
+    for u in order[1:]:
+        depth[u] = depth[parent[u]] + 1
+    for u in reversed(order[1:]):
+        size[parent[u]] += size[u]
+    return {u: (parent[u], top, depth[u], size[u]) for u in order}
+
+
+def test_rooted_forest(spark):
+    """A chain, a star, random trees and a pair; some with a root that is asked for."""
+    rnd = random.Random(8)
+    trees = [
+        [(f"c{i:03}", f"c{i + 1:03}") for i in range(150)],
+        [(f"s{i:03}", "s_hub") for i in range(120)],
+        [(f"r{i:02}", f"r{rnd.randrange(i):02}") for i in range(1, 60)],
+        [("p1", "p0")],
+    ]
+    df = spark.createDataFrame([e for t in trees for e in t], "src string, dst string")
+    for asked in ({}, {1: "s_hub", 2: "r30"}):
+        roots = spark.createDataFrame([(r,) for r in asked.values()], "node string") if asked else None
+        want = {}
+        for i, t in enumerate(trees):
+            want |= hung(t, asked.get(i, min(x for e in t for x in e)))
+        got = {r.node: (r.parent, r.root, r.depth, r["size"]) for r in G.root_forest(df, roots).collect()}
+        assert got == want
+    assert G.root_forest(df.limit(0)).count() == 0
+
+
+def test_betweenness_tree(graph):
+    e, df = graph
+    got = {r.node: r for r in G.betweenness_tree(df, "weight").collect()}
+    scores = {(r.src, r.dst): round(r.betweenness, 6) for r in G.edge_betweenness(df, normalized=False).collect()}
+    parent = {u: u for u in neighbours(e)}
+
+    def find(u):
+        while parent[u] != u:
+            u = parent[u]
+        return u
+
+    links = []
+    for _, a, b in sorted((w, a, b) for (a, b), w in scores.items()):
+        if find(a) != find(b):
+            parent[find(a)] = find(b)
+            links.append((a, b))
+    between = {r.node: r.betweenness for r in G.betweenness(df).collect()}
+    close = {r.node: r.closeness for r in G.closeness_centrality(df, "weight").collect()}
+    parts = {}
+    for u in parent:
+        parts.setdefault(find(u), []).append(u)
+    want = {}
+    for part in parts.values():
+        top = min(part, key=lambda u: (-round(between[u], 9), u))
+        want |= hung([x for x in links if x[0] in part], top) if len(part) > 1 else {}
+    assert {u: (r.parent, r.root, r.depth, r["size"]) for u, r in got.items()} == want
+    for u, r in got.items():
+        assert r.betweenness == pytest.approx(between[u]) and r.closeness == pytest.approx(close[u])
+
+
+def test_closeness_on_every_day(make_revisions, make_changes):
+    """All days at once against a walk through each day's graph; authors in batches of one."""
+    from revtide.operators.timeline import closeness_over_time
+
+    rnd = random.Random(4)
+    log = [(i, f"2020-01-{1 + i // 3:02} 10:00:00", rnd.choice("abcd")) for i in range(1, 70)]
+    files = [(i, f"/f{rnd.randrange(12)}", "M") for i, _, _ in log if rnd.random() < 0.9]
+    when = {i: (d[:10], a) for i, d, a in log}
+    days = sorted({when[i][0] for i, _, _ in files})
+    want = {}
+    for day in days:
+        adj = {}
+        for i, path, _ in files:
+            if when[i][0] <= day:
+                adj.setdefault("a:" + when[i][1], set()).add("f:" + path)
+                adj.setdefault("f:" + path, set()).add("a:" + when[i][1])
+        for u in adj:
+            if u.startswith("a:"):
+                far = bfs(adj, u)
+                r, d = len(far) - 1, sum(far.values())
+                want[u[2:], day] = r / d * r / (len(adj) - 1)
+    for pair_rows in (10_000_000, 1):
+        table = closeness_over_time(make_revisions(log), make_changes(files), pair_rows=pair_rows)
+        assert {(r.author, str(r.day)): r.closeness for r in table.collect()} == {k: pytest.approx(v) for k, v in want.items()}

@@ -210,7 +210,7 @@ def test_intervals_and_lookup(make_changes):
     r = random.Random(5)
     log = [(rev, f"/d/{r.choice('ab') if rev % 3 else 'hot'}", r.choice("AMDR"), r.randint(0, 9), r.randint(0, 9)) for rev in r.sample(range(1, 400), 150)]
     changes = make_changes(log)
-    table = DS.path_intervals(changes, width=16)
+    table = DS.path_intervals(changes, shares=16)
     found = {(x.changedpath, x.valid_from): x for x in table.collect()}
     by = {}
     for x in sorted(log):
@@ -228,6 +228,6 @@ def test_intervals_and_lookup(make_changes):
             assert (got.addrevno, got.delrevno, got.net_lines) == known(path, x[0])
             assert got.valid_to == (then[0] - 1 if then else None)
     asked = changes.sparkSession.createDataFrame([(p, rev, rev * 7) for p in by for rev in range(0, 410, 9)], "changedpath string, at long, tag long")
-    got = {(x.changedpath, x.at): (x.addrevno, x.delrevno, x.net_lines) for x in DS.as_of(table, asked, "at", width=16).collect()}
+    got = {(x.changedpath, x.at): (x.addrevno, x.delrevno, x.net_lines) for x in DS.as_of(table, asked, "at", shares=16).collect()}
     want = {(p, rev): known(p, rev) for p in by for rev in range(0, 410, 9) if by[p][0][0] <= rev}
     assert got == want

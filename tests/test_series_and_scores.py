@@ -56,7 +56,7 @@ def test_clamp_identity(deltas):
         assert x == s - min(0, low)
 
 
-@pytest.mark.parametrize("width", [1, 3, 65536])
+@pytest.mark.parametrize("width", [1, 3, 64])
 def test_file_temperature_is_the_fold(spark, make_revisions, make_changes, width):
     rnd = random.Random(7)
     base = datetime(1990, 1, 1)
@@ -74,13 +74,13 @@ def test_file_temperature_is_the_fold(spark, make_revisions, make_changes, width
             want[(p, r)] = v
     got = {
         (x.changedpath, x.revno): x.temperature
-        for x in H.file_temperature(make_revisions(revs), make_changes(chs), bucket_width=width).collect()
+        for x in H.file_temperature(make_revisions(revs), make_changes(chs), shares=width).collect()
     }
     assert got.keys() == want.keys()
     for k in want:
         assert got[k] == pytest.approx(want[k], abs=1e-8)
     last = {p: fold([t for _, t in ev])[-1] for p, ev in times.items()}
-    scores = H.file_scores(make_revisions(revs), make_changes(chs), bucket_width=width).collect()
+    scores = H.file_scores(make_revisions(revs), make_changes(chs), shares=width).collect()
     assert {x.changedpath: pytest.approx(x.last_temperature, abs=1e-8) for x in scores} == last
     assert {x.changedpath: x.n_changes for x in scores} == {p: len(ev) for p, ev in times.items()}
 
@@ -166,3 +166,58 @@ def test_trend_ends_at_basic_stats(spark):
     b = basic_stats(rev, ch).first()
     assert S.loc_trend(rev, ch).orderBy(F.col("day").desc()).first().loc == b["loc"]
     assert S.file_count_trend(rev, ch).orderBy(F.col("day").desc()).first().files == b.num_files
+
+
+def test_buckets_hold_equal_shares(spark):
+    """Sparse numbers, one single day, one single moment: buckets follow the order and none holds a growing share."""
+    from revtide.operators.base import share_bucket
+
+    n = 4_000
+    sparse = "CAST(pow(1.005, id) AS BIGINT) + id"
+    cases = {
+        "sparse": (f"{sparse} AS a", "id AS b"),
+        "one day": ("timestamp '2020-01-01 00:00:00' + make_dt_interval(0, 0, 0, id / 100) AS a", "id AS b"),
+        "one moment": ("timestamp '2020-01-01 00:00:00' AS a", "id AS b"),
+        "half one moment": ("CASE WHEN id % 2 = 0 THEN 5000 ELSE id END AS a", "id AS b"),
+        "nulls": ("CASE WHEN id % 10 = 0 THEN NULL ELSE id END AS a", "id AS b"),
+    }
+    for name, (a, b) in cases.items():
+        df = spark.range(n).selectExpr(a, b).repartition(5)
+        got = df.withColumn("_b", share_bucket(df, "a", "b", 16)).collect()
+        order = sorted(got, key=lambda r: (r.a is not None, r.a if r.a is not None else 0, r.b))
+        buckets = [r["_b"] for r in order]
+        assert buckets == sorted(buckets), name
+        assert max(buckets.count(x) for x in set(buckets)) <= n / 16 * 1.7, name
+
+
+@pytest.mark.parametrize("same", [False, True])
+def test_scans_over_one_day(spark, make_revisions, same):
+    """All commits on one day, or at one moment: gaps, ranks and running scores as in a plain walk."""
+    from revtide.operators import gaps as GP
+
+    base = datetime(2020, 5, 1)
+    revs = [(r * r * 1_000_003, (base + timedelta(seconds=0 if same else r)).isoformat(sep=" "), "ab"[r % 3 > 0]) for r in range(1, 300)]
+    log = make_revisions(revs)
+    ranks = {(r.author, r.revno): r["rank"] for r in GP.rank_desc(log).collect()}
+    by = {}
+    for revno, when, who in revs:
+        by.setdefault(who, []).append((revno, datetime.fromisoformat(when)))
+    assert ranks == {(who, own[-i][0]): i for who, own in by.items() for i in range(1, len(own) + 1)}
+    gaps = {(r.author, r.revno): r.gap_days for r in GP.author_gaps(log).collect()}
+    for who, own in by.items():
+        for a, b in zip([None, *own], own):
+            want = None if a is None else (b[1] - a[1]).total_seconds() / 86_400
+            assert gaps[who, b[0]] == (want if want is None else pytest.approx(want))
+    got = {(r.author, r.commitdate): r.temperature for r in H.author_temperature(log).collect()}
+    for who, own in by.items():
+        for (_, when), value in zip(own, fold([w for _, w in own])):
+            if not same:
+                assert got[who, when] == pytest.approx(value)
+    activity = H.revision_activity_index(log, temperatures=log.selectExpr("revno", "commitdate", "CAST(revno % 97 AS DOUBLE) AS temperature"))
+    peak = 0.0
+    want = {}
+    for revno, when, _ in revs:
+        t = datetime.fromisoformat(when)
+        peak = max(peak, float(revno % 97))
+        want[t] = peak
+    assert {r.commitdate: r.activity for r in activity.collect()} == {k: pytest.approx(v) for k, v in want.items() if v > 1.1}

@@ -6,6 +6,7 @@ from datetime import date
 import pytest
 from conftest import SMALL, rows
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from revtide import schema
 from revtide.adapters import event_revisions, order_changes, order_revisions
@@ -35,6 +36,44 @@ def test_xml_log(spark, tmp_path):
     ]
 
 
+def test_xml_log_in_many_tasks(spark, tmp_path):
+    """A file is cut behind its entries; each is read once, whichever task it falls to; grouping columns come along."""
+    entry = (
+        '<logentry revision="{0}" repo_id="{1}"><author>a{0} &amp; b</author><date>2020-01-01T00:00:00.000000Z</date>\n'
+        '<paths><path action="M" kind="file">/t/&lt;{0}&gt;é</path></paths><msg>line 1\nline 2 &lt;/logentry&gt;</msg></logentry>\n'
+    )
+    text = '<?xml version="1.0" encoding="UTF-8"?>\n<log>\n' + "".join(entry.format(i, i % 3) for i in range(200)) + "</log>\n"
+    (tmp_path / "log.xml").write_text(text, encoding="utf-8")
+    repo = [T.StructField("repo_id", T.IntegerType())]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        changes = readers.read_changes(spark, str(tmp_path), "xml", group_cols=repo)
+        revisions = readers.read_revisions(spark, str(tmp_path), "xml", group_cols=repo)
+        assert changes.rdd.getNumPartitions() > 5
+        assert rows(changes, "repo_id", "revno", "changedpath") == sorted((i % 3, i, f"/t/<{i}>é") for i in range(200))
+        want = sorted((i % 3, i, f"a{i} & b", "line 1\nline 2 </logentry>") for i in range(200))
+        assert rows(revisions, "repo_id", "revno", "author", "msg") == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    (tmp_path / "latin").mkdir()
+    (tmp_path / "latin" / "log.xml").write_bytes(text.replace("UTF-8", "ISO-8859-1").encode("latin-1"))
+    whole = readers.read_changes(spark, str(tmp_path / "latin"), "xml", encoding="ISO-8859-1", group_cols=repo)
+    assert rows(whole, "changedpath") == sorted((f"/t/<{i}>é",) for i in range(200))
+
+
+def test_csv_changes_are_split(spark, tmp_path):
+    changes = spark.range(5_000).selectExpr("id AS revno", "concat('/p', id) AS changedpath", "'M' AS changetype").coalesce(1)
+    changes.write.option("header", "true").csv(str(tmp_path / "c"))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        got = readers.read_changes(spark, str(tmp_path / "c"), "csv")
+        assert got.rdd.getNumPartitions() > 5 and got.select("revno").distinct().count() == 5_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 @pytest.mark.parametrize("fmt", ["parquet", "json", "csv", "orc"])
 def test_flat_formats(spark, tmp_path, make_revisions, make_changes, fmt):
     rev = make_revisions([(1, "2020-01-01 10:00:00", "a", 'says "hi",\nthen'), (2, None, "b", "x"), (3, "2020-01-02 00:00:00", None, None)])
@@ -65,8 +104,10 @@ def test_file_line_counts(spark, tmp_path):
     (tmp_path / "d").mkdir()
     (tmp_path / "a.txt").write_text("1\n2\n3")
     (tmp_path / "d" / "b.png").write_text("1\n2\n")
+    (tmp_path / "d" / "empty.c").write_text("")
+    (tmp_path / "d" / "with space+é%.c").write_text("1\n")
     got = {r.file.rsplit("/", 1)[-1]: r.lines for r in readers.file_line_counts(spark, str(tmp_path)).collect()}
-    assert got == {"a.txt": 3, "b.png": 0}
+    assert got == {"a.txt": 3, "b.png": 0, "empty.c": 0, "with space+é%.c": 1}
 
 
 def test_csv_sections(spark, tmp_path):
@@ -119,6 +160,41 @@ def test_stream_equals_batch(spark, tmp_path):
     assert rows(spark.table("daily"), "day", "commits") == rows(daily_commit_count(rev), "day", "commits")
 
 
+def test_scores_and_counts_on_a_stream(spark, tmp_path):
+    """Files that come in pieces, and one twice: states are merged, rows counted once; a batch again replaces its own rows."""
+    from revtide.operators.temperature import author_scores
+
+    rev = event_revisions(spark, SMALL).selectExpr("*", "0 as added_files", "0 as changed_files", "0 as deleted_files")
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def load():
+        log = I.stream_new(I.revision_stream(spark, src))
+        I.write_updates(I.author_windows(log, "5 days"), f"{out}/scores", f"{out}/cp1").awaitTermination()
+        log = I.stream_new(I.revision_stream(spark, src))
+        I.write_updates(I.daily_counts(log), f"{out}/days", f"{out}/cp2").awaitTermination()
+
+    for lo, hi in ((0, 400), (300, 700), (700, 5_000)):
+        rev.filter((F.col("revno") >= lo) & (F.col("revno") < hi)).write.mode("append").parquet(src)
+        load()
+    days = I.read_updates(spark, f"{out}/days", ["day"])
+    assert rows(days, "day", "commits") == rows(daily_commit_count(rev), "day", "commits")
+    scores = I.scores_of_windows(I.read_updates(spark, f"{out}/scores", ["author", "start"]))
+    want = {r.author: (r.temperature, r.commits) for r in author_scores(rev).collect()}
+    assert {r.author: (pytest.approx(r.temperature), r.commits) for r in scores.collect()} == want
+
+
+def test_state_is_bounded(spark, tmp_path):
+    """What lies behind the newest row by more than the delay is forgotten, and late rows don't come in."""
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    day = "timestamp '2020-01-01 00:00:00' + make_dt_interval(CAST({} AS INT))"
+    for lo, hi in ((0, 50), (50, 200), (0, 10), (200, 210)):
+        spark.range(lo, hi).selectExpr("id AS revno", f"{day.format('id')} AS commitdate", "'a' AS author", "'' AS msg", "0 AS added_files", "0 AS changed_files", "0 AS deleted_files").write.mode("append").parquet(src)
+        q = I.write_available(I.stream_new(I.revision_stream(spark, src), "20 days"), out, str(tmp_path / "cp"))
+        q.awaitTermination()
+    assert rows(spark.read.parquet(out), "revno") == [(i,) for i in range(210)]
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] < 60
+
+
 def test_report_is_complete(spark):
     rev, ch = order_revisions(spark, SMALL), order_changes(spark, SMALL)
     from revtide.operators.logprep import with_file_counts
@@ -159,11 +235,11 @@ def test_timeline(make_revisions, make_changes):
 
     rev = make_revisions([(1, "2020-01-01", "a"), (2, "2020-01-02", "b"), (3, "2020-01-03", "a")])
     ch = make_changes([(1, "/x", "A"), (2, "/x", "M"), (2, "/y", "A"), (3, "/x", "M")])
-    got = rows(centrality_over_time(rev, ch, ["2020-01-02"]), "author", "day", "degree", "centrality", "closeness")
+    got = rows(centrality_over_time(rev, ch), "author", "day", "degree", "centrality", "closeness")
     assert got == [
-        ("a", date(2020, 1, 1), 1, 1.0, None),
+        ("a", date(2020, 1, 1), 1, 1.0, 1.0),
         ("a", date(2020, 1, 2), 1, pytest.approx(1 / 3), pytest.approx(3 / 6)),
-        ("a", date(2020, 1, 3), 1, pytest.approx(1 / 3), None),
+        ("a", date(2020, 1, 3), 1, pytest.approx(1 / 3), pytest.approx(3 / 6)),
         ("b", date(2020, 1, 2), 2, pytest.approx(2 / 3), pytest.approx(3 / 4)),
-        ("b", date(2020, 1, 3), 2, pytest.approx(2 / 3), None),
+        ("b", date(2020, 1, 3), 2, pytest.approx(2 / 3), pytest.approx(3 / 4)),
     ]

@@ -47,7 +47,7 @@ def compare(name: str, spark, con, sf_dir: str) -> tuple[bool, str]:
     got = [tuple(r) for r in df.select(*[f"`{c}`" for c in cols]).collect()]
     t1 = time.time()
     if name not in ORACLES:
-        return True, f"{len(got)} rows, no SQL, {t1 - t0:.1f}s"
+        return False, f"{len(got)} rows, no SQL, {t1 - t0:.1f}s"
     rel = con.sql(ORACLES[name])
     if sorted(rel.columns) != cols:
         return False, f"columns {cols} vs {sorted(rel.columns)}"
