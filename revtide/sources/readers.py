@@ -151,19 +151,16 @@ def append_new(existing: DataFrame, incoming: DataFrame, group_cols: Sequence[st
 def file_line_counts(spark: SparkSession, path: str) -> DataFrame:
     """Lines per file of a directory tree; empty files and those of binary types count 0.
 
-    Files are listed by name alone; only the lines of the others are read.
+    A scan passes over empty files, so names come from the listing that the scan is
+    planned by; only the lines of the other files are read.
     """
-    reader = spark.read.option("recursiveFileLookup", "true")
-    files = reader.format("binaryFile").load(path).select(F.col("path").alias("_path"), "length")
-    files = files.select(_one_slash(F.col("_path")).alias("file"))
     text = spark.read.option("recursiveFileLookup", "true").text(path)
-    # Spark escapes the names that come with lines: "+" stands for itself, the rest as in links.
-    name = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    where = _one_slash(name).alias("file")
-    counts = text.select(where).filter(~is_binary("file")).groupBy("file").agg(F.count(F.lit(1)).alias("lines"))
+    files = spark.createDataFrame([(name,) for name in text.inputFiles()], "name string").select(_plain(F.col("name")).alias("file"))
+    own = text.select(_plain(F.col("_metadata.file_path")).alias("file")).filter(~is_binary("file"))
+    counts = own.groupBy("file").agg(F.count(F.lit(1)).alias("lines"))
     return files.join(counts, "file", "left").select("file", F.coalesce("lines", F.lit(0)).cast("long").alias("lines"))
 
 
-def _one_slash(name: Column) -> Column:
-    """A local file's name with one slash behind its scheme, however it was listed."""
-    return F.regexp_replace(name, "^file:/+", "file:/")
+def _plain(name: Column) -> Column:
+    """A file's name without the escapes of links ("+" stands for itself), a local one with one slash behind its scheme."""
+    return F.regexp_replace(F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))), "^file:/+", "file:/")
