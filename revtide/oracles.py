@@ -116,23 +116,43 @@ ORACLES: dict[str, str] = {
         WHERE commitdate >= date_trunc('month', e) - INTERVAL 6 MONTH + to_days(CAST(day(e) - 1 AS INTEGER))"""),
     "bugfix_filter": """SELECT doc_id AS revno, source AS author FROM documents
         WHERE text LIKE '%sh%' OR text LIKE '%ing%'""",
-    "date_in_range": _e("SELECT msg, count(*) AS n FROM revisions GROUP BY 1"),
+    "date_in_range": _e("""SELECT msg, count(*) AS n FROM revisions, (
+          SELECT CAST(min(commitdate) AS DATE) - 1 AS lo, CAST(max(commitdate) AS DATE) + 1 AS hi FROM revisions WHERE revno < 300)
+        WHERE CAST(commitdate AS DATE) BETWEEN lo AND hi GROUP BY 1"""),
     "file_changes": _o("""SELECT changedpath, count(*) AS n FROM changes
         WHERE pathtype = 'F' AND changetype IN ('A', 'R') GROUP BY 1"""),
     "in_repo_url": _o("""SELECT changedpath, count(*) AS n FROM changes
         WHERE starts_with('http://host/repo' || changedpath, 'http://host/repo/SMALL/Brand1') GROUP BY 1"""),
     # Aggregates
+    # The dashboard under a prefix and a range of revisions: ``scoped`` revisions, ``under`` all changes of the prefix.
+    "report": _o(f"""SELECT 'churn' AS section, {DAY.format('CAST(commitdate AS DATE)')} AS name, CAST(sum(linesadded + linesdeleted) AS DOUBLE) AS value
+        FROM revisions JOIN under USING (revno) GROUP BY 2
+        UNION ALL SELECT 'daily_commits', {DAY.format('CAST(commitdate AS DATE)')}, count(*) FROM revisions GROUP BY 2
+        UNION ALL SELECT 'weekday', ['Sun', 'Mon', 'Tue', 'Wed', 'Thu', 'Fri', 'Sat'][i + 1], count(revno)
+          FROM range(7) t(i) LEFT JOIN scoped ON dayofweek(commitdate) = i GROUP BY i
+        UNION ALL SELECT 'hour', CAST(i AS VARCHAR), count(revno) FROM range(24) t(i) LEFT JOIN scoped ON hour(commitdate) = i GROUP BY i
+        UNION ALL SELECT 'active_authors', author, round(temp, 4) FROM (
+          SELECT author, 1.1 + 10 * sum(x) - 1.1 * min(x) AS temp FROM (
+            SELECT author, exp(-0.0025 * (epoch_us(CAST(end_day AS TIMESTAMP)) - epoch_us(commitdate)) / 3.6e9) AS x
+            FROM scoped, (SELECT CAST(max(commitdate) AS DATE) + 1 AS end_day FROM revisions)) GROUP BY 1
+          ORDER BY 2 DESC, 1 LIMIT 10)
+        UNION ALL SELECT 'file_types', CASE WHEN ext = '' THEN '{{no ext}}' ELSE ext END, files FROM (
+          SELECT regexp_extract(changedpath, '[^./][^/]*(\\.[^./]*)$', 1) AS ext, sum(CASE changetype WHEN 'A' THEN 1 ELSE -1 END) AS files
+          FROM under WHERE changetype IN ('A', 'D') GROUP BY 1 ORDER BY 2 DESC, CASE WHEN ext = '' THEN '{{no ext}}' ELSE ext END LIMIT 20)""",
+        "under AS (SELECT * FROM changes WHERE starts_with(changedpath, '/ECONOMY/'))",
+        """scoped AS (SELECT * FROM revisions WHERE revno BETWEEN 100 AND 4000
+             AND revno IN (SELECT revno FROM under WHERE revno BETWEEN 100 AND 4000))"""),
     "author_ranking": _o("SELECT author, count(*) AS commits FROM revisions GROUP BY 1"),
     "author_ranking_top": _e("""SELECT author, count(*) AS commits FROM revisions GROUP BY 1
         ORDER BY 2 DESC, 1 LIMIT 10"""),
     "author_ranking_by_type": _e("""SELECT msg AS repo, author, count(*) AS commits FROM revisions GROUP BY 1, 2
         QUALIFY row_number() OVER (PARTITION BY msg ORDER BY count(*) DESC, author) <= 3"""),
     "activity_by_weekday": _e("""SELECT i AS weekday,
-          substr('SunMonTueWedThuFriSat', CAST(3 * i + 1 AS INTEGER), 3) AS name,
+          ['Sun', 'Mon', 'Tue', 'Wed', 'Thu', 'Fri', 'Sat'][i + 1] AS name,
           count(revno) AS commits
         FROM range(7) t(i) LEFT JOIN revisions ON dayofweek(commitdate) = i GROUP BY i"""),
     "activity_by_weekday_recent": _o("""SELECT i AS weekday,
-          substr('SunMonTueWedThuFriSat', CAST(3 * i + 1 AS INTEGER), 3) AS name, count(revno) AS commits
+          ['Sun', 'Mon', 'Tue', 'Wed', 'Thu', 'Fri', 'Sat'][i + 1] AS name, count(revno) AS commits
         FROM range(7) t(i) LEFT JOIN (
           SELECT revno, commitdate FROM revisions, (SELECT CAST(max(commitdate) AS DATE) + 1 AS e FROM revisions)
           WHERE commitdate >= date_trunc('month', e) - INTERVAL 3 MONTH + to_days(CAST(day(e) - 1 AS INTEGER))) r
@@ -141,7 +161,7 @@ ORACLES: dict[str, str] = {
         FROM range(24) t(i) LEFT JOIN revisions ON hour(commitdate) = i GROUP BY i"""),
     "activity_by_hour_local": _e("""SELECT i AS hour, count(revno) AS commits
         FROM range(24) t(i) LEFT JOIN revisions ON hour(commitdate - INTERVAL 5 HOUR) = i GROUP BY i"""),
-    "weekday_hour_pivot": _e("SELECT i AS weekday, substr('SunMonTueWedThuFriSat', CAST(3 * i + 1 AS INTEGER), 3) AS name, "
+    "weekday_hour_pivot": _e("SELECT i AS weekday, ['Sun', 'Mon', 'Tue', 'Wed', 'Thu', 'Fri', 'Sat'][i + 1] AS name, "
         + ", ".join(f"count(revno) FILTER (hour(commitdate) = {h}) AS h{h}" for h in range(24))
         + " FROM range(7) t(i) LEFT JOIN revisions ON dayofweek(commitdate) = i GROUP BY i"),
     "file_types": _o("""SELECT CASE WHEN ext = '' THEN '{no ext}' ELSE ext END AS file_type,
@@ -740,10 +760,12 @@ ORACLES.update({
     "write_stats_csv": _o("""
         SELECT 'basic' AS section, name, value FROM (
           SELECT unnest(['Repository Name', 'Search Path', 'First Revision no.', 'Latest Revision no.', 'Number of Revisions',
-                         'Number of active files', 'Number of authors', 'Total Number of Lines']) AS name,
+                         'Number of active files', 'Number of authors', 'Total Number of Lines',
+                         'First Commit Date', 'Last Commit Date']) AS name,
                  unnest(['orders', '/', CAST(lo AS VARCHAR), CAST(hi AS VARCHAR), CAST(n AS VARCHAR), CAST(f AS VARCHAR),
-                         CAST(a AS VARCHAR), CAST(l AS VARCHAR)]) AS value
-          FROM (SELECT min(revno) AS lo, max(revno) AS hi, count(*) AS n, count(DISTINCT author) AS a FROM revisions),
+                         CAST(a AS VARCHAR), CAST(l AS VARCHAR), strftime(d0, '%b %d, %Y %I:%M %p'), strftime(d1, '%b %d, %Y %I:%M %p')]) AS value
+          FROM (SELECT min(revno) AS lo, max(revno) AS hi, count(*) AS n, count(DISTINCT author) AS a,
+                       arg_min(commitdate, revno) AS d0, arg_max(commitdate, revno) AS d1 FROM revisions),
                (SELECT count(*) FILTER (changetype = 'A') - count(*) FILTER (changetype = 'D') AS f,
                        CAST(sum(linesadded - linesdeleted) AS BIGINT) AS l FROM changes))
         UNION ALL SELECT 'authors', author, printf('%.3f', t) FROM (
@@ -753,7 +775,7 @@ ORACLES.update({
           ORDER BY 2 DESC, 1 LIMIT 10)
         UNION ALL SELECT 'files', changedpath, printf('%.3f', temp) FROM (
           SELECT * FROM final ORDER BY temp DESC, changedpath LIMIT 10)
-        UNION ALL SELECT 'weekday', substr('SunMonTueWedThuFriSat', CAST(3 * i + 1 AS INTEGER), 3), CAST(count(revno) AS VARCHAR)
+        UNION ALL SELECT 'weekday', ['Sun', 'Mon', 'Tue', 'Wed', 'Thu', 'Fri', 'Sat'][i + 1], CAST(count(revno) AS VARCHAR)
           FROM range(7) t(i) LEFT JOIN revisions ON dayofweek(commitdate) = i GROUP BY i
         UNION ALL SELECT 'hour', CAST(i AS VARCHAR), CAST(count(revno) AS VARCHAR)
           FROM range(24) t(i) LEFT JOIN revisions ON hour(commitdate) = i GROUP BY i""", FILE_FOLD, FILE_FINAL),
