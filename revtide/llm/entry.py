@@ -1,11 +1,8 @@
-"""What the driver's entry adds: the queries of this package and the pipeline, with their SQL."""
+"""What the driver's entry adds: the queries of this package with their SQL."""
 
 from __future__ import annotations
 
-import corpus_pipeline
-from revtide.llm import queries, sql
-
-QUERIES = queries.QUERIES | {"pipeline": corpus_pipeline.run}
-ORACLES = sql.ORACLES | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+from revtide.llm.queries import QUERIES
+from revtide.llm.sql import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
