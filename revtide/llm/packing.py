@@ -8,6 +8,7 @@ a row is split into whole rows and a rest; nothing is lost, and every piece says
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,9 @@ END = 50_256
 #: Ids in a row, and ids that a task packs together.
 CAPACITY, BLOCK_IDS = 2_048, 2_000_000
 
+# What the pattern takes for white space. Its matcher fails on very long runs, so it gets none of 1,000 and more.
+_LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
+
 SEGMENT = T.StructType([T.StructField("doc", T.StringType()), T.StructField("offset", T.LongType()), T.StructField("length", T.IntegerType())])
 ROWS = T.StructType(
     [
@@ -101,6 +105,19 @@ def load_encoding(path: str = RANKS) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def encode(encoding: tiktoken.Encoding, text: str) -> list[int]:
+    """Ids of a whole text. The pattern takes a run of white space, less its last character before a word, as one piece."""
+    runs = list(_LONG_SPACE.finditer(text))
+    if not runs:
+        return encoding.encode_ordinary(text)
+    out, at = [], 0
+    for run in runs:
+        end = run.end() - (run.end() < len(text))
+        out += encoding.encode_ordinary(text[at : run.start()]) + encoding._encode_single_piece(text[run.start() : end])
+        at = end
+    return out + encoding.encode_ordinary(text[at:])
+
+
 def _ranks(path: str) -> dict[bytes, int]:
     return load_encoding(path)._mergeable_ranks
 
@@ -126,7 +143,7 @@ def pack_tokens(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
             for a, b in text_slices(batch.column(1)):
                 names = batch.column(0).slice(a, b - a).to_pylist()
                 for name, text in zip(names, batch.column(1).slice(a, b - a).to_pylist(), strict=True):
-                    ids = np.array([*encoding.encode_ordinary(text), end_id], np.uint16)
+                    ids = np.array([*encode(encoding, text), end_id], np.uint16)
                     for at in range(0, len(ids), capacity):
                         held.append((name, at, ids[at : at + capacity]))
                     size += len(ids)

@@ -109,7 +109,7 @@ def test_all_segmentations_when_k_is_large():
 
 @pytest.mark.parametrize("capacity", [7, 2_048])
 def test_packing_loses_nothing(documents, capacity):
-    rows = packing.pack_tokens(documents.where("length(text) < 3000 or text is null"), capacity=capacity, block_ids=20_000).collect()
+    rows = packing.pack_tokens(documents, capacity=capacity, block_ids=20_000).collect()
     encoding = packing.load_encoding()
     held = defaultdict(list)
     for r in rows:
@@ -120,12 +120,24 @@ def test_packing_loses_nothing(documents, capacity):
             held[s.doc].append((s.offset, ids[a:b].tolist()))
         assert set(ids[ends[-1] :].tolist()) <= {packing.END}
     assert len({(r.part, r.pack) for r in rows}) == len(rows)
-    for r in documents.where("length(text) < 3000 and text != ''").collect():
+    for r in documents.where("text != ''").collect():
         whole = [x for _, part in sorted(held[None if r.doc_id is None else str(r.doc_id)]) for x in part]
         assert encoding.decode(whole[:-1]) == r.text and whole[-1] == packing.END
     assert packing.packing_report(documents.limit(0)).count() == 0
 
 
+def test_long_white_space_in_packing(spark):
+    """Runs that the pattern's matcher can't take; short of that, the same ids with and without it."""
+    encoding = packing.load_encoding()
+    for run in (" " * 1_500, "\n" * 1_001, " \n\t" * 700, "\u2003" * 1_200 + " ", "\xa0" * 1_000 + "\n"):
+        for text in (run, "a" + run, run + "b", f"it's{run}b{run}", f"{run}.\x1c{run}\x1c", f"1{run}" * 3):
+            assert packing.encode(encoding, text) == encoding.encode_ordinary(text)
+    long = "a" + " " * 10_000_000 + "\n" * 1_000_000 + "b"
+    rows = packing.pack_tokens(spark.createDataFrame([(1, long)], "doc_id long, text string")).select("cu_seqlens", "ids").collect()
+    ids = np.concatenate([np.frombuffer(r.ids, "<u2")[: r.cu_seqlens[-1]] for r in rows])
+    assert sorted(ids.tolist()) == sorted([*packing.encode(encoding, long), packing.END])
+
+
 def test_best_fit_takes_the_tightest_row():
     lengths = [4, 4, 8, 1, 3, 10, 2, 6, 5]
     rows = packing.best_fit_decreasing(lengths, 10)
