@@ -464,6 +464,21 @@ close AS (SELECT s AS node, CASE WHEN sum(d) > 0 THEN (count(*) - 1) / CAST(sum(
             / ((SELECT count(DISTINCT u) FROM g) - 1) ELSE 0 END AS closeness, max(d) AS ecc, min(v) AS component, count(*) AS size,
             (count(*) - 1) / CAST(sum(d) AS DOUBLE) AS inner_closeness FROM far GROUP BY 1),
 dist AS (SELECT s, v, d FROM far)"""
+# For a network of few steps across and many pairs: the nodes within h steps of each as bits.
+NEAR_DISTANCES = """
+g AS (SELECT src AS u, dst AS v FROM e UNION ALL SELECT dst, src FROM e),
+names AS (SELECT u AS node, row_number() OVER (ORDER BY u) - 1 AS id, count(*) OVER () AS n FROM (SELECT DISTINCT u FROM g)),
+near(h, node, bits) AS (
+  SELECT 0, node, set_bit(CAST(repeat('0', n) AS BIT), CAST(id AS INTEGER), 1) FROM names
+  UNION ALL SELECT h + 1, node, bit_or(bits) FROM (
+    SELECT h, node, bits FROM near UNION ALL SELECT near.h, g.v, bits FROM near JOIN g ON g.u = near.node)
+  WHERE h < 16 GROUP BY h, node),
+steps AS (SELECT node, h, bits, bit_count(bits) - coalesce(lag(bit_count(bits)) OVER (PARTITION BY node ORDER BY h), 0) AS gain FROM near),
+sums AS (SELECT node, sum(gain) AS size, sum(h * gain) AS d, max(h) FILTER (gain > 0) AS ecc,
+                bit_position('1'::BIT, arg_max(bits, h)) - 1 AS least FROM steps GROUP BY 1),
+close AS (SELECT sums.node, CASE WHEN d > 0 THEN (size - 1) / CAST(d AS DOUBLE) * (size - 1) / (n - 1) ELSE 0 END AS closeness,
+                 ecc, names.node AS component, size, (size - 1) / CAST(d AS DOUBLE) AS inner_closeness
+          FROM sums JOIN names ON names.id = least)"""
 LENGTHS = """
 lg AS (SELECT src AS u, dst AS v, weight AS len FROM e UNION ALL SELECT dst, src, weight FROM e)"""
 RELAX = """
@@ -672,9 +687,9 @@ ORACLES.update({
     "graph_stats": _o("""SELECT count(*) AS n_nodes, min(ecc) AS radius, max(ecc) AS diameter,
           (SELECT count(*) FROM e) AS n_edges FROM close""", AUTHOR_NETWORK, DISTANCES),
     "graph_stats_file_network": _network("""SELECT count(*) AS n_nodes, min(ecc) AS radius, max(ecc) AS diameter,
-          (SELECT count(*) FROM e) AS n_edges FROM close""", DISTANCES),
-    "graph_center": _network("SELECT node, ecc AS eccentricity FROM close WHERE ecc = (SELECT min(ecc) FROM close)", DISTANCES),
-    "closeness_file_network": _network("SELECT node, round(closeness, 4) AS closeness FROM close", DISTANCES),
+          (SELECT count(*) FROM e) AS n_edges FROM close""", NEAR_DISTANCES),
+    "graph_center": _network("SELECT node, ecc AS eccentricity FROM close WHERE ecc = (SELECT min(ecc) FROM close)", NEAR_DISTANCES),
+    "closeness_file_network": _network("SELECT node, round(closeness, 4) AS closeness FROM close", NEAR_DISTANCES),
     "betweenness": _o("SELECT node, round(b, 4) AS betweenness FROM nb", AUTHOR_NETWORK, DISTANCES, PATHS),
     "edge_betweenness": _o("SELECT src, dst, round(total / (n * (n - 1)), 4) AS betweenness FROM eb, nn",
         AUTHOR_NETWORK, DISTANCES, PATHS),
@@ -736,7 +751,7 @@ ORACLES.update({
           regexp_extract(node, '([^/]*)$', 1) AS name, depth, CAST(sum(n) AS BIGINT) AS size,
           round(max(CASE WHEN depth = 4 THEN c ELSE 0 END), 4) AS centrality
         FROM (SELECT depth, n, c, 'Root' || CASE WHEN depth > 0 THEN '/' || array_to_string(parts[1:depth], '/') ELSE '' END AS node
-              FROM leaves, range(5) t(depth)) GROUP BY 1, 2, 3, 4""", ORDERS, DISTANCES,
+              FROM leaves, range(5) t(depth)) GROUP BY 1, 2, 3, 4""", ORDERS, NEAR_DISTANCES,
         """big AS (SELECT component, row_number() OVER (ORDER BY any_value(size) DESC, component) AS no FROM close
              WHERE size > 10 GROUP BY 1),
         leaves AS (SELECT string_split('subgraph ' || CAST(no AS VARCHAR) || node, '/') AS parts, n, inner_closeness AS c
