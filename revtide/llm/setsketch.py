@@ -10,10 +10,17 @@ union are the larger ones of both, and registers of similar sets agree often.
    leader: that is one pair a member, however large the bucket.
 3. Pairs whose registers, estimated jointly by maximum likelihood, speak against the threshold by four standard
    deviations are dropped; the others are confirmed on their full shingle sets.
-4. Buckets whose other members are not all of one component after that are compared in blocks inside tasks, pairs
-   of one component left out. Again only likely pairs are confirmed, and a task gives only the links that join
-   components, so nothing grows with the square of a group.
-5. Links give the components.
+4. Buckets whose members are not all of one component after that get a new leader, by another hash, and every member
+   of another component is compared with it, as long as such a round links a twentieth of what the first one did. So a
+   group whose members link in many ways becomes one component.
+5. In buckets that are still mixed, the members outside the bucket's largest component are compared with all others, in
+   cells of bounded size inside tasks. Members of that component need not meet each other, so a large group costs a few
+   rows a member. First each gives its likeliest partner in a cell alone; where more were likely and confirming those
+   has not made one component of the bucket, all likely pairs are confirmed. A task gives only the links that join
+   components, so no link is lost, and nothing that leaves a task grows with the square of a group.
+6. Links give the components.
+
+All of this is done on classes of equal sets, numbered by themselves; documents get their class's result at the end.
 
 A link at the threshold shares no bucket with a probability of about one in 80,000 and fails the likelihood test
 with about one in 30,000.
@@ -26,10 +33,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revtide.llm.common import materialize, text_slices, whole_groups
+from revtide.llm.common import discard, materialize, text_slices, whole_groups
 from revtide.llm.words import as_long, gram_hashes, mix, split_words
 from revtide.operators.graph import connected_components
 
@@ -109,16 +116,22 @@ def likely(above: np.ndarray, below: np.ndarray, same: np.ndarray, size_a: np.nd
     return (top >= threshold) & ((peak >= threshold) | (log_likelihood(np.full_like(top, threshold)) >= best - DOUBT))
 
 
+def _digests(elements: np.ndarray, first: np.ndarray) -> list[pa.Array]:
+    """Size and two sums of hashes of each set: what a set is told by."""
+    out = [pa.array(np.diff(first))]
+    for salt in (0, 0xC2B2AE3D27D4EB4F):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(elements ^ np.uint64(salt)))])
+        out.append(pa.array(as_long(total[first[1:]] - total[first[:-1]])))
+    return out
+
+
 def _sketches(documents: DataFrame, n: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in text_slices(batch.column(1)):
                 elements, first = shingle_sets(batch.column(1).slice(a, b - a), n)
                 sketch = registers(elements, first)
-                total = np.concatenate([[0], np.cumsum(mix(elements))]).astype(np.uint64)
-                other = np.concatenate([[0], np.cumsum(mix(elements ^ np.uint64(0xC2B2AE3D27D4EB4F)))]).astype(np.uint64)
-                sums = (x[first[1:]] - x[first[:-1]] for x in (total, other))
-                columns = [batch.column(0).slice(a, b - a), pa.array(np.diff(first)), *(pa.array(as_long(s)) for s in sums), pa.array([r.tobytes() for r in sketch], pa.binary())]
+                columns = [batch.column(0).slice(a, b - a), *_digests(elements, first), pa.array([r.tobytes() for r in sketch], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc", "n", "h1", "h2", "sketch"])
 
     return documents.mapInArrow(scan, "doc long, n long, h1 long, h2 long, sketch binary")
@@ -130,9 +143,14 @@ def _full_sets(documents: DataFrame, n: int) -> DataFrame:
             for a, b in text_slices(batch.column(1)):
                 elements, first = shingle_sets(batch.column(1).slice(a, b - a), n)
                 sets = [elements[x:y].tobytes() for x, y in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets, pa.binary())], names=["doc", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *_digests(elements, first), pa.array(sets, pa.binary())], names=["least", "n", "h1", "h2", "shingles"])
+
+    return documents.mapInArrow(scan, "least long, n long, h1 long, h2 long, shingles binary")
+
 
-    return documents.mapInArrow(scan, "doc long, shingles binary")
+def _tasks(spark: SparkSession) -> int:
+    """Partitions of stages that work in Python: few bytes there are much work, so they must not be put together."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def _likely_pairs(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
@@ -185,7 +203,7 @@ def _confirm(tiles: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                                 dst.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
 
-    return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(confirm, "src long, dst long")
+    return rows.repartition(_tasks(tiles.sparkSession), "tile").sortWithinPartitions("tile").mapInArrow(confirm, "src long, dst long")
 
 
 def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -197,45 +215,101 @@ def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * same >= percent * (len(a) + len(b) - same)
 
 
-def _residual(members: DataFrame, labels: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """Tiles of likely pairs of different components that share a bucket and were not compared with its leader."""
-    others = members.where(F.col("doc") != F.col("leader")).join(labels, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    mixed = others.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
-    mixed = materialize(mixed.where("low < high").select("key", "size"), "mixed")
-    # The leader that comes first in the order of leaders keeps documents of a group together when tiles are cut.
-    home = members.groupBy("doc").agg(F.min_by("leader", F.xxhash64("leader")).alias("home"))
+def _stars(pairs: DataFrame, classes: DataFrame, sets: DataFrame, threshold: float, percent: int) -> DataFrame:
+    """Links among pairs (a: leader, b): the likely ones are confirmed, a leader's pairs in tiles of bounded size."""
+    stars = materialize(_likely_pairs(pairs.distinct(), classes, threshold), "stars")
+    sizes = stars.groupBy("a").agg(F.count("*").alias("size"))
+    tile = F.xxhash64("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("size") / BLOCK)))
+    tiles = stars.join(sizes, "a").groupBy(tile.alias("tile")).agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
+    out = materialize(_confirm(tiles, sets, percent), "links")
+    discard(stars)
+    return out
+
+
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members (key, band, doc) of buckets that hold more than one component, with their components."""
+    named = members.select("key", "band", "doc").join(labels, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    mixed = named.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
+    return materialize(named.join(mixed.where("low < high").select("key", "size"), "key"), "mixed")
+
+
+def _joined(links: DataFrame, more: DataFrame, mixed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All links, the labels they give, and what of ``mixed`` remains so."""
+    links = links.unionByName(more)
+    labels = _relabel(links)
+    return links, labels, _mixed(mixed, labels)
+
+
+def _relabel(links: DataFrame) -> DataFrame:
+    return materialize(connected_components(links).toDF("doc", "component"), "labels")
+
+
+def _residual(others: DataFrame, classes: DataFrame, threshold: float, best_only: bool) -> DataFrame:
+    """Likely pairs of different components that share a bucket; ``others``: members of mixed buckets.
+
+    Rows either hold pairs (tile, a, b) or, with ``best_only``, the ``key`` of a bucket that has more likely pairs than
+    the best of each member.
+    """
+    # One of a document's buckets, chosen alike by all, keeps documents of a group together when tiles are cut.
+    home = others.groupBy("doc").agg(F.min_by("key", F.xxhash64("key")).alias("home"))
     crowd = home.groupBy("home").agg(F.count("*").alias("crowd"))
-    home = materialize(home.join(crowd, "home").select("doc", F.xxhash64("home", F.pmod(F.xxhash64("doc"), F.ceil(F.col("crowd") / BLOCK))).alias("home")), "home")
-    rows = others.join(mixed, "key").join(classes.select("doc", "n", "sketch"), "doc").join(home, "doc")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("doc"), blocks.cast("long")).cast("int")
-    rows = rows.select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("with"))
-    cell = F.xxhash64("key", F.least("own", "with"), F.greatest("own", "with"))
-    rows = rows.select(cell.alias("cell"), "key", "band", "doc", "component", "n", "sketch", "home", "own", "with")
+    home = home.join(crowd, "home").select("doc", F.xxhash64("home", F.pmod(F.xxhash64("doc"), F.ceil(F.col("crowd") / BLOCK))).alias("home"))
+    sized = others.select("key", "band", "doc", "component").join(classes.select("doc", "n"), "doc")
+    parts = sized.groupBy("key", "component").agg(F.count("*").alias("rows"), F.min("n").alias("low"), F.max("n").alias("high"))
+    tops = parts.groupBy("key").agg(F.max(F.struct("rows", "component")).alias("top"), F.sum("rows").alias("all"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    tops = tops.select("key", F.col("top.component").alias("most"), blocks(F.col("top.rows")).alias("majors"), blocks(F.col("all") - F.col("top.rows")).alias("minors"))
+    spans = parts.join(tops, "key").where("component != most").groupBy("key", "most", "majors", "minors").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    rows = sized.join(spans, "key").withColumn("minor", F.col("component") != F.col("most"))
+    # Sets that link are of similar size: members of the largest component that are like none of the others meet nothing.
+    rows = rows.where(F.col("minor") | (F.col("n") >= F.col("low") * threshold) & (F.col("n") * threshold <= F.col("high")))
+    own = F.pmod(F.xxhash64("doc"), F.when(F.col("minor"), F.col("minors")).otherwise(F.col("majors")).cast("long")).cast("int")
+    rows = rows.withColumn("own", own)
+    # Cells: a block of the others with a block of the largest component, and blocks of the others with each other.
+    across = F.transform(F.sequence(F.lit(0), F.col("majors") - 1), lambda b: F.struct(F.xxhash64("key", F.lit(0), "own", b).alias("cell"), F.lit(-1).alias("with")))
+    among = F.transform(
+        F.sequence(F.lit(0), F.col("minors") - 1), lambda c: F.struct(F.xxhash64("key", F.lit(1), F.least("own", c), F.greatest("own", c)).alias("cell"), c.alias("with"))
+    )
+    back = F.transform(F.sequence(F.lit(0), F.col("minors") - 1), lambda c: F.struct(F.xxhash64("key", F.lit(0), c, "own").alias("cell"), F.lit(-1).alias("with")))
+    rows = rows.withColumn("c", F.explode(F.when(F.col("minor"), F.concat(across, among)).otherwise(back)))
+    rows = rows.join(classes.select("doc", "sketch"), "doc").join(materialize(home, "home"), "doc")
+    rows = rows.select("c.cell", "key", "band", "doc", "component", "n", "sketch", "home", "minor", "own", "c.with")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "cell"):
-            cell, band, doc, component, size, home, own, other = (table.column(c).to_numpy() for c in ("cell", "band", "doc", "component", "n", "home", "own", "with"))
+            cell, key, band, doc, component, size, home, minor, own, other = (table.column(c).to_numpy() for c in ("cell", "key", "band", "doc", "component", "n", "home", "minor", "own", "with"))
             sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, REGISTERS)
             edges = np.flatnonzero(np.diff(cell, prepend=cell[0] - 1, append=cell[-1] + 1))
             found: list[tuple[np.ndarray, np.ndarray]] = []
+            again: list[int] = []
             for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                inner = own[x] == other[x] and (own[x:y] == other[x:y]).all()
-                for i in range(x, y - 1):
-                    j = np.arange(i + 1, y)
-                    j = j[(component[j] != component[i]) & (inner | (own[j] != own[i]))]
-                    if not len(j):
-                        continue
+                among = other[x] >= 0
+                same_block = among and (own[x:y] == own[x]).all()
+                for i in (x + np.flatnonzero(minor[x:y])).tolist():
+                    if among:
+                        j = np.arange(i + 1, y)
+                        j = j[(component[j] != component[i]) & (same_block | (own[j] != own[i]))]
+                    else:
+                        j = x + np.flatnonzero(~minor[x:y])
                     ratio = np.minimum(size[i], size[j]) / np.maximum(size[i], size[j])
                     j = j[ratio >= threshold]
+                    if not len(j):
+                        continue
                     equal = sketch[j] == sketch[i]
                     bands = equal[:, : BANDS * ROWS].reshape(len(j), BANDS, ROWS).all(2)
-                    j_first = bands.argmax(1) == band[i]
-                    j = j[j_first]
-                    above, same = (sketch[i] > sketch[j]).sum(1), equal[j_first].sum(1)
-                    good = likely(above, REGISTERS - above - same, same, np.full(len(j), float(size[i])), size[j].astype(float), threshold) if len(j) else np.zeros(0, bool)
-                    if good.any():
-                        found.append((np.full(int(good.sum()), i), j[good]))
+                    first = bands.argmax(1) == band[i]
+                    j = j[first]
+                    above, same = (sketch[i] > sketch[j]).sum(1), equal[first].sum(1)
+                    good = np.flatnonzero(likely(above, REGISTERS - above - same, same, np.full(len(j), float(size[i])), size[j].astype(float), threshold)) if len(j) else j
+                    if best_only and len(good) > 1:
+                        again.append(int(key[i]))
+                        good = good[[same[good].argmax()]]
+                    if len(good):
+                        found.append((np.full(len(good), i), j[good]))
+            if again:
+                keys = np.unique(again)
+                none = pa.nulls(len(keys), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.int64()), none, none, pa.array(keys)], names=["tile", "a", "b", "key"])
             if not found:
                 continue
             left, right = (np.concatenate(f) for f in zip(*found, strict=True))
@@ -246,11 +320,12 @@ def _residual(members: DataFrame, labels: DataFrame, classes: DataFrame, thresho
             cuts = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]]))
             ends = pa.array(np.append(cuts, len(tile)).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(as_long(tile[cuts])), pa.ListArray.from_arrays(ends, pa.array(doc[left])), pa.ListArray.from_arrays(ends, pa.array(doc[right]))],
-                names=["tile", "a", "b"],
+                [pa.array(as_long(tile[cuts])), pa.ListArray.from_arrays(ends, pa.array(doc[left])), pa.ListArray.from_arrays(ends, pa.array(doc[right])), pa.nulls(len(cuts), pa.int64())],
+                names=["tile", "a", "b", "key"],
             )
 
-    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(compare, "tile long, a array<long>, b array<long>")
+    dealt = rows.repartition(_tasks(others.sparkSession), "cell").sortWithinPartitions("cell")
+    return materialize(dealt.mapInArrow(compare, "tile long, a array<long>, b array<long>, key long"), "rest")
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
@@ -258,38 +333,63 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
     Words are runs of anything but ASCII white space, lower-cased (A-Z). Documents link if
     100 * intersection >= ``percent`` * union of their shingle sets; component_id is the smallest id that links
-    reach. A null or empty text has no shingles and links with nothing. Ids are integers; a row without id gets a
-    null component. Rows that share an id count as one document of its rows' sets, each row being returned. Other
-    columns are ignored.
+    reach. A null or empty text has no shingles and links with nothing, whatever other rows of its id hold. Ids are integers; a row without id gets a
+    null component and links with nothing. Rows that share an id are one document with all its rows' sets: what links
+    with any of them is in its component, and each row is returned with its own set's size. Other columns are ignored;
+    an empty table gives no rows.
     """
     slim = documents.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     threshold = percent / 100
+    told = ["n", "h1", "h2"]
     sketched = materialize(_sketches(slim, n), "sketches")
-    classes = sketched.where("n > 0 and doc is not null").groupBy("n", "h1", "h2").agg(F.min("doc").alias("doc"), F.first("sketch").alias("sketch"))
-    classes = materialize(classes, "classes")
+    classes = sketched.where("n > 0 and doc is not null").groupBy(*told).agg(F.min("doc").alias("least"), F.first("sketch").alias("sketch"))
+    classes = materialize(classes.withColumn("doc", F.monotonically_increasing_id()), "classes")
     keys = F.array(*(F.struct(F.xxhash64(F.substring("sketch", b * ROWS + 1, ROWS), F.lit(b)).alias("key"), F.lit(b).alias("band")) for b in range(BANDS)))
     buckets = classes.select("doc", F.explode(keys).alias("k")).select("doc", "k.key", "k.band")
     order = F.struct(F.xxhash64("doc").alias("rank"), F.col("doc"))
     leaders = buckets.groupBy("key").agg(F.count("*").alias("size"), F.min(order)["doc"].alias("leader")).where("size > 1").select("key", "leader")
     members = materialize(buckets.join(materialize(leaders, "leaders"), "key"), "members")
-    texts = slim.where("doc is not null").join(members.select("doc").distinct(), "doc", "left_semi")
-    sets = materialize(_full_sets(texts, n), "sets").dropDuplicates(["doc"])
-
-    stars = members.where("doc != leader").select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct()
-    stars = materialize(_likely_pairs(stars, classes, threshold), "stars")
-    sizes = stars.groupBy("a").agg(F.count("*").alias("size"))
-    tile = F.xxhash64("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("size") / BLOCK)))
-    tiles = stars.join(sizes, "a").groupBy(tile.alias("tile")).agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
-    links = materialize(_confirm(tiles, sets, percent), "links")
-    labels = materialize(connected_components(links).toDF("doc", "component"), "labels")
-
-    rest = materialize(_residual(members, labels, classes, threshold), "rest")
-    more = materialize(_confirm(rest, sets, percent), "links")
-    labels = connected_components(links.unionByName(more)).toDF("doc", "component")
-    known = classes.join(labels, "doc", "left").select("n", "h1", "h2", F.coalesce("component", "doc").alias("component"))
-    known = materialize(known, "components")
-    out = sketched.select("doc", "n", "h1", "h2").join(known, ["n", "h1", "h2"], "left")
-    component = F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc"))
+    wanted = classes.join(members.select("doc").distinct(), "doc", "left_semi").select("least", *told, "doc")
+    texts = slim.where("doc is not null").join(wanted.select(F.col("least").alias("doc")).distinct(), "doc", "left_semi")
+    sets = materialize(_full_sets(texts, n).join(wanted, ["least", *told]).select("doc", "shingles"), "sets").dropDuplicates(["doc"])
+
+    links = _stars(members.where("doc != leader").select(F.col("leader").alias("a"), F.col("doc").alias("b")), classes, sets, threshold, percent)
+    # Sets of one id belong together whatever they hold.
+    of_id = sketched.where("n > 0 and doc is not null").select(F.col("doc").alias("id"), *told).distinct()
+    several = of_id.groupBy("id").agg(F.count("*").alias("sets")).where("sets > 1").select("id")
+    owners = of_id.join(several, "id").join(classes.select(*told, "doc"), told)
+    links = links.unionByName(materialize(owners.groupBy("id").agg(F.min("doc").alias("src")).join(owners, "id").select("src", F.col("doc").alias("dst")).where("src != dst"), "owners"))
+    labels = _relabel(links)
+    mixed = _mixed(members, labels)
+    discard(members)
+    enough = links.count() / 20
+    for step in range(1, 100):
+        rank = F.struct(F.xxhash64("doc", F.lit(step)).alias("rank"), F.col("doc"), F.col("component").alias("own"))
+        heads = mixed.groupBy("key").agg(F.min(rank).alias("head"))
+        pairs = mixed.join(heads, "key").where(F.col("component") != F.col("head.own"))
+        more = _stars(pairs.select(F.col("head.doc").alias("a"), F.col("doc").alias("b")), classes, sets, threshold, percent)
+        new = more.count()
+        if not new:
+            break
+        links, labels, mixed = _joined(links, more, mixed)
+        if new < enough:
+            break
+
+    rest = _residual(mixed, classes, threshold, True)
+    more = materialize(_confirm(rest.where("tile is not null").drop("key"), sets, percent), "links")
+    again = materialize(rest.where("key is not null").select("key").distinct(), "again")
+    links, labels, left = _joined(links, more, mixed.join(again, "key", "left_semi"))
+    discard(mixed)
+    discard(rest)
+    rest = _residual(left, classes, threshold, False)
+    more = materialize(_confirm(rest.drop("key"), sets, percent), "links")
+    if not more.isEmpty():
+        labels = _relabel(links.unionByName(more))
+    known = classes.join(labels, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    least = known.groupBy("component").agg(F.min("least").alias("component_id"))
+    known = materialize(known.join(least, "component").select(*told, "component_id"), "components")
+    out = sketched.select("doc", *told).join(known, told, "left")
+    component = F.when(F.col("doc").isNotNull(), F.coalesce("component_id", "doc"))
     return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
