@@ -117,3 +117,17 @@ def test_revision_for_date(make_revisions):
     assert A.revision_for_date(rev).first() == (1, 4)
     assert A.revision_for_date(rev, "2020-01-02", "2020-01-05").first() == (2, 3)
     assert A.revision_for_date(rev, "2020-01-02", "2020-01-20").first() == (2, 4)
+
+
+def test_date_in_range_of_the_whole_log(spark, make_revisions, tmp_path):
+    rev = make_revisions([(i, f"2020-0{1 + i // 3}-01 12:00:00", "a") for i in range(6)] + [(6, None, "a")])
+    assert rows(C.date_in_range(rev, rev.filter("revno < 3")), "revno") == [(0,), (1,), (2,)]
+    # The registered query takes its range from all events, those after number 300 too.
+    events = spark.range(600).selectExpr(
+        "id AS event_id", "CAST(date_add(DATE'2020-01-01', CAST(id AS int)) AS timestamp_ntz) AS ts", "id AS user_id",
+        "'view' AS event_type", "1.0D AS value", "'{}' AS props",
+    )
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    from revtide.catalog import QUERIES
+
+    assert rows(QUERIES["date_in_range"](spark, str(tmp_path))) == [("view", 600)]
