@@ -9,6 +9,7 @@ from collections import deque
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from revtide.operators import edges as E
 from revtide.operators import graph as G
@@ -362,3 +363,29 @@ def test_closeness_on_every_day(make_revisions, make_changes):
     for pair_rows in (10_000_000, 1):
         table = closeness_over_time(make_revisions(log), make_changes(files), pair_rows=pair_rows)
         assert {(r.author, str(r.day)): r.closeness for r in table.collect()} == {k: pytest.approx(v) for k, v in want.items()}
+
+
+def test_hops_over_several_pieces_and_blocks(spark):
+    """A ring longer than a block of nodes and a piece of sources, a hub with many leaves, and a pair."""
+    n = 4500
+    ring = spark.range(n).selectExpr("concat('r', id) AS src", f"concat('r', (id + 1) % {n}) AS dst", "1.0D AS weight")
+    star = spark.range(5000).selectExpr("'hub' AS src", "concat('s', id) AS dst", "1.0D AS weight")
+    e = ring.unionByName(star).unionByName(spark.createDataFrame([("p", "q", 1.0)], SCHEMA))
+    found = G.hop_profile(e, max_hops=2).groupBy(F.substring("node", 1, 1).alias("kind"), "hops", "reached").count()
+    want = [("h", 0, 1, 1), ("h", 1, 5001, 1), ("p", 0, 1, 1), ("p", 1, 2, 1), ("q", 0, 1, 1), ("q", 1, 2, 1)]
+    want += [("r", 0, 1, n), ("r", 1, 3, n), ("r", 2, 5, n), ("s", 0, 1, 5000), ("s", 1, 2, 5000), ("s", 2, 5001, 5000)]
+    assert rows(found) == sorted(want)
+    assert len(G._batches(spark.range(5000).selectExpr("id AS _id", "1 AS component"), spark.range(9).selectExpr("1 AS component"), 5000, None, 9)) == 3
+
+
+def test_hops_are_sent_once_to_a_block(spark):
+    """What a step moves does not grow with a node's links: 200 neighbours in one block cost one row."""
+    e = spark.range(200).selectExpr("'hub' AS src", "concat('s', id) AS dst", "1.0D AS weight")
+    ways = []
+    spread = G._spread_bits
+    try:
+        G._spread_bits = lambda w, *a: (ways.append(w.count()), spread(w, *a))[1]
+        assert G.hop_profile(e).count() == 2 + 3 * 200
+    finally:
+        G._spread_bits = spread
+    assert ways == [1 + 200]
