@@ -365,6 +365,15 @@ def test_closeness_on_every_day(make_revisions, make_changes):
         assert {(r.author, str(r.day)): r.closeness for r in table.collect()} == {k: pytest.approx(v) for k, v in want.items()}
 
 
+def test_core_peels_in_rounds_and_keeps_parallel_edges(spark):
+    """A chain hangs from a clique of four; links given twice or backwards count once."""
+    clique = [(a, b, 1.0) for a, b in itertools.combinations("abcd", 2)]
+    e = [*clique, ("b", "a", 2.0), ("a", "b", 1.0), ("a", "a", 1.0), ("d", "e", 1.0), ("e", "f", 1.0), ("f", "e", 1.0), (None, "a", 1.0)]
+    got = rows(G.k_core(spark.createDataFrame(e, SCHEMA), 3))
+    assert got == sorted([*clique, ("a", "b", 1.0), ("b", "a", 2.0)])
+    assert G.k_core(spark.createDataFrame(e, SCHEMA), 4).count() == 0
+
+
 def test_hops_over_several_pieces_and_blocks(spark):
     """A ring longer than a block of nodes and a piece of sources, a hub with many leaves, and a pair."""
     n = 4500
