@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 
 from revtide.operators.base import attach, dense_ids, hash_bucket
 from revtide.operators.graph import PAIR_ROWS
-from revtide.session import cut_lineage
+from revtide.session import cut_lineage, store
 
 
 def _first_links(revisions: DataFrame, changes: DataFrame) -> DataFrame:
@@ -80,39 +80,34 @@ def _author_steps(links: DataFrame, authors: DataFrame) -> DataFrame:
 
     Links only appear, so all days are walked at once: what counts of a path is its
     latest link, and a step takes the earliest day over all paths with one link more.
-    Rows are kept only where one more hop reaches a node on an earlier day.
+    Rows are kept only where one more hop reaches a node on an earlier day. Every
+    link joins an author to a path, so steps lead to paths and to authors in turn.
     """
-    ways = links.select(
-        F.explode(
-            F.array(
-                F.struct(F.col("a").alias("u"), F.col("f").alias("v")), F.struct(F.col("f").alias("u"), F.col("a").alias("v"))
-            )
-        ).alias("e"),
-        F.col("day").alias("_day"),
-    ).select("e.*", "_day")
-    step = cut_lineage(
+    step = store(
         links.join(authors, "a", "left_semi").groupBy(F.col("a").alias("author")).agg(F.min("day").alias("day"))
-        .select("author", F.col("author").alias("node"), F.lit(0).alias("hops"), "day")
+        .select("author", F.col("author").alias("node"), "day")
     )
-    out, best, hop = step, step.select("author", "node", "day"), 0
+    none = step.limit(0)
+    out, hop = step.select("author", "node", F.lit(0).alias("hops"), "day"), 0
+    best = {"a": step, "f": none}
     while not step.isEmpty():
         hop += 1
+        at, to = ("a", "f") if hop % 2 else ("f", "a")
         offers = (
-            step.select("author", F.col("node").alias("u"), "day")
-            .join(ways, "u")
-            .groupBy("author", F.col("v").alias("node"))
-            .agg(F.min(F.greatest("day", "_day")).alias("day"))
+            step.select("author", F.col("node").alias(at), "day")
+            .join(links.withColumnRenamed("day", "_day"), at)
+            .groupBy("author", F.col(to).alias("node"))
+            .agg(F.min(F.greatest("day", "_day")).alias("_offer"), F.lit(True).alias("_got"))
         )
-        known = best.withColumnRenamed("day", "_was")
-        step = cut_lineage(
-            offers.join(known, ["author", "node"], "left")
-            .filter(F.col("_was").isNull() | (F.col("day") < F.col("_was")))
-            .select("author", "node", F.lit(hop).alias("hops"), "day")
-        )
-        out = out.unionByName(step)
-        best = cut_lineage(
-            best.unionByName(step.select("author", "node", "day")).groupBy("author", "node").agg(F.min("day").alias("day"))
+        earlier = F.col("_got") & (F.col("day").isNull() | (F.col("_offer") < F.col("day")))
+        merged = store(
+            best[to].join(offers, ["author", "node"], "full_outer")
+            .select("author", "node", F.least("day", "_offer").alias("day"), F.coalesce(earlier, F.lit(False)).alias("_new"))
         )
+        best[to] = merged.select("author", "node", "day")
+        step = merged.filter("_new").drop("_new")
+        out = out.unionByName(step.select("author", "node", F.lit(hop).alias("hops"), "day"))
+    # Paths and authors have numbers of their own: at odd hops lie paths.
     return out
 
 
@@ -127,18 +122,19 @@ def closeness_over_time(
     until the day it is in fewer; sums over nodes change on such days only.
     """
     first = _first_links(revisions, changes)
-    links = cut_lineage(
-        first.select(F.concat(F.lit("a:"), "author").alias("a"), F.concat(F.lit("f:"), "changedpath").alias("f"), "day")
-    )
-    authors = links.select(F.col("a").alias("node")).distinct()
-    authors = cut_lineage(dense_ids(authors, hash_bucket("node"), ["node"], "_id", 0))
+    named = store(first)
+    # Authors and paths go by numbers; links of a path lie together, so that offers to it are merged where they are made.
+    authors = store(dense_ids(named.select("author").distinct(), hash_bucket("author"), ["author"], "_id", 0))
+    paths = dense_ids(named.select("changedpath").distinct(), hash_bucket("changedpath"), ["changedpath"], "f", 0)
+    numbered = named.join(authors.select("author", F.col("_id").alias("a")), "author", "left").join(paths, "changedpath", "left")
+    links = store(numbered.select("a", "f", "day").repartition("f"))
     nodes = links.agg((F.count_distinct("a") + F.count_distinct("f")).alias("n")).first()["n"]
     batch = max(1, pair_rows // max(nodes, 1))
     shifts: DataFrame | None = None
     for start in range(0, authors.count(), batch):
-        own = authors.filter((F.col("_id") >= start) & (F.col("_id") < start + batch)).select(F.col("node").alias("a"))
+        own = authors.filter((F.col("_id") >= start) & (F.col("_id") < start + batch)).select(F.col("_id").alias("a"))
         steps = _author_steps(links, own)
-        until = F.lag("day").over(W.partitionBy("author", "node").orderBy("hops"))
+        until = F.lag("day").over(W.partitionBy("author", "node", F.col("hops") % 2).orderBy("hops"))
         moved = steps.withColumn("_until", until).select(
             "author",
             F.explode(
@@ -153,7 +149,7 @@ def closeness_over_time(
     calendar = _degree_by_day(revisions, changes).select("author", "day", "_nodes")
     if shifts is None:
         return calendar.select("author", "day", F.lit(None).cast("double").alias("closeness"))
-    shifts = shifts.withColumn("author", F.substring("author", 3, 2147483647))
+    shifts = shifts.withColumnRenamed("author", "_id").join(authors, "_id").drop("_id")
     run = W.partitionBy("author").orderBy("day").rowsBetween(W.unboundedPreceding, 0)
     r = F.sum(F.coalesce("_r", F.lit(0))).over(run) - 1
     d = F.sum(F.coalesce("_d", F.lit(0))).over(run)

@@ -398,3 +398,17 @@ def test_hops_are_sent_once_to_a_block(spark):
     finally:
         G._spread_bits = spread
     assert ways == [1 + 200]
+
+
+def test_walks_of_authors_move_numbers_only(spark, make_revisions, make_changes, monkeypatch):
+    """Names stay out of the steps, and a step joins links in the one direction that it can go."""
+    from revtide.operators import timeline
+
+    seen = []
+    walk = timeline._author_steps
+    monkeypatch.setattr(timeline, "_author_steps", lambda links, own: (seen.append(dict(links.dtypes)), walk(links, own))[1])
+    rev = make_revisions([(1, "2020-01-01", "a"), (2, "2020-01-02", "b"), (3, "2020-01-03", "b"), (4, "2020-01-04", None)])
+    ch = make_changes([(1, "/x", "A"), (2, "/y", "A"), (3, "/x", "M"), (4, "/z", "A")])
+    got = {(r.author, r.day.day): r.closeness for r in timeline.closeness_over_time(rev, ch).collect() if r.author}
+    assert got[("a", 1)] == 1.0 and got[("a", 3)] == pytest.approx(3 / 6)
+    assert seen == [{"a": "bigint", "f": "bigint", "day": "date"}]
