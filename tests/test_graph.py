@@ -412,3 +412,55 @@ def test_walks_of_authors_move_numbers_only(spark, make_revisions, make_changes,
     got = {(r.author, r.day.day): r.closeness for r in timeline.closeness_over_time(rev, ch).collect() if r.author}
     assert got[("a", 1)] == 1.0 and got[("a", 3)] == pytest.approx(3 / 6)
     assert seen == [{"a": "bigint", "f": "bigint", "day": "date"}]
+
+
+def _odd_log(make_revisions, make_changes):
+    import random
+
+    r = random.Random(5)
+    days = "2024-01-01 00:00:00"
+    revs = [(n, days, r.choice(["a", "b", "c", "", None])) for n in range(1, 60)] + [(7, days, "b"), (8, days, None)]
+    chs = [(r.randint(1, 62), r.choice(["/p", "/q", "/r", None]), "M", r.choice([0, 1, 5, 9]), 0) for _ in range(150)]
+    chs += chs[:20]
+    return make_revisions(revs), make_changes([(n, p or "/none", *x) for n, p, *x in chs]).withColumn(
+        "changedpath", F.when(F.col("changedpath") != "/none", F.col("changedpath"))
+    ), revs, chs
+
+
+@pytest.mark.parametrize("busy_rows", [1, 1000])
+def test_coauthor_edges_of_busy_and_other_paths(make_revisions, make_changes, monkeypatch, busy_rows):
+    monkeypatch.setattr(E, "DIRECT_ROWS", 3)
+    rev, ch, revs, chs = _odd_log(make_revisions, make_changes)
+    mine = [(p, a or "Unknown", n, x) for n, p, _, x, _ in chs if p and x > 0 for m, _, a in revs if m == n]
+    first = {}
+    for p, a, n, _ in mine:
+        first[p, a] = min(n, first.get((p, a), n))
+    want = {}
+    for p, a, n, x in mine:
+        for (q, b), f in first.items():
+            if q == p and b != a and f <= n:
+                want[a, b] = want.get((a, b), 0) + x
+    got = {(x.src, x.dst): x.weight for x in E.coauthor_edges(rev, ch, busy_rows=busy_rows).collect()}
+    assert got == {k: w for k, w in want.items() if w > 1}
+
+
+@pytest.mark.parametrize("busy_rows", [1, 1000])
+@pytest.mark.parametrize("direct", [1, 4, 500])
+def test_coauthor_matrix_of_busy_and_other_paths(make_revisions, make_changes, direct, busy_rows):
+    rev, ch, revs, chs = _odd_log(make_revisions, make_changes)
+    mine = [(p, a, n, x) for n, p, _, x, _ in chs if p for m, _, a in revs if m == n]
+    want = {}
+    for p, a, n, _ in mine:
+        for q, b, m, x in mine:
+            if p == q and m <= n:
+                want[a, b] = want.get((a, b), 0) + x
+    got = {(x.src, x.dst): x.weight for x in E.coauthor_matrix(rev, ch, direct_rows=direct, busy_rows=busy_rows).collect()}
+    assert got == want
+
+
+def test_coauthor_steps_move_narrow_rows(make_revisions, make_changes):
+    """Paths go once to their task; what meets are numbers, and no authors are listed per row."""
+    rev, ch, *_ = _odd_log(make_revisions, make_changes)
+    for df in (E.coauthor_edges(rev, ch), E.coauthor_matrix(rev, ch)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "changedpath" not in plan
