@@ -22,7 +22,7 @@ from revtide.functions.cooling import (
     hours_between,
 )
 from revtide.operators.aggregates import author_ranking
-from revtide.operators.base import SHARES, attach, per_group, revno_share, share_bucket, top_n
+from revtide.operators.base import SHARES, attach, dealt, per_group, revno_share, share_bucket, top_n
 from revtide.operators.scope import log_end, path_scope
 
 
@@ -116,13 +116,15 @@ def author_temperature(
 
 def _file_events(revisions: DataFrame, changes: DataFrame, group_cols: Sequence[str], shares: int) -> DataFrame:
     on = [*group_cols, "revno"]
+    files = changes.filter(F.col("pathtype") == "F")
     hits = (
-        changes.filter(F.col("pathtype") == "F")
+        files
         .groupBy(*on, "changedpath")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
     dated = hits.join(revisions.select(*on, "commitdate"), on)
-    return dated.withColumn("_b", revno_share(changes, shares))
+    # What follows sorts within (path, bucket): tasks are bounded, however long the log.
+    return dealt(dated.withColumn("_b", revno_share(changes, shares)), [*group_cols, "changedpath", "_b"], files.count())
 
 
 def _with_clock(events: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

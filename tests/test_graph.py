@@ -464,3 +464,25 @@ def test_coauthor_steps_move_narrow_rows(make_revisions, make_changes):
     for df in (E.coauthor_edges(rev, ch), E.coauthor_matrix(rev, ch)):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert "changedpath" not in plan
+
+
+@pytest.mark.parametrize("block", [1, 3, 512])
+def test_pairs_of_small_and_large_revisions(make_revisions, make_changes, block):
+    r = random.Random(3)
+    chs = [(r.randint(1, 12), f"/{r.choice('abcdefghij')}", "M", 1, 0) for _ in range(90)]
+    rev, ch = make_revisions([(n, "2020-01-01", "x") for n in range(1, 13)]), make_changes(chs)
+    want = {}
+    for n, p, *_ in chs:
+        for m, q, *_ in chs:
+            if n == m and p < q:
+                want[p, q] = want.get((p, q), 0) + 1
+    assert {(x.src, x.dst): x.weight for x in E.cochange_edges(ch, block=block).collect()} == want
+    heavy = E.cochange_edges_decayed(rev, ch, block=block, min_weight=40.0)
+    assert {(x.src, x.dst): x.weight for x in heavy.collect()} == {k: 10.0 * w for k, w in want.items() if w >= 4}
+
+
+def test_changes_move_once_to_their_revision(make_changes):
+    """Rows are dealt by revision alone, so sizes and small revisions' pairs need no shuffle of their own."""
+    plan = E.cochange_edges(make_changes([(1, "/a", "A"), (1, "/b", "A")]))._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Final Plan ==")[0].count("hashpartitioning(revno#") >= 1
+    assert "hashpartitioning(changedpath" not in plan and ", changedpath#" not in "".join(x.split("hashpartitioning(")[1].split(")")[0] for x in plan.splitlines() if "hashpartitioning(" in x)

@@ -221,3 +221,18 @@ def test_scans_over_one_day(spark, make_revisions, same):
         peak = max(peak, float(revno % 97))
         want[t] = peak
     assert {r.commitdate: r.activity for r in activity.collect()} == {k: pytest.approx(v) for k, v in want.items() if v > 1.1}
+
+
+def test_tasks_hold_a_bounded_number_of_rows(spark, make_revisions, make_changes, monkeypatch):
+    from revtide.operators import base
+
+    df = spark.range(100).withColumn("k", F.col("id") % 50)
+    assert base.dealt(df, ["k"], 100) is df
+    assert base.dealt(df, ["k"], 100, 10).rdd.getNumPartitions() == 10
+    rev = make_revisions([(n, f"2020-01-{n % 28 + 1:02}", "x") for n in range(1, 200)])
+    ch = make_changes([(n, f"/p{n % 7}", "M", 1, 0) for n in range(1, 200)])
+    plain = rows(H.file_temperature(rev, ch))
+    monkeypatch.setattr(H, "dealt", lambda d, keys, n: base.dealt(d, keys, n, 10))
+    many = H.file_temperature(rev, ch)
+    assert "REPARTITION_BY_NUM" in many._jdf.queryExecution().executedPlan().toString()
+    assert rows(many) == plain
