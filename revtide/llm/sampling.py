@@ -15,6 +15,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +37,8 @@ SAMPLE = T.StructType(
         T.StructField("restored", T.BooleanType()),
     ]
 )
-#: Bytes of text that are searched together, and lattice edges of words that a task remembers.
-SLICE, REMEMBERED = 1 << 18, 3_000_000
+#: Bytes of text that are searched together, and lattice edges of words that a worker remembers.
+SLICE, REMEMBERED = 1 << 18, 6_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -85,7 +87,7 @@ class Lattice:
 
     def choose(self, place: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge of each place, by its probability."""
-        edge = self.edge[place]
+        edge = self.edge[place].astype(np.int64)
         todo = np.flatnonzero(self.summed[edge] < u)
         while len(todo):
             edge[todo] += 1
@@ -102,9 +104,8 @@ class Lattice:
 
 def build_lattice(words: list[str], table: PieceTable) -> Lattice:
     """Lattices of words behind a space mark; U+2581 in a word itself is no space: it only goes into bytes."""
-    marked = [SPACE + w for w in words]
-    points = np.frombuffer("".join(marked).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
-    lengths = np.array([len(w) for w in marked], np.int64)
+    points = np.frombuffer((SPACE + SPACE.join(words)).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
     first = np.concatenate([[0], np.cumsum(lengths)])
     n = len(points)
     rest = np.repeat(first[1:], lengths) - np.arange(n)
@@ -136,7 +137,7 @@ def build_lattice(words: list[str], table: PieceTable) -> Lattice:
         longer = (sign & 1) > 0
         at, value = at[longer], value[longer]
     start, length, ids, score = (np.concatenate(f) for f in zip(*found, strict=True))
-    order = np.argsort(rest[start] * (n + 1) + start, kind="stable")  # level by level, from the words' ends
+    order = np.argsort((rest[start] * (n + 1) + start) * (table.longest + 1) + length)  # level by level, from the words' ends
     start, length, ids, score = start[order], length[order], ids[order], score[order]
     begin = np.flatnonzero(np.concatenate([[True], start[1:] != start[:-1]]))
     degree = np.diff(np.append(begin, len(start)))
@@ -164,43 +165,84 @@ def build_lattice(words: list[str], table: PieceTable) -> Lattice:
     return Lattice(start, length, ids, log_chance, summed, edge, degrees, rest, first, points)
 
 
+class Numbers(dict):
+    """Numbers of words in the order in which they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        return number
+
+
 class Words:
-    """Lattices of all words that a task has met, side by side; emptied when there are more than ``REMEMBERED`` edges."""
+    """Lattices of the words that a worker's tasks have met, side by side.
+
+    When there are more than ``REMEMBERED`` edges, those stay that most slices had, up to half as many edges, and no word of one slice only.
+    """
 
     def __init__(self, table: PieceTable):
         self.table = table
-        self._forget()
-
-    def _forget(self) -> None:
-        self.numbers: dict[str, int] = {}
-        self.held = {f: np.zeros(1024, np.float64 if f in ("log_chance", "summed") else np.int32 if f in ("length", "ids") else np.uint64 if f == "points" else np.int64) for f in Lattice.__dataclass_fields__}
+        self.numbers = Numbers()
+        self.met = np.zeros(0, np.int64)  # slices that had a word
+        kinds = dict.fromkeys(("log_chance", "summed"), np.float64) | {"first": np.int64, "length": np.int16, "degree": np.int16}
+        self.held = {f: np.zeros(1024, kinds.get(f, np.int32)) for f in Lattice.__dataclass_fields__}
         self.used = dict.fromkeys(self.held, 0)
         self._append("first", np.zeros(1, np.int64))
 
     def _append(self, name: str, values: np.ndarray) -> None:
         at, to = self.used[name], self.used[name] + len(values)
         if to > len(self.held[name]):
-            self.held[name] = np.concatenate([self.held[name], np.zeros(max(to - len(self.held[name]), len(self.held[name])), self.held[name].dtype)])
+            more = np.empty(2 * to, self.held[name].dtype)
+            more[:at] = self.held[name][:at]
+            self.held[name] = more
         self.held[name][at:to] = values
         self.used[name] = to
 
-    def lattice(self, texts: list[list[str]]) -> tuple[Lattice, list[np.ndarray]]:
-        """A lattice that has all words of the texts, and the numbers of each text's words in it."""
+    def _forget(self) -> None:
+        old = self._all()
+        sizes = np.add.reduceat(old.degree, old.first[:-1], dtype=np.int64)
+        order = np.argsort(-self.met, kind="stable")
+        keep = np.sort(order[(self.met[order] > 1) & (np.cumsum(sizes[order]) <= REMEMBERED // 2)])
+        lengths = (old.first[1:] - old.first[:-1])[keep]
+        place = _ranges(old.first[keep], lengths)
+        degree = old.degree[place]
+        edge = _ranges(old.edge[place], degree)
+        kept = {f: getattr(old, f)[edge] for f in ("length", "ids", "log_chance", "summed")} | {f: getattr(old, f)[place] for f in ("rest", "points")}
+        kept |= {"degree": degree, "edge": np.cumsum(degree, dtype=np.int64) - degree, "start": np.repeat(np.arange(len(place)), degree), "first": np.concatenate([[0], np.cumsum(lengths)])}
+        self.used = dict.fromkeys(self.held, 0)
+        for name, values in kept.items():
+            self._append(name, values)
+        words = list(self.numbers)
+        self.numbers = Numbers((words[w], i) for i, w in enumerate(keep.tolist()))
+        self.met = self.met[keep] // 2
+
+    def _all(self) -> Lattice:
+        return Lattice(**{name: values[: self.used[name]] for name, values in self.held.items()})
+
+    def lattice(self, words: list[str]) -> tuple[Lattice, np.ndarray]:
+        """A lattice that has all the words, and their numbers in it."""
         if self.used["start"] > REMEMBERED:
             self._forget()
-        get = self.numbers.get
-        found = [list(map(get, words)) for words in texts]
-        new = list(dict.fromkeys(w for words, own in zip(texts, found, strict=True) if None in own for w, x in zip(words, own, strict=True) if x is None))
-        if new:
-            more, edges, places, known = build_lattice(new, self.table), self.used["start"], self.used["edge"], len(self.numbers)
+        known = len(self.numbers)
+        own = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+        if count := len(self.numbers) - known:
+            new = list(islice(reversed(self.numbers), count))[::-1]
+            more, edges, places = build_lattice(new, self.table), self.used["start"], self.used["edge"]
             for name in ("length", "ids", "log_chance", "summed", "degree", "rest", "points"):
                 self._append(name, getattr(more, name))
             self._append("start", more.start + places)
             self._append("edge", more.edge + edges)
             self._append("first", more.first[1:] + places)
-            self.numbers.update(zip(new, range(known, known + len(new)), strict=True))
-            found = [list(map(get, words)) if None in own else own for words, own in zip(texts, found, strict=True)]
-        return Lattice(**{name: values[: self.used[name]] for name, values in self.held.items()}), [np.array(own, np.int64) for own in found]
+            self.met = np.concatenate([self.met, np.zeros(count, np.int64)])
+        seen = np.zeros(len(self.met), bool)
+        seen[own] = True
+        self.met += seen
+        return self._all(), own
+
+
+def _ranges(begin: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """All numbers from each ``begin`` on, as many as ``lengths`` says."""
+    ends = np.cumsum(lengths, dtype=np.int64)
+    return np.repeat(begin - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
 def _uniform(key: np.ndarray, *parts: np.ndarray) -> np.ndarray:
@@ -290,8 +332,7 @@ def draw(texts: list[str], keys: np.ndarray, words: Words, k: int) -> Samples:
     if not counts.sum():
         return Samples(*(np.zeros(n, kind) for n, kind in ((0, np.int64), (0, np.int32), (1, np.int64), (0, float), (0, float), (0, float))))
     table = words.table
-    lattice, numbers = words.lattice(split)
-    kind = np.concatenate(numbers)
+    lattice, kind = words.lattice(list(chain.from_iterable(split)))
     doc = np.repeat(np.arange(size), counts)
     begin = np.cumsum(counts) - counts
     word = np.arange(len(doc)) - begin[doc]
@@ -310,7 +351,7 @@ def draw(texts: list[str], keys: np.ndarray, words: Words, k: int) -> Samples:
             free[turned] = lattice.fan(place[turned], used[turned])[1].sum(1)
         with np.errstate(divide="ignore"):
             location = before + np.log(free)
-        seed = mix(keys[doc] + np.uint64(1_000_003 * (7 + sample)))
+        seed = mix(keys + np.uint64(1_000_003 * (7 + sample)))[doc]
         u = _uniform(seed, (word << 20) + place - lattice.first[kind[begin[doc] + word]])
         return Steps(doc, word, edge, used, before, _truncated(location, u, bound[doc]))
 
@@ -459,6 +500,12 @@ def _restored(decoder: Decoder, found: Samples, texts: pa.Array) -> np.ndarray:
     return same
 
 
+@lru_cache(maxsize=1)
+def _tools(vocabulary: Vocabulary) -> tuple[Words, Decoder]:
+    """Made once for all tasks that a worker runs with the same vocabulary; no sample depends on what the words hold."""
+    return Words(PieceTable(vocabulary)), Decoder(vocabulary)
+
+
 def row_key(*columns: Column | str) -> Column:
     """The seed of a row's samples."""
     return F.xxhash64(*columns)
@@ -477,7 +524,7 @@ def sample_pieces(documents: DataFrame, samples: str = "samples", key_col: str =
     schema = T.StructType([*documents.schema.fields, T.StructField(samples, T.ArrayType(SAMPLE))])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, decoder = Words(PieceTable(shared.value)), Decoder(shared.value)
+        words, decoder = _tools(shared.value)
         for batch in batches:
             texts, keys = (batch.column(batch.schema.get_field_index(c)) for c in (text_col, key_col))
             for a, b in text_slices(texts, SLICE):

@@ -13,7 +13,7 @@ PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE, UNKNOWN_PENALTY = "▁", 10.0
 
 
-@dataclass
+@dataclass(eq=False)
 class Vocabulary:
     """Pieces with ids and log probabilities; ``byte_ids[b]`` is the piece of a single byte."""
 

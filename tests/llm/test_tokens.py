@@ -100,6 +100,25 @@ def test_samples_follow_the_distribution():
     assert abs(np.mean(weights) - 1) < 0.02
 
 
+def test_common_words_stay_when_room_runs_out(pieces, monkeypatch):
+    """They are built once, also when the words of single slices are forgotten, and no sample depends on it."""
+    monkeypatch.setattr(sampling, "REMEMBERED", 3_000)
+    build, built = sampling.build_lattice, Counter()
+    table = sampling.PieceTable(pieces)
+    words = sampling.Words(table)
+    for step in range(30):
+        texts = [" ".join(["the", "▁of", "and日", *(f"rare{step}word{j}" for j in range(20))]), "the  and日", ""]
+        keys = mix(np.arange(3, dtype=np.uint64) + np.uint64(step))
+        with monkeypatch.context() as m:
+            m.setattr(sampling, "build_lattice", lambda new, table: built.update(new) or build(new, table))
+            found = sampling.draw(texts, keys, words, 3)
+        alone = sampling.draw(texts, keys, sampling.Words(table), 3)
+        for name in found.__dataclass_fields__:
+            assert np.allclose(getattr(found, name), getattr(alone, name), rtol=1e-12), name
+    assert len(words.numbers) < 400 and built["rare0word0"] == 1
+    assert built["the"] == built["▁of"] == built["and日"] == 1
+
+
 def test_all_segmentations_when_k_is_large():
     words = {"▁": 0, "a": 1, "▁a": 2}
     table = sampling.PieceTable(vocabulary.Vocabulary(words, {"▁": -1.0, "a": -1.0, "▁a": -1.5}, list(range(10, 266)), -20.0, [*words]))
