@@ -14,8 +14,9 @@ union are the larger ones of both, and registers of similar sets agree often.
    of another component is compared with it, as long as such a round links a twentieth of what the first one did. So a
    group whose members link in many ways becomes one component.
 5. In buckets that are still mixed, the members outside the bucket's largest component are compared with all others, in
-   cells of bounded size inside tasks. Members of that component need not meet each other, so a large group costs a few
-   rows a member. First each gives its likeliest partner in a cell alone; where more were likely and confirming those
+   cells inside tasks. Members of that component need not meet each other. A bucket of up to ``CELL_ROOT`` squared rows
+   is one cell, so each member is sent once; cells grow with the square root of larger ones, and so does the number
+   of cells that get a member. First each gives its likeliest partner in a cell alone; where more were likely and confirming those
    has not made one component of the bucket, all likely pairs are confirmed. A task gives only the links that join
    components, so no link is lost, and nothing that leaves a task grows with the square of a group.
 6. Links give the components.
@@ -42,8 +43,10 @@ from revtide.operators.graph import connected_components
 
 REGISTERS, BASE, SCALE = 256, 1.1, 20.0
 BANDS, ROWS = 40, 5
-#: Documents of a bucket that one task compares with as many others.
+#: Pairs of a leader, or documents with the same home, that go into one tile.
 BLOCK = 256
+#: A block of a bucket of n documents has up to this times the square root of n; a cell compares two blocks.
+CELL_ROOT = 64
 #: Pairs stay while the threshold is less likely than the best estimate by a factor of at most e to this (four deviations).
 DOUBT = 8.0
 
@@ -244,20 +247,15 @@ def _relabel(links: DataFrame) -> DataFrame:
     return materialize(connected_components(links).toDF("doc", "component"), "labels")
 
 
-def _residual(others: DataFrame, classes: DataFrame, threshold: float, best_only: bool) -> DataFrame:
-    """Likely pairs of different components that share a bucket; ``others``: members of mixed buckets.
+def _cells(others: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """Members of mixed buckets, once for each cell (``c``) that they are compared in.
 
-    Rows either hold pairs (tile, a, b) or, with ``best_only``, the ``key`` of a bucket that has more likely pairs than
-    the best of each member.
+    A cell's rows agree on ``c.with``; each pair that is to be compared meets in one cell.
     """
-    # One of a document's buckets, chosen alike by all, keeps documents of a group together when tiles are cut.
-    home = others.groupBy("doc").agg(F.min_by("key", F.xxhash64("key")).alias("home"))
-    crowd = home.groupBy("home").agg(F.count("*").alias("crowd"))
-    home = home.join(crowd, "home").select("doc", F.xxhash64("home", F.pmod(F.xxhash64("doc"), F.ceil(F.col("crowd") / BLOCK))).alias("home"))
     sized = others.select("key", "band", "doc", "component").join(classes.select("doc", "n"), "doc")
     parts = sized.groupBy("key", "component").agg(F.count("*").alias("rows"), F.min("n").alias("low"), F.max("n").alias("high"))
     tops = parts.groupBy("key").agg(F.max(F.struct("rows", "component")).alias("top"), F.sum("rows").alias("all"))
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    blocks = lambda n: F.ceil(n / (CELL_ROOT * F.sqrt("all"))).cast("int")
     tops = tops.select("key", F.col("top.component").alias("most"), blocks(F.col("top.rows")).alias("majors"), blocks(F.col("all") - F.col("top.rows")).alias("minors"))
     spans = parts.join(tops, "key").where("component != most").groupBy("key", "most", "majors", "minors").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     rows = sized.join(spans, "key").withColumn("minor", F.col("component") != F.col("most"))
@@ -265,13 +263,29 @@ def _residual(others: DataFrame, classes: DataFrame, threshold: float, best_only
     rows = rows.where(F.col("minor") | (F.col("n") >= F.col("low") * threshold) & (F.col("n") * threshold <= F.col("high")))
     own = F.pmod(F.xxhash64("doc"), F.when(F.col("minor"), F.col("minors")).otherwise(F.col("majors")).cast("long")).cast("int")
     rows = rows.withColumn("own", own)
-    # Cells: a block of the others with a block of the largest component, and blocks of the others with each other.
-    across = F.transform(F.sequence(F.lit(0), F.col("majors") - 1), lambda b: F.struct(F.xxhash64("key", F.lit(0), "own", b).alias("cell"), F.lit(-1).alias("with")))
+    # Cells: a block of the others with a block of the largest component, and two blocks of the others. The first kind's
+    # cells on the diagonal (with: -2, others: -1) also compare their block of the others with itself.
+    cell = lambda c, b: F.struct(F.xxhash64("key", F.lit(0), c, b).alias("cell"), F.when(F.pmod(c, F.col("majors")) == b, -2).otherwise(-1).alias("with"))
+    across = F.transform(F.sequence(F.lit(0), F.col("majors") - 1), lambda b: cell(F.col("own"), b))
     among = F.transform(
-        F.sequence(F.lit(0), F.col("minors") - 1), lambda c: F.struct(F.xxhash64("key", F.lit(1), F.least("own", c), F.greatest("own", c)).alias("cell"), c.alias("with"))
+        F.filter(F.sequence(F.lit(0), F.col("minors") - 1), lambda c: c != F.col("own")),
+        lambda c: F.struct(F.xxhash64("key", F.lit(1), F.least("own", c), F.greatest("own", c)).alias("cell"), c.alias("with")),
     )
-    back = F.transform(F.sequence(F.lit(0), F.col("minors") - 1), lambda c: F.struct(F.xxhash64("key", F.lit(0), c, "own").alias("cell"), F.lit(-1).alias("with")))
-    rows = rows.withColumn("c", F.explode(F.when(F.col("minor"), F.concat(across, among)).otherwise(back)))
+    back = F.transform(F.sequence(F.lit(0), F.col("minors") - 1), lambda c: cell(c, F.col("own")))
+    return rows.withColumn("c", F.explode(F.when(F.col("minor"), F.concat(across, among)).otherwise(back)))
+
+
+def _residual(others: DataFrame, classes: DataFrame, threshold: float, best_only: bool) -> DataFrame:
+    """Likely pairs of different components that share a bucket; ``others``: members of mixed buckets.
+
+    Rows either hold pairs (tile, a, b) or, with ``best_only``, the ``key`` of a bucket that has more likely pairs than
+    the best of each member.
+    """
+    # One of a document's buckets, chosen alike by all, keeps documents of a group together when tiles are cut.
+    home = others.groupBy("doc").agg(F.min_by("key", F.xxhash64("key")).alias("home"))
+    crowd = home.groupBy("home").agg(F.count("*").alias("crowd"))
+    home = home.join(crowd, "home").select("doc", F.xxhash64("home", F.pmod(F.xxhash64("doc"), F.ceil(F.col("crowd") / BLOCK))).alias("home"))
+    rows = _cells(others, classes, threshold)
     rows = rows.join(classes.select("doc", "sketch"), "doc").join(materialize(home, "home"), "doc")
     rows = rows.select("c.cell", "key", "band", "doc", "component", "n", "sketch", "home", "minor", "own", "c.with")
 
@@ -284,13 +298,14 @@ def _residual(others: DataFrame, classes: DataFrame, threshold: float, best_only
             again: list[int] = []
             for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 among = other[x] >= 0
-                same_block = among and (own[x:y] == own[x]).all()
+                own_too = other[x] == -2
                 for i in (x + np.flatnonzero(minor[x:y])).tolist():
                     if among:
                         j = np.arange(i + 1, y)
-                        j = j[(component[j] != component[i]) & (same_block | (own[j] != own[i]))]
+                        j = j[(component[j] != component[i]) & (own[j] != own[i])]
                     else:
-                        j = x + np.flatnonzero(~minor[x:y])
+                        j = np.arange(x, y)
+                        j = j[~minor[x:y] | (own_too & (j > i) & (component[x:y] != component[i]))]
                     ratio = np.minimum(size[i], size[j]) / np.maximum(size[i], size[j])
                     j = j[ratio >= threshold]
                     if not len(j):

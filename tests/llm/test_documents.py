@@ -156,3 +156,35 @@ def test_near_duplicates_of_a_crowd(spark):
     got = {r.doc_id: r.component_id for r in setsketch.near_duplicates(table).collect()}
     assert got == dict(enumerate(component))
     assert setsketch.near_duplicates(table.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("root", [2, 64])
+def test_cells_of_a_mixed_bucket(spark, monkeypatch, root):
+    """Each pair but those of the largest component meets once; a bucket of four times the rows makes less than 16 times."""
+    monkeypatch.setattr(setsketch, "CELL_ROOT", root)
+
+    def cells(size: int):
+        # a component of two thirds, the rest in threes
+        component = [0 if d < 2 * size // 3 else d // 3 for d in range(size)]
+        others = spark.createDataFrame([(7, 1, d, c) for d, c in enumerate(component)], "key long, band int, doc long, component long")
+        classes = spark.createDataFrame([(d, 100) for d in range(size)], "doc long, n long")
+        return component, setsketch._cells(others, classes, 0.75).select("c.cell", "c.with", "doc", "minor", "own").collect()
+
+    made = {}
+    for size in (300, 1_200):
+        component, found = cells(size)
+        made[size] = len(found)
+        met: dict[tuple[int, int], int] = {}
+        for cell in {r.cell for r in found}:
+            held = [r for r in found if r.cell == cell]
+            kinds = {min(r["with"], 0) for r in held}
+            assert len(kinds) == 1
+            for x, a in enumerate(held) if size == 300 else ():
+                for b in held[x + 1 :]:
+                    minors = a.minor + b.minor
+                    if minors == 1 or minors == 2 and (kinds == {-2} or kinds == {0} and a.own != b.own):
+                        met[min(a.doc, b.doc), max(a.doc, b.doc)] = met.get((min(a.doc, b.doc), max(a.doc, b.doc)), 0) + 1
+        if size == 300:
+            assert met == {(a, b): 1 for b in range(size) for a in range(b) if component[a] or component[b]}
+    assert made[1_200] <= 10 * made[300]
+    assert root == 2 or made == {300: 300, 1_200: 1_200}
