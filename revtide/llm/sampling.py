@@ -37,8 +37,8 @@ SAMPLE = T.StructType(
         T.StructField("restored", T.BooleanType()),
     ]
 )
-#: Bytes of text that are searched together, and lattice edges of words that a worker remembers.
-SLICE, REMEMBERED = 1 << 18, 6_000_000
+#: Bytes of text that are searched together, and lattice edges of words that a task remembers.
+SLICE, REMEMBERED = 1 << 18, 4_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -47,7 +47,7 @@ class PieceTable:
 
     def __init__(self, vocabulary: Vocabulary):
         by_length: dict[int, list[tuple[int, int, float]]] = {}
-        self.filter = np.zeros(1 << 22, np.uint8)
+        self.filter = np.zeros(1 << 20, np.uint8)
         for piece, number in vocabulary.pieces.items():
             value, values = 0, []
             for c in piece:
@@ -67,7 +67,7 @@ class PieceTable:
 
     @staticmethod
     def spots(values: np.ndarray) -> np.ndarray:
-        return (values * _BASE >> np.uint64(42)).astype(np.int64)
+        return (values * _BASE >> np.uint64(44)).astype(np.int64)
 
 
 @dataclass
@@ -174,7 +174,7 @@ class Numbers(dict):
 
 
 class Words:
-    """Lattices of the words that a worker's tasks have met, side by side.
+    """Lattices of the words that a task has met, side by side.
 
     When there are more than ``REMEMBERED`` edges, those stay that most slices had, up to half as many edges, and no word of one slice only.
     """
@@ -333,6 +333,7 @@ def draw(texts: list[str], keys: np.ndarray, words: Words, k: int) -> Samples:
         return Samples(*(np.zeros(n, kind) for n, kind in ((0, np.int64), (0, np.int32), (1, np.int64), (0, float), (0, float), (0, float))))
     table = words.table
     lattice, kind = words.lattice(list(chain.from_iterable(split)))
+    origin = lattice.first[kind]
     doc = np.repeat(np.arange(size), counts)
     begin = np.cumsum(counts) - counts
     word = np.arange(len(doc)) - begin[doc]
@@ -346,16 +347,16 @@ def draw(texts: list[str], keys: np.ndarray, words: Words, k: int) -> Samples:
         ends = np.searchsorted(doc, np.arange(size))
         offset = start - total[np.minimum(ends, len(total) - 1)]
         before = offset[doc] + total
-        free = np.where(lattice.degree[place] > 1, -np.expm1(np.minimum(step, 0)), 0.0)
+        free = -np.expm1(np.minimum(step, 0))  # 0 where a place has one edge
         if len(turned):
             free[turned] = lattice.fan(place[turned], used[turned])[1].sum(1)
         with np.errstate(divide="ignore"):
             location = before + np.log(free)
         seed = mix(keys + np.uint64(1_000_003 * (7 + sample)))[doc]
-        u = _uniform(seed, (word << 20) + place - lattice.first[kind[begin[doc] + word]])
+        u = _uniform(seed, (word << 20) + place - origin[begin[doc] + word])
         return Steps(doc, word, edge, used, before, _truncated(location, u, bound[doc]))
 
-    index, edge = _descend(lattice, doc, word, lattice.first[kind], keys, 0)
+    index, edge = _descend(lattice, doc, word, origin, keys, 0)
     bit = 1 << (edge - lattice.edge[lattice.start[edge]])
     paths = [measured(doc[index], word[index], edge, bit, np.zeros(0, np.int64), np.zeros(size), root, 0)]
     value = [np.where(counts > 0, root, -np.inf)]
@@ -399,7 +400,7 @@ def draw(texts: list[str], keys: np.ndarray, words: Words, k: int) -> Samples:
             order = np.argsort(d, kind="stable")
             d = d[order]
             n = np.concatenate([w[open_], word[later]])[order]
-            q = np.concatenate([(place + lattice.length[turn])[open_], lattice.first[kind[later]]])[order]
+            q = np.concatenate([(place + lattice.length[turn])[open_], origin[later]])[order]
             index, edge = _descend(lattice, d, n, q, keys, sample)
             every_doc = np.concatenate([own, d[index]])
             order = np.argsort(every_doc, kind="stable")
@@ -501,9 +502,9 @@ def _restored(decoder: Decoder, found: Samples, texts: pa.Array) -> np.ndarray:
 
 
 @lru_cache(maxsize=1)
-def _tools(vocabulary: Vocabulary) -> tuple[Words, Decoder]:
-    """Made once for all tasks that a worker runs with the same vocabulary; no sample depends on what the words hold."""
-    return Words(PieceTable(vocabulary)), Decoder(vocabulary)
+def _tools(vocabulary: Vocabulary) -> tuple[PieceTable, Decoder]:
+    """Made once for all tasks that a worker runs with the same vocabulary; words are a task's own, so no idle worker holds them."""
+    return PieceTable(vocabulary), Decoder(vocabulary)
 
 
 def row_key(*columns: Column | str) -> Column:
@@ -524,7 +525,8 @@ def sample_pieces(documents: DataFrame, samples: str = "samples", key_col: str =
     schema = T.StructType([*documents.schema.fields, T.StructField(samples, T.ArrayType(SAMPLE))])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, decoder = _tools(shared.value)
+        table, decoder = _tools(shared.value)
+        words = Words(table)
         for batch in batches:
             texts, keys = (batch.column(batch.schema.get_field_index(c)) for c in (text_col, key_col))
             for a, b in text_slices(texts, SLICE):
