@@ -247,12 +247,22 @@ def _relabel(links: DataFrame) -> DataFrame:
     return materialize(connected_components(links).toDF("doc", "component"), "labels")
 
 
+def _of_docs(rows: DataFrame, told: list[str], each: list[str]) -> DataFrame:
+    """One row for each ``doc`` with its ``told`` columns and, as ``rows``, an array of structs of the ``each`` columns.
+
+    What is known of documents is joined to this and not to their rows, which are up to ``BANDS`` for each, and more where
+    a bucket has several cells.
+    """
+    return rows.groupBy("doc").agg(*(F.first(c).alias(c) for c in told), F.collect_list(F.struct(*each)).alias("rows"))
+
+
 def _cells(others: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     """Members of mixed buckets, once for each cell (``c``) that they are compared in.
 
     A cell's rows agree on ``c.with``; each pair that is to be compared meets in one cell.
     """
-    sized = others.select("key", "band", "doc", "component").join(classes.select("doc", "n"), "doc")
+    sized = _of_docs(others, ["component"], ["key", "band"]).join(classes.select("doc", "n"), "doc")
+    sized = sized.select("doc", "component", "n", F.inline("rows"))
     parts = sized.groupBy("key", "component").agg(F.count("*").alias("rows"), F.min("n").alias("low"), F.max("n").alias("high"))
     tops = parts.groupBy("key").agg(F.max(F.struct("rows", "component")).alias("top"), F.sum("rows").alias("all"))
     blocks = lambda n: F.ceil(n / (CELL_ROOT * F.sqrt("all"))).cast("int")
@@ -285,9 +295,11 @@ def _residual(others: DataFrame, classes: DataFrame, threshold: float, best_only
     home = others.groupBy("doc").agg(F.min_by("key", F.xxhash64("key")).alias("home"))
     crowd = home.groupBy("home").agg(F.count("*").alias("crowd"))
     home = home.join(crowd, "home").select("doc", F.xxhash64("home", F.pmod(F.xxhash64("doc"), F.ceil(F.col("crowd") / BLOCK))).alias("home"))
-    rows = _cells(others, classes, threshold)
+    cells = _cells(others, classes, threshold).select("doc", "component", "n", "key", "band", "minor", "own", "c.cell", "c.with")
+    rows = _of_docs(cells, ["component", "n"], ["cell", "key", "band", "minor", "own", "with"])
     rows = rows.join(classes.select("doc", "sketch"), "doc").join(materialize(home, "home"), "doc")
-    rows = rows.select("c.cell", "key", "band", "doc", "component", "n", "sketch", "home", "minor", "own", "c.with")
+    rows = rows.select("doc", "component", "n", "sketch", "home", F.inline("rows"))
+    rows = rows.select("cell", "key", "band", "doc", "component", "n", "sketch", "home", "minor", "own", "with")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "cell"):

@@ -188,3 +188,26 @@ def test_cells_of_a_mixed_bucket(spark, monkeypatch, root):
             assert met == {(a, b): 1 for b in range(size) for a in range(b) if component[a] or component[b]}
     assert made[1_200] <= 10 * made[300]
     assert root == 2 or made == {300: 300, 1_200: 1_200}
+
+
+def test_joins_of_mixed_buckets_are_of_documents(spark, monkeypatch):
+    """What is compared in mixed buckets is looked up once a document, not once for each of its buckets."""
+    docs, buckets = 30, 20
+    others = spark.createDataFrame([(k, k, d, d % 3) for d in range(docs) for k in range(buckets)], "key long, band int, doc long, component long")
+    # All agree in band 0, so each pair is found in bucket 0; the first three are alike.
+    sketch = [bytes([7] * 5 + [(d * 31 + i * 7) % 50 for i in range(setsketch.REGISTERS - 5)]) for d in range(docs)]
+    classes = spark.createDataFrame([(d, 100, bytearray(sketch[d if d > 2 else 0])) for d in range(docs)], "doc long, n long, sketch binary")
+    made, join = [], type(others).join
+
+    def counted(self, other, on=None, how=None):
+        out = join(self, other, on, how)
+        if on == "doc" and how is None:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(type(others), "join", counted)
+    rest = setsketch._residual(others, classes, 0.75, False)
+    pairs = {(min(p), max(p)) for r in rest.collect() for p in zip(r.a, r.b, strict=True)}
+    # equal sketches of three components
+    assert {(0, 1), (0, 2), (1, 2)} <= pairs and all(a % 3 != b % 3 for a, b in pairs)
+    assert made and max(made) <= docs
