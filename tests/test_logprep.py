@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 import random
 
 from conftest import rows
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from revtide.operators import dirstate as DS
 from revtide.operators import logprep as L
 from revtide.operators import text as X
+from revtide.session import ensure_checkpoint_dir
 
 DIFF = """Index: trunk/a.c
 ===================================================================
@@ -79,6 +81,15 @@ def test_directory_copies_and_deletes(make_changes):
     assert rows(out.filter("revno = 7"), "copyfrompath", "copyfromrev") == [("/tags/1/a", 5), ("/tags/1/c", 5)]
 
 
+def test_directory_copies_keep_only_their_result(spark, make_changes):
+    """Rounds delete what they stored: only the result stays in the shared folder."""
+    ensure_checkpoint_dir(spark)
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    before = set(os.listdir(folder))
+    out = DS.expand_directories(make_changes(_tree()))
+    assert out.count() == 6 and len(set(os.listdir(folder)) - before) == 1
+
+
 def test_copy_respects_the_same_revision(make_changes):
     ch = make_changes([
         (1, "/t/a", "A", 1, 0), (1, "/t/d/x", "A", 2, 0), (1, "/t/d/y", "A", 3, 0), (1, "/old/z", "A", 9, 0),
