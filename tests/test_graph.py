@@ -400,6 +400,35 @@ def test_hops_are_sent_once_to_a_block(spark):
     assert ways == [1 + 200]
 
 
+def test_hops_in_tasks_as_in_rounds(spark, monkeypatch):
+    """Components that fit a task give the rows that rounds of steps give: chunks of sources, shared bins, hubs, loops, lone nodes."""
+    from revtide.operators import hops
+
+    for module in (G, hops):
+        monkeypatch.setattr(module, "TASK_BITS", 64)
+    monkeypatch.setattr(hops, "ROWS", 7)
+    monkeypatch.setattr(hops, "HUB", 9)
+    rng = random.Random(3)
+    e = [(f"m{rng.randrange(200)}", f"m{rng.randrange(200)}") for _ in range(420)]
+    e += [("hub", f"s{i}") for i in range(70)] + [(f"c{i}", f"c{i + 1}") for i in range(8)]
+    e += [(f"p{i}", f"q{i}") for i in range(90)] + [("l", "l"), (None, "x"), (None, None), ("p1", "q1"), ("q1", "p1")]
+    df = spark.createDataFrame(e, "src string, dst string")
+    whole = rows(G.hop_profile(df))
+    assert whole == rows(G.hop_profile(df, task_nodes=0)) == rows(G.hop_profile(df, task_nodes=80))
+    assert (None, 0, 1) in whole and ("l", 0, 1) in whole and ("x", 0, 1) in whole and ("hub", 1, 71) in whole and ("c0", 8, 9) in whole
+    assert rows(G.hop_profile(df, max_hops=3)) == rows(G.hop_profile(df, max_hops=3, task_links=100)) == [r for r in whole if r[1] <= 3]
+
+
+def test_hops_of_components_that_fit_a_task_take_no_rounds(spark, monkeypatch):
+    """A ring of 60 nodes takes 30 steps; they are one job's, not a few jobs each."""
+    kept = []
+    for name in ("cut_lineage", "store"):
+        monkeypatch.setattr(G, name, lambda df, f=getattr(G, name): (kept.append(1), f(df))[1])
+    ring = spark.range(60).selectExpr("concat('r', id) AS src", "concat('r', (id + 1) % 60) AS dst")
+    found = G.eccentricity(ring).select("eccentricity").distinct().collect()
+    assert [r[0] for r in found] == [30] and len(kept) < 30
+
+
 def test_walks_of_authors_move_numbers_only(spark, make_revisions, make_changes, monkeypatch):
     """Names stay out of the steps, and a step joins links in the one direction that it can go."""
     from revtide.operators import timeline
